@@ -62,11 +62,12 @@ def _label(kind: str, lang: Column, label: Column, priority: Column) -> Column:
 
 
 def _place_labels(feature: Column) -> Column:
-    lists = [
-        F.transform(F.coalesce(feature[element], F.array()),
-                    lambda name, i, kind=kind: _label(kind, name["_lang"], name["_VALUE"], i))
-        for kind, element in NAME_ELEMENTS.items()]
-    return F.concat(*lists)
+    def listed(kind: str, element: str) -> Column:
+        labels = F.transform(feature[element], lambda name, i: _label(
+            kind, name["_lang"], name["_VALUE"], i))
+        return F.coalesce(labels, F.array())
+
+    return F.concat(*[listed(kind, element) for kind, element in NAME_ELEMENTS.items()])
 
 
 def _headings(fields: Column, kind: str, tags: tuple[str, ...]) -> Column:
