@@ -112,6 +112,45 @@ def main_payload(types: schema.DataTypes) -> Column:
     return F.when(main == "literal", F.col("value")).when(main == "uri", F.col("uri"))
 
 
+# ---------------------------------------------------------------- size of groups
+
+# Column metadata of ``pos``: the most rows that one property of one record has.
+GROUP_ROWS = "quillmend.group_rows"
+
+
+def group_rows(values: DataFrame) -> int | None:
+    """Known bound of the rows of a group, None when it was never measured."""
+    return values.schema["pos"].metadata.get(GROUP_ROWS)
+
+
+def stamp(values: DataFrame, bound: int | None) -> DataFrame:
+    """Record the bound (None: unknown) on the table."""
+    return values.withMetadata("pos", {} if bound is None else {GROUP_ROWS: int(bound)})
+
+
+def is_small(values: DataFrame) -> bool:
+    """Every group is known to fit in one window task."""
+    bound = group_rows(values)
+    return bound is not None and bound <= BLOCK_ROWS
+
+
+def measure_groups(values: DataFrame) -> DataFrame:
+    """Measure the largest group with one job on two columns, and record it on the table.
+
+    Edits of a measured table without hot groups number their rows in one pass; an unmeasured
+    table, or one with hot groups, is numbered in blocks.
+    """
+    sizes = values.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0]
+    return stamp(values, largest or 0)
+
+
+def grown(values: DataFrame, times: int | None = None, more: int = 0) -> int | None:
+    """Bound after an edit that multiplies or adds rows (unknown factor: None)."""
+    bound = group_rows(values)
+    return None if bound is None or times is None else bound * times + more
+
+
 # ---------------------------------------------------------------- numbering
 
 def row_order() -> list[Column]:
@@ -129,21 +168,35 @@ def row_block() -> Column:
 
 
 def running_start(df: DataFrame, keys: Sequence[str], blocks: dict[str, Column],
-                  order: Sequence[Column], out: str, *, weight: Column | None = None,
+                  order: Sequence[Column], out: str, *, small: bool = False,
+                  lead_order: Sequence[Column] = (), weight: Column | None = None,
                   block_facts: dict[str, Column] | None = None,
                   block_order: Sequence[Column] | None = None,
                   with_facts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Add `out`: the number of rows (or the total `weight`) before each row of its group.
 
-    `blocks` cut a group into pieces that follow each other in the final order, so no task
-    receives a whole hot group. One pass sums the pieces (partial sums before the shuffle, one
-    narrow row per piece after it), a window over those few rows gives each piece its start,
+    With `small` groups this is one window, ordered by `lead_order` (an order of the blocks that
+    every row knows) and `order`.
+
+    Otherwise `blocks` cut a group into pieces that follow each other in the final order, so no
+    task receives a whole hot group. One pass sums the pieces (partial sums before the shuffle,
+    one narrow row per piece after it), a window over those few rows gives each piece its start,
     and the rows are numbered inside their piece. The rows themselves shuffle once: window and
     join share the partitioning on (keys, blocks).
 
     `block_facts` are extra aggregates per piece, `with_facts` may extend the piece table, and
     `block_order` orders the pieces of a group (default: by the block columns).
     """
+    def before(window):
+        if weight is None:
+            return F.row_number().over(window) - 1
+        return F.coalesce(
+            F.sum(weight).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    if small:
+        whole = Window.partitionBy(*keys).orderBy(*lead_order, *order)
+        return df.withColumn(out, before(whole).cast("long"))
+
     names = list(blocks)
     cut = df.withColumns(blocks)
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
@@ -151,28 +204,29 @@ def running_start(df: DataFrame, keys: Sequence[str], blocks: dict[str, Column],
         size.alias("_size"), *[fact.alias(name) for name, fact in (block_facts or {}).items()])
     if with_facts is not None:
         pieces = with_facts(pieces)
-    before = (Window.partitionBy(*keys).orderBy(*(block_order or [F.col(n) for n in names]))
-              .rowsBetween(Window.unboundedPreceding, -1))
-    starts = (pieces.withColumn("_start", F.sum("_size").over(before))
+    earlier = (Window.partitionBy(*keys).orderBy(*(block_order or [F.col(n) for n in names]))
+               .rowsBetween(Window.unboundedPreceding, -1))
+    starts = (pieces.withColumn("_start", F.sum("_size").over(earlier))
               .where("_start > 0").select(*keys, *names, "_start"))
     piece = Window.partitionBy(*keys, *names).orderBy(*order)
-    if weight is None:
-        inside = F.row_number().over(piece) - 1
-    else:
-        inside = F.coalesce(
-            F.sum(weight).over(piece.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = cut.withColumn("_inside", inside)
+    numbered = cut.withColumn("_inside", before(piece))
     joined = numbered.join(starts, [*keys, *names], "left")
     result = joined.withColumn(
         out, (F.col("_inside") + F.coalesce(F.col("_start"), F.lit(0))).cast("long"))
     return result.drop("_inside", "_start", *names)
 
 
+def placed(numbered: DataFrame, columns: Sequence[str], bound: int | None,
+           at: str = "_at") -> DataFrame:
+    """Rows with `at` as their position."""
+    return stamp(numbered.withColumn("pos", F.col(at)).select(*columns), bound)
+
+
 def close_up(values: DataFrame) -> DataFrame:
     """Renumber the values of each property 0, 1, 2... in their present order."""
-    columns = values.columns
-    numbered = running_start(values, GROUP, {"_block": row_block()}, row_order(), "_at")
-    return numbered.withColumn("pos", F.col("_at")).select(*columns)
+    numbered = running_start(values, GROUP, {"_block": row_block()}, row_order(), "_at",
+                             small=is_small(values))
+    return placed(numbered, values.columns, group_rows(values))
 
 
 def first_rows(df: DataFrame, limit: int, out: str = "_within") -> DataFrame:
@@ -182,5 +236,18 @@ def first_rows(df: DataFrame, limit: int, out: str = "_within") -> DataFrame:
     else:
         ordered = [F.col("pos").desc_nulls_first(), F.col("value_id").desc_nulls_first()]
         block = -row_block()
-    numbered = running_start(df, GROUP, {"_block": block}, ordered, "_rank")
+    numbered = running_start(df, GROUP, {"_block": block}, ordered, "_rank", small=is_small(df))
     return numbered.withColumn(out, F.col("_rank") < abs(limit)).drop("_rank")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint in the folder the cluster names; without one (as in tests) a scratch folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)

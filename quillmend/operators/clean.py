@@ -107,6 +107,7 @@ def deduplicate_values(values: DataFrame, *, annotation_values: DataFrame | None
             .agg(F.min(F.struct(rank.alias("_rank"), *rest)).alias("_first"))
             .select(*s.GROUP, *[F.col(f"_first.{name}").alias(name) for name in rest])
             .select(*columns))
+    kept = s.stamp(kept, s.group_rows(values))
     return s.close_up(kept) if renumber else kept
 
 

@@ -248,24 +248,11 @@ def _number_items(keyed: DataFrame, item_rows: int) -> DataFrame:
         "_at", (F.row_number().over(window) - 1).cast("long"))
     # The range of each row is stored before it is used, so a lost task cannot move a border.
     ranged = keyed.join(large, "item_id", "left_semi").repartitionByRange("item_id", *order)
-    stored = cut_lineage(ranged.withColumn("_range", F.spark_partition_id()))
+    stored = s.cut_lineage(ranged.withColumn("_range", F.spark_partition_id()))
     sorted_ = s.running_start(stored, ["item_id"], {"_block": F.col("_range")}, order, "_at")
     return small.unionByName(sorted_.select(*small.columns))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the cluster names; without one (as in tests) a scratch folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 # ---------------------------------------------------------------- explode items
 
 def explode_items(resources: DataFrame, media: DataFrame, values: DataFrame, mode: str, *,
@@ -293,7 +280,8 @@ def explode_items(resources: DataFrame, media: DataFrame, values: DataFrame, mod
 
     new_resources = _exploded_resources(resources, firsts, others)
     new_media = _exploded_media(media, pairs)
-    new_values = _exploded_values(values, firsts, others, mode)
+    # The values of several media may meet in one property of an item.
+    new_values = s.stamp(_exploded_values(values, firsts, others, mode), None)
     return new_resources, new_media, new_values
 
 
@@ -348,9 +336,9 @@ def _exploded_values(values, firsts, others, mode: str) -> DataFrame:
         # Appended values follow those of the item: number the touched records again.
         both = owned.where(F.col("media_id").isNotNull()).withColumn("_given", F.lit(0)).unionByName(
             given.withColumn("_given", F.lit(1)))
-        placed = s.running_start(
+        numbered = s.running_start(
             both, s.GROUP, {"_part": F.col("_given"), "_block": s.row_block()}, s.row_order(), "_at")
-        placed = placed.withColumn("pos", F.col("_at")).select(*columns)
+        placed = s.placed(numbered, columns, None)
         return owned.where(F.col("media_id").isNull()).select(*columns).unionByName(placed)
     return owned.unionByName(given).select(*columns)
 

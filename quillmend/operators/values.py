@@ -44,7 +44,7 @@ def create_values(values: DataFrame, resources: DataFrame, property: str, dataty
     new["pos"] = F.coalesce(F.col("_next"), F.lit(0))
     if s.GATE in values.columns:
         new[s.GATE] = F.coalesce(F.col("_gate"), F.lit(False))
-    return values.unionByName(_conform(added, values, new))
+    return s.stamp(values.unionByName(_conform(added, values, new)), s.grown(values, 1, 1))
 
 
 def _gate_fact(values: DataFrame) -> list[Column]:
@@ -123,7 +123,8 @@ def copy_values(values: DataFrame, from_, to: str, *, datatype: str | None = Non
     here = values.withColumn("_from", F.lit(""))
     target = here.where(F.col("property") == to).unionByName(_conform(moved, here, new))
     placed = _append_in_order(target, values, from_, to)
-    return placed.unionByName(values.where(F.col("property") != to))
+    result = placed.unionByName(values.where(F.col("property") != to))
+    return s.stamp(result, _transfer_bound(values, from_))
 
 
 def displace_values(values: DataFrame, from_, to: str, *, datatype: str | None = None,
@@ -138,7 +139,13 @@ def displace_values(values: DataFrame, from_, to: str, *, datatype: str | None =
               F.col(c)).alias(c) if c == "type"
           else F.col(c) for c in values.columns],
         F.when(F.col("_hit"), F.col("property")).otherwise(F.lit("")).alias("_from"))
-    return _append_in_order(moved, values, from_, to)
+    return s.stamp(_append_in_order(moved, values, from_, to), _transfer_bound(values, from_))
+
+
+def _transfer_bound(values: DataFrame, from_) -> int | None:
+    """A target property may receive one group per source."""
+    sources = s.as_list(from_)
+    return s.grown(values, None if s.ALL in sources else len(sources) + 1)
 
 
 def _transfer_rows(values, from_, to, max_values, sel, types, flt) -> tuple[DataFrame, Column]:
@@ -169,24 +176,23 @@ def _append_in_order(rows: DataFrame, values: DataFrame, from_, to: str) -> Data
     everything = s.ALL in sources
     listed = F.array(*[F.lit(name) for name in sources])
     own = F.col("_from") == ""
+    small = s.is_small(values)
+    with_facts, lead = None, [F.when(own, 0).otherwise(F.array_position(listed, F.col("_from")))]
     if everything:
         first = values.groupBy("resource_id", F.col("property").alias("_from")).agg(
             F.min("value_id").alias("_first"))
-        with_facts = lambda pieces: pieces.join(first, ["resource_id", "_from"], "left")
-        block_order = [F.when(own, 0).otherwise(1), F.col("_first").asc_nulls_last(),
-                       F.col("_from"), F.col("_block")]
-    else:
-        with_facts = None
-        block_order = [F.when(own, 0).otherwise(F.array_position(listed, F.col("_from"))),
-                       F.col("_block")]
-    placed = s.running_start(
-        rows.withColumnRenamed("_from", "_source"), s.GROUP,
-        {"_from": F.col("_source"), "_block": s.row_block()}, s.row_order(), "_at",
-        block_order=block_order, with_facts=with_facts)
-    result = placed.withColumn("pos", F.col("_at"))
+        lead = [F.when(own, 0).otherwise(1), F.col("_first").asc_nulls_last(), F.col("_from")]
+        if small:
+            rows = rows.join(first, ["resource_id", "_from"], "left")
+        else:
+            with_facts = lambda pieces: pieces.join(first, ["resource_id", "_from"], "left")
+    rows = rows.withColumn("_source", F.col("_from"))
+    numbered = s.running_start(
+        rows, s.GROUP, {"_from": F.col("_source"), "_block": s.row_block()}, s.row_order(), "_at",
+        small=small, lead_order=lead, block_order=[*lead, F.col("_block")], with_facts=with_facts)
     if s.GATE in columns:
-        result = _open_where_present(result, values, to)
-    return result.select(*columns)
+        numbered = _open_where_present(numbered, values, to)
+    return s.placed(numbered, columns, None)
 
 
 def _open_where_present(rows: DataFrame, values: DataFrame, to: str) -> DataFrame:
@@ -215,25 +221,19 @@ def explode_values(values: DataFrame, properties, separator: str, *, contains: s
         contains=contains, match=match, payload=F.col("value"))
     pieces = F.filter(F.transform(text.split_parts(F.col("value"), separator, max_values or None),
                                   text.trim), lambda piece: piece != "")
-    split = marked.select(
-        *marked.columns,
-        F.posexplode(F.when(hit, pieces).otherwise(F.array(F.col("value")))).alias("_i", "_piece"))
-    rows = split.withColumns({
+    # The pieces are counted before they are made: the rows shuffle unsplit, and a group is no
+    # larger than it was.
+    pieces = F.when(hit, pieces).otherwise(F.array(F.col("value")))
+    numbered = s.running_start(
+        marked.withColumn("_pieces", pieces), s.GROUP, {"_block": s.row_block()}, s.row_order(),
+        "_at", small=s.is_small(values), weight=F.size("_pieces"))
+    split = numbered.select("*", F.posexplode("_pieces").alias("_i", "_piece")).withColumns({
         "value": F.col("_piece"),
         "value_id": F.when(F.col("_i") == 0, F.col("value_id")),
-        # Order inside the source row, by which the source position comes first.
-        "_origin": F.col("value_id"),
+        "_at": F.col("_at") + F.col("_i"),
     })
-    order = [F.col("pos").asc_nulls_last(), F.col("_origin").asc_nulls_last(), F.col("_i")]
-    placed = s.running_start(
-        rows, s.GROUP, {"_block": _origin_block()}, order, "_at")
-    return placed.withColumn("pos", F.col("_at")).select(*values.columns)
-
-
-def _origin_block() -> Column:
-    size = F.lit(s.BLOCK_ROWS)
-    loose = F.lit(1 << 40) + F.floor(F.coalesce(F.col("_origin"), F.lit(0)) / size)
-    return F.coalesce(F.floor(F.col("pos") / size), loose).cast("long")
+    bound = s.grown(values, max_values if max_values and max_values > 0 else None)
+    return s.placed(split, values.columns, bound)
 
 
 def merge_values(values: DataFrame, properties, *, sel=None) -> DataFrame:
@@ -241,32 +241,77 @@ def merge_values(values: DataFrame, properties, *, sel=None) -> DataFrame:
     uris. A property is left as it is unless every pair holds exactly one web address (or the
     same one twice), no two uris, and no uri that has a label."""
     marked, condition = s.scope(values, properties, sel)
-    return s.divert(marked, condition, lambda rows: _merge(rows, values.columns), values.columns)
+    merge = _merge_small if s.is_small(values) else _merge_blocks
+    merged = s.divert(marked, condition, lambda rows: merge(rows, values.columns), values.columns)
+    return s.stamp(merged, s.group_rows(values))
 
 
-def _merge(rows: DataFrame, columns: list[str]) -> DataFrame:
+def _pair_facts() -> dict[str, Column]:
+    """What the judgement of a pair needs to know of a row: its web address or text, whether it
+    is a uri, and whether that uri has a label."""
+    is_uri = F.col("type") == "uri"
+    plain = F.col("value_resource_id").isNull() & F.col("uri").isNull()
+    return {
+        "_main": F.when(is_uri, F.col("uri")).when(plain, F.col("value")),
+        "_is_uri": is_uri,
+        "_labelled": is_uri & text.has_text(F.col("uri")) & text.has_text(F.col("value")),
+    }
+
+
+def _is_sound(a: Column, b: Column) -> Column:
+    """Two rows (with their facts) that can become one labelled uri."""
+    url_a, url_b = text.is_http_url(a["_main"]), text.is_http_url(b["_main"])
+    sound = (b["_is_uri"].isNotNull() & ~(a["_is_uri"] & b["_is_uri"])
+             & ~(a["_labelled"] | b["_labelled"])
+             & ((url_a & url_b & (a["_main"] == b["_main"])) | (url_a != url_b)))
+    return F.coalesce(sound, F.lit(False))
+
+
+def _pair_as_uri(a: Column, b: Column, position: Column) -> dict[str, Column]:
+    first_is_url = text.is_http_url(a["_main"])
+    return {
+        "pos": position,
+        "type": F.lit("uri"),
+        "lang": F.lit(None).cast("string"),
+        "value": F.when(first_is_url, b["_main"]).otherwise(a["_main"]),
+        "uri": F.when(first_is_url, a["_main"]).otherwise(b["_main"]),
+        "value_resource_id": F.lit(None).cast("long"),
+        "is_public": F.coalesce(a["is_public"], F.lit(False)),
+        "value_annotation_id": F.lit(None).cast("long"),
+    }
+
+
+def _merge_small(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs within one window per property."""
+    group = Window.partitionBy(*s.GROUP)
+    ordered = group.orderBy(*s.row_order())
+    facts = F.struct("_main", "_is_uri", "_labelled", "is_public")
+    paired = (rows.select(*columns).withColumns(_pair_facts())
+              .withColumn("_a", facts)
+              .withColumns({"_at": (F.row_number().over(ordered) - 1).cast("long"),
+                            "_b": F.lead("_a").over(ordered)}))
+    even = F.col("_at") % 2 == 0
+    judged = paired.withColumn("_all_sound", F.min(
+        F.when(even, _is_sound(F.col("_a"), F.col("_b")))).over(group))
+    merged = _pair_as_uri(F.col("_a"), F.col("_b"), F.floor(F.col("_at") / 2))
+    return judged.where(~F.col("_all_sound") | even).select(*[
+        F.when(F.col("_all_sound"), merged[name]).otherwise(
+            F.col("_at") if name == "pos" else F.col(name)).alias(name)
+        if name in merged else F.col(name) for name in columns])
+
+
+def _merge_blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs as groups of two rows, judged per block of pairs: no task holds a hot property."""
     numbered = s.running_start(
         rows.select(*columns), s.GROUP, {"_block": s.row_block()}, s.row_order(), "_at")
-    is_uri = F.col("type") == "uri"
-    main = F.when(is_uri, F.col("uri")).when(F.col("value_resource_id").isNull() & F.col(
-        "uri").isNull(), F.col("value"))
-    labelled = is_uri & text.has_text(F.col("uri")) & text.has_text(F.col("value"))
-    payload = F.struct(
-        F.col("_at"), main.alias("_main"), is_uri.alias("_is_uri"), labelled.alias("_labelled"),
-        *[F.col(name) for name in columns if name not in s.GROUP])
-    # Two rows at most per key.
-    pairs = (numbered.withColumn("_pair", F.floor(F.col("_at") / 2))
+    rest = [name for name in columns if name not in s.GROUP]
+    payload = F.struct("_at", "_main", "_is_uri", "_labelled", *rest)
+    pairs = (numbered.withColumns(_pair_facts()).withColumn("_pair", F.floor(F.col("_at") / 2))
              .groupBy(*s.GROUP, "_pair")
              .agg(F.sort_array(F.collect_list(payload)).alias("_rows"))
              .withColumn("_block", F.floor(F.col("_pair") / s.BLOCK_ROWS)))
     a, b = F.get("_rows", F.lit(0)), F.get("_rows", F.lit(1))
-    url_a, url_b = text.is_http_url(a["_main"]), text.is_http_url(b["_main"])
-    sound = (
-        (F.size("_rows") == 2)
-        & ~(a["_is_uri"] & b["_is_uri"])
-        & ~(a["_labelled"] | b["_labelled"])
-        & ((url_a & url_b & (a["_main"] == b["_main"])) | (url_a != url_b)))
-    pairs = pairs.withColumn("_sound", F.coalesce(sound, F.lit(False)))
+    pairs = pairs.withColumn("_sound", _is_sound(a, b))
     # The verdict of a property: per block of pairs, then over the few blocks, then back to the
     # blocks, so that the join key is never one hot property.
     verdict = (pairs.groupBy(*s.GROUP, "_block").agg(F.min("_sound").alias("_sound"))
@@ -274,18 +319,7 @@ def _merge(rows: DataFrame, columns: list[str]) -> DataFrame:
                            F.min("_sound").over(Window.partitionBy(*s.GROUP)))
                .drop("_sound"))
     judged = pairs.drop("_sound").join(verdict, [*s.GROUP, "_block"])
-
-    merged = {
-        "pos": F.col("_pair"),
-        "type": F.lit("uri"),
-        "lang": F.lit(None).cast("string"),
-        "value": F.when(url_a, b["_main"]).otherwise(a["_main"]),
-        "uri": F.when(url_a, a["_main"]).otherwise(b["_main"]),
-        "value_resource_id": F.lit(None).cast("long"),
-        "is_public": F.coalesce(a["is_public"], F.lit(False)),
-        "value_annotation_id": F.lit(None).cast("long"),
-    }
-    rest = [name for name in columns if name not in s.GROUP]
+    merged = _pair_as_uri(a, b, F.col("_pair"))
     one = F.struct(*[merged.get(name, a[name]).alias(name) for name in rest])
     as_before = F.transform("_rows", lambda row: F.struct(
         *[(row["_at"] if name == "pos" else row[name]).alias(name) for name in rest]))
@@ -303,21 +337,30 @@ def order_values(values: DataFrame, languages, properties, *, sel=None) -> DataF
         raise ValueError("at least one language is required")
     marked, condition = s.scope(values, properties, sel)
 
+    plain = (F.col("type") != "literal") | text.is_blank(F.col("lang"))
+    language = F.when(plain, F.lit("")).otherwise(F.col("lang"))
+    listed = F.array_position(F.array(*[F.lit(code) for code in languages]), F.col("_lang"))
+    lead = [F.when(listed > 0, listed).otherwise(len(languages) + 1), F.col("_seen"), F.col("_lang")]
+    same_language = Window.partitionBy(*s.GROUP, "_lang")
+    bound = s.group_rows(values)
+
     def reorder(rows: DataFrame) -> DataFrame:
-        plain = (F.col("type") != "literal") | text.is_blank(F.col("lang"))
-        listed = F.array_position(F.array(*[F.lit(code) for code in languages]), F.col("_lang"))
-        same_language = Window.partitionBy(*s.GROUP, "_lang")
-        first_seen = F.struct(F.col("pos").isNull().alias("unplaced"), "pos", "value_id")
-        placed = s.running_start(
-            rows, s.GROUP,
-            {"_lang": F.when(plain, F.lit("")).otherwise(F.col("lang")), "_block": s.row_block()},
-            s.row_order(), "_at",
-            block_facts={"_first": F.min(first_seen)},
-            with_facts=lambda pieces: pieces.withColumn(
-                "_seen", F.min("_first").over(same_language)),
-            block_order=[F.when(listed > 0, listed).otherwise(len(languages) + 1),
-                         F.col("_seen"), F.col("_lang"), F.col("_block")])
-        return placed.withColumn("pos", F.col("_at"))
+        if s.is_small(values):
+            # Numbered first, so that all three windows share one shuffle.
+            rows = s.running_start(rows.withColumn("_lang", language), s.GROUP, {}, s.row_order(),
+                                   "_now", small=True)
+            rows = rows.withColumn("_seen", F.min("_now").over(same_language))
+            numbered = s.running_start(rows, s.GROUP, {}, [F.col("_now")], "_at", small=True,
+                                       lead_order=lead)
+        else:
+            first_seen = F.struct(F.col("pos").isNull().alias("unplaced"), "pos", "value_id")
+            numbered = s.running_start(
+                rows, s.GROUP, {"_lang": language, "_block": s.row_block()}, s.row_order(), "_at",
+                block_facts={"_first": F.min(first_seen)},
+                with_facts=lambda pieces: pieces.withColumn(
+                    "_seen", F.min("_first").over(same_language)),
+                block_order=[*lead, F.col("_block")])
+        return s.placed(numbered, values.columns, bound)
 
     return s.divert(marked, condition, reorder, values.columns)
 

@@ -29,6 +29,7 @@ CLEANING = ("trim_values", "specify_datatypes", "clean_empty_values", "clean_lan
             "clean_language_codes", "deduplicate_values")
 ITEM_EDITS = ("media_remove", "media_order", "explode_item", "page_manifest")
 MEDIA_EDITS = ("media_html", "media_source", "media_type", "media_visibility")
+NUMBERING_EDITS = ("copy", "displace", "explode", "merge", "order_values", "explode_item")
 KINDS = ("items", "media", "item_sets", "annotations")
 
 
@@ -292,32 +293,48 @@ def run_pipeline(tables: Mapping[str, DataFrame], spec: Mapping, *, sel=None,
     ``audit``, ``counts`` and, when asked for, ``pages``.
 
     Value edits touch only properties a record had before the first edit. Positions are closed
-    up once, at the end.
+    up once, at the end. The groups of values are measured first (one job on two columns): where
+    none is hot, all numbering is done by plain windows on one partitioning. An edit of a table
+    with hot groups reads its input twice; the lineage is cut between two such edits, so that
+    no step is computed more than twice however long the chain is.
     """
     if kind is not None:
         s.choice("kind", kind, KINDS)
     t = dict(tables)
     before = t["values"]
+    if s.group_rows(before) is None:
+        before = t["values"] = s.measure_groups(before)
     edits = [e for e in normalise(spec) if _in_reach(e.name, kind)]
     sel = _selection(t["resources"], sel, kind)
     by = "id" if kind == "media" else "item_id"
     gated = any(e.name in ("create_values", "copy", "displace") for e in edits[:-1])
     if gated:
         t["values"] = before.withColumn(s.GATE, F.lit(True))
-    gaps = False
+    gaps, read_twice = False, False
     for step in edits:
         if gated and step.name in BATCH_EDITS:
             t["values"], gated = t["values"].drop(s.GATE), False
         gaps |= step.name in ("replace", "remove", "trim_values", "deduplicate_values")
+        if step.name in NUMBERING_EDITS and not s.is_small(t["values"]):
+            t["values"] = _single_read(t["values"], read_twice)
+            read_twice = True
         _apply(step, t, sel, by, types)
     t["values"] = t["values"].drop(s.GATE)
     if gaps:
+        if not s.is_small(t["values"]):
+            t["values"] = _single_read(t["values"], read_twice)
         t["values"] = s.close_up(t["values"])
     t["audit"] = audit(before.sparkSession, edits)
     t["counts"] = report.changes(before, t["values"])
     return t
 
 
+def _single_read(values: DataFrame, read_twice: bool) -> DataFrame:
+    """Values that an edit may read twice although an edit before it did so too. The stored
+    table is measured again: it may hold no hot group after all."""
+    return s.measure_groups(s.cut_lineage(values)) if read_twice else values
+
+
 def _in_reach(name: str, kind: str | None) -> bool:
     if kind in (None, "items"):
         return True

@@ -299,7 +299,7 @@ def test_numbering_is_the_same_in_small_blocks(spark, monkeypatch):
     values = table(spark, data)
     pairs = table(spark, [dict(value=f"http://x/{i}" if i % 2 else f"N{i}") for i in range(40)])
 
-    def run():
+    def run(values=values, pairs=pairs):
         return [rows(df) for df in (
             q.explode_values(values, ["p"], ";"),
             q.order_values(values, ["en"], "all"),
@@ -314,6 +314,8 @@ def test_numbering_is_the_same_in_small_blocks(spark, monkeypatch):
         )]
 
     whole = run()
+    # A measured table without hot groups takes plain windows instead.
+    assert run(q.measure_groups(values), q.measure_groups(pairs)) == whole
     monkeypatch.setattr(_shared, "BLOCK_ROWS", 4)
     assert run() == whole
 
