@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -68,11 +70,56 @@ def scope(values: DataFrame, properties, sel) -> tuple[DataFrame, Column]:
     return marked, condition
 
 
+# The values table a chain of edits started from; None outside a chain.
+_CHAIN: contextvars.ContextVar[DataFrame | None] = contextvars.ContextVar("chain", default=None)
+
+
+@contextlib.contextmanager
+def chain(original: DataFrame):
+    """Plan several edits one after the other."""
+    token = _CHAIN.set(original)
+    try:
+        yield
+    finally:
+        _CHAIN.reset(token)
+
+
+def in_chain() -> bool:
+    return _CHAIN.get() is not None
+
+
+def saved(values: DataFrame) -> DataFrame:
+    """The stored state of the values: inside a chain, the table it started from."""
+    original = _CHAIN.get()
+    return values if original is None else original
+
+
 def divert(df: DataFrame, condition: Column, edit: Callable[[DataFrame], DataFrame],
            columns: Sequence[str]) -> DataFrame:
-    """Apply `edit` to the rows that meet `condition`; the others skip its shuffles."""
-    touched = edit(df.where(condition)).select(*columns)
-    return touched.unionByName(df.where(~F.coalesce(condition, F.lit(False))).select(*columns))
+    """Apply `edit` to the rows that meet `condition`, marked by ``_hit``.
+
+    A single edit gets only these rows, and the others skip its shuffles: the table is scanned
+    twice, with complementary filters. Inside a chain the input is no scan but the plan so far,
+    which must not be computed twice: there `edit` gets all rows and changes those with ``_hit``.
+    """
+    marked = df.withColumn("_hit", F.coalesce(condition, F.lit(False)))
+    if in_chain():
+        return edit(marked).select(*columns)
+    rest = marked.where(~F.col("_hit")).select(*columns)
+    return edit(marked.where(F.col("_hit"))).select(*columns).unionByName(rest)
+
+
+def lookup(rows: DataFrame, key: Column, table: DataFrame, table_key: str) -> DataFrame:
+    """Left join of the ``_hit`` rows with a table that has one row per key.
+
+    Rows without a key are spread over the tasks of the join, as a null key would send them all
+    to one. Many rows may have the same key: adaptive execution splits such a partition.
+    """
+    wanted = F.when(F.col("_hit"), key)
+    spread = F.when(wanted.isNull(), F.hash("resource_id", "property", "pos"))
+    keyed = rows.withColumns({"_wanted": wanted, "_spread": F.coalesce(spread, F.lit(0))})
+    found = table.withColumnRenamed(table_key, "_wanted").withColumn("_spread", F.lit(0))
+    return keyed.join(found, ["_wanted", "_spread"], "left").drop("_wanted", "_spread")
 
 
 def matches(*, datatypes=(), languages=(), visibility: bool | None = None, contains: str = "",
@@ -229,15 +276,18 @@ def close_up(values: DataFrame) -> DataFrame:
     return placed(numbered, values.columns, group_rows(values))
 
 
-def first_rows(df: DataFrame, limit: int, out: str = "_within") -> DataFrame:
-    """Mark the first `limit` rows of each property (the last ones when negative)."""
+def first_rows(df: DataFrame, limit: int) -> DataFrame:
+    """Mark as ``_within`` the first `limit` of the ``_hit`` rows of each property (the last
+    ones when negative)."""
     if limit > 0:
         ordered, block = row_order(), row_block()
     else:
         ordered = [F.col("pos").desc_nulls_first(), F.col("value_id").desc_nulls_first()]
         block = -row_block()
-    numbered = running_start(df, GROUP, {"_block": block}, ordered, "_rank", small=is_small(df))
-    return numbered.withColumn(out, F.col("_rank") < abs(limit)).drop("_rank")
+    miss = ~F.col("_hit")
+    numbered = running_start(df, GROUP, {"_miss": miss, "_block": block}, ordered, "_rank",
+                             small=is_small(df), lead_order=[miss])
+    return numbered.withColumn("_within", F.col("_hit") & (F.col("_rank") < abs(limit))).drop("_rank")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -66,9 +66,9 @@ def specify_datatypes(values: DataFrame, resources: DataFrame, *, sel=None) -> D
 
     def specify(links: DataFrame) -> DataFrame:
         kinds = resources.select(
-            F.col("id").alias("value_resource_id"),
+            F.col("id").alias("_record"),
             schema.mapped(F.col("resource_name"), schema.LINK_TYPES).alias("_kind"))
-        joined = links.join(kinds, "value_resource_id", "left")
+        joined = s.lookup(links, F.col("value_resource_id"), kinds, "_record")
         return joined.withColumn("type", F.coalesce(F.col("_kind"), F.col("type")))
 
     return s.divert(marked, generic, specify, values.columns)

@@ -54,8 +54,6 @@ def convert(values: DataFrame, resources: DataFrame | None, from_: str, to: str,
         hit = hit & F.col("value").contains(contains)
     if contains and from_ == "uri":
         hit = hit & F.col("uri").contains(contains)
-    hit = F.coalesce(hit, F.lit(False))
-
     if main[0] == "literal":
         hit = hit & F.col("value").isNotNull()
         if only_tagged and to in ("html", "xml"):
@@ -94,7 +92,7 @@ def convert(values: DataFrame, resources: DataFrame | None, from_: str, to: str,
 
     def edit(rows: DataFrame) -> DataFrame:
         candidates = rule(rows)
-        valid = F.coalesce(F.col("_valid"), F.lit(False))
+        valid = F.col("_hit") & F.coalesce(F.col("_valid"), F.lit(False))
         return candidates.withColumns({
             name: F.when(valid, F.col(f"_{name}")).otherwise(F.col(name)) for name in PAYLOAD})
 
@@ -138,9 +136,9 @@ def _literal_to_literal(value, *, to, types, resources, places, vocab):
         if to.startswith("customvocab:"):
             terms = _required(vocab, "vocab")
             terms = terms.select(F.col(terms.columns[0]).alias("_term")).distinct()
-            joined = rows.withColumn("_text", value).join(
-                terms, F.col("_text") == F.col("_term"), "left")
-            return _result(joined, to, F.col("_term").isNotNull(), value=F.col("_text"))
+            terms = terms.withColumn("_known", F.lit(True))
+            joined = s.lookup(rows, value, terms, "_term")
+            return _result(joined, to, F.col("_known"), value=value)
         return _result(rows, to, text.has_text(text.trim(value)), value=value)
 
     return rule
@@ -154,9 +152,9 @@ def _literal_to_link(value, values, preprocess, properties, *, to, types, resour
 
     def rule(rows):
         # One record per identifier, the smallest id.
-        index = (values.where(F.col("property").isin(properties) & text.has_text(F.col("value")))
+        index = (s.saved(values).where(F.col("property").isin(properties) & text.has_text(F.col("value")))
                  .groupBy(F.col("value").alias("_key")).agg(F.min("resource_id").alias("_found")))
-        joined = rows.withColumn("_key", key).join(index, "_key", "left")
+        joined = s.lookup(rows, key, index, "_key")
         checked = _with_record(joined, F.col("_found"), resources)
         return _result(checked, to, _kind_fits(to, types), link=F.col("_found"))
 
@@ -261,7 +259,7 @@ def _with_record(rows: DataFrame, link: Column, resources: DataFrame) -> DataFra
     """Add kind and title of the record `link` points to."""
     records = resources.select(F.col("id").alias("_record"), F.col("resource_name").alias("_kind"),
                                F.col("title").alias("_title"))
-    return rows.withColumn("_to", link).join(records, F.col("_to") == F.col("_record"), "left")
+    return s.lookup(rows, link, records, "_record")
 
 
 def _kind_fits(to: str, types: schema.DataTypes) -> Column:
@@ -279,5 +277,4 @@ def _with_place(rows: DataFrame, place_id: Column, places: DataFrame) -> DataFra
         .alias("_coordinates"),
         F.struct(F.col("geoname_id").alias("geonameId"), "toponym", "country",
                  F.col("lat").alias("latitude"), F.col("lon").alias("longitude")).alias("_place"))
-    return rows.withColumn("_at_place", place_id).join(
-        record, F.col("_at_place") == F.col("_place_id"), "left")
+    return s.lookup(rows, place_id, record, "_place_id")

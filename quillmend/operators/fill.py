@@ -78,9 +78,8 @@ def fill_values(values: DataFrame, authority: DataFrame | None, mode: str, prope
         labels = _labels(known, datatype, re.sub(r"[^a-zA-Z0-9_-]+", "", language), featured_subject)
 
         def fill(rows: DataFrame) -> DataFrame:
-            joined = (rows.withColumns({"_found_uri": uri,
-                                        "_key": text.authority_key(uri, datatype)})
-                      .join(labels, "_key", "left"))
+            joined = s.lookup(rows.withColumn("_found_uri", uri),
+                              text.authority_key(uri, datatype), labels, "_key")
             return _filled(joined, F.col("_label").isNotNull(), datatype, lang,
                            value=F.col("_label"), uri=F.col("_found_uri"))
     else:
@@ -91,7 +90,7 @@ def fill_values(values: DataFrame, authority: DataFrame | None, mode: str, prope
         uris = _uris(known)
 
         def fill(rows: DataFrame) -> DataFrame:
-            joined = rows.withColumn("_key", text.trim(F.col("value"))).join(uris, "_key", "left")
+            joined = s.lookup(rows, text.trim(F.col("value")), uris, "_key")
             kept_label = F.when(F.col("value") != F.col("_uri"), F.col("value"))
             return _filled(joined, F.col("_uri").isNotNull(), datatype, lang,
                            value=kept_label, uri=F.col("_uri"))

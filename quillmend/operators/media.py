@@ -330,8 +330,9 @@ def _exploded_values(values, firsts, others, mode: str) -> DataFrame:
         owned = owned.where(F.col("media_id").isNull())
     elif mode == "update":
         covered = given.select("media_id", "property").distinct()
-        owned = s.divert(owned, F.col("media_id").isNotNull(), lambda rows: rows.join(
-            covered, ["media_id", "property"], "left_anti"), owned.columns)
+        untouched = owned.where(F.col("media_id").isNull())
+        owned = owned.where(F.col("media_id").isNotNull()).join(
+            covered, ["media_id", "property"], "left_anti").select(*owned.columns).unionByName(untouched)
     else:
         # Appended values follow those of the item: number the touched records again.
         both = owned.where(F.col("media_id").isNotNull()).withColumn("_given", F.lit(0)).unionByName(

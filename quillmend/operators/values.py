@@ -116,14 +116,12 @@ def copy_values(values: DataFrame, from_, to: str, *, datatype: str | None = Non
                 types: schema.DataTypes = schema.DEFAULT_TYPES, **flt) -> DataFrame:
     """Append the matching values of the source properties to the target property."""
     marked, hit = _transfer_rows(values, from_, to, max_values, sel, types, flt)
-    moved = marked.where(hit)
-    new = {"value_id": F.lit(None), "property": F.lit(to), "_from": F.col("property")}
-    if datatype:
-        new["type"] = F.lit(datatype)
-    here = values.withColumn("_from", F.lit(""))
-    target = here.where(F.col("property") == to).unionByName(_conform(moved, here, new))
-    placed = _append_in_order(target, values, from_, to)
-    result = placed.unionByName(values.where(F.col("property") != to))
+    # A matching row is followed by its copy, so the table is read once.
+    both = marked.withColumn("_copy", F.explode(
+        F.when(hit, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    moved = _moved(both, values.columns, F.col("_copy"), to, datatype)
+    moved = moved.withColumn("value_id", F.when(F.col("_from") == "", F.col("value_id")))
+    result = _append_in_order(moved, values, from_, to, F.col("property") == to)
     return s.stamp(result, _transfer_bound(values, from_))
 
 
@@ -132,14 +130,24 @@ def displace_values(values: DataFrame, from_, to: str, *, datatype: str | None =
                     types: schema.DataTypes = schema.DEFAULT_TYPES, **flt) -> DataFrame:
     """Move the matching values of the source properties to the end of the target property."""
     marked, hit = _transfer_rows(values, from_, to, max_values, sel, types, flt)
-    flagged = marked.withColumn("_hit", hit)
-    moved = flagged.select(
-        *[F.when(F.col("_hit"), F.lit(to)).otherwise(F.col(c)).alias(c) if c == "property"
-          else F.when(F.col("_hit") & F.lit(bool(datatype)), F.lit(datatype)).otherwise(
-              F.col(c)).alias(c) if c == "type"
-          else F.col(c) for c in values.columns],
-        F.when(F.col("_hit"), F.col("property")).otherwise(F.lit("")).alias("_from"))
-    return s.stamp(_append_in_order(moved, values, from_, to), _transfer_bound(values, from_))
+    moved = _moved(marked, values.columns, hit, to, datatype)
+    sources = s.as_list(from_)
+    affected = F.lit(True) if s.ALL in sources else F.col("property").isin([*sources, to])
+    result = _append_in_order(moved, values, from_, to, affected)
+    return s.stamp(result, _transfer_bound(values, from_))
+
+
+def _moved(rows: DataFrame, columns: list[str], moves: Column, to: str,
+           datatype: str | None) -> DataFrame:
+    """Rows with their new property, and in ``_from`` the one they came from (blank: stayed)."""
+    marked = rows.withColumn("_moves", moves)
+    new = {"property": F.lit(to)}
+    if datatype:
+        new["type"] = F.lit(datatype)
+    return marked.select(
+        *[F.when(F.col("_moves"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c)
+          for c in columns],
+        F.when(F.col("_moves"), F.col("property")).otherwise(F.lit("")).alias("_from"))
 
 
 def _transfer_bound(values: DataFrame, from_) -> int | None:
@@ -160,50 +168,56 @@ def _transfer_rows(values, from_, to, max_values, sel, types, flt) -> tuple[Data
     marked, condition = s.scope(values, sources, sel)
     hit = condition & (F.col("property") != to) & s.matches(
         payload=s.literal_payload(types), **flt)
-    if max_values:
-        columns = [*marked.columns, "_within"]
-        marked = s.divert(marked.withColumn("_within", F.lit(False)), hit,
-                          lambda rows: s.first_rows(rows.drop("_within"), max_values), columns)
-        hit = F.col("_within")
-    return marked, hit
-
-
-def _append_in_order(rows: DataFrame, values: DataFrame, from_, to: str) -> DataFrame:
-    """Place the rows of each property: its own first, then those that came from each source,
-    sources in the given order or, for all, in the order of their first identifier."""
+    if not max_values:
+        return marked, F.coalesce(hit, F.lit(False))
+    columns = [*marked.columns, "_within"]
+    marked = s.divert(marked.withColumn("_within", F.lit(False)), hit,
+                      lambda rows: s.first_rows(rows.drop("_within"), max_values), columns)
+    return marked, F.col("_within")
+
+
+def _append_in_order(rows: DataFrame, values: DataFrame, from_, to: str,
+                     affected: Column) -> DataFrame:
+    """Place the rows of the affected properties: their own first, then those that came from
+    each source, sources in the given order or, for all, in the order of their first saved
+    identifier."""
     columns = list(values.columns)
     sources = s.as_list(from_)
-    everything = s.ALL in sources
-    listed = F.array(*[F.lit(name) for name in sources])
     own = F.col("_from") == ""
+    listed = F.array(*[F.lit(name) for name in sources])
     small = s.is_small(values)
-    with_facts, lead = None, [F.when(own, 0).otherwise(F.array_position(listed, F.col("_from")))]
-    if everything:
-        first = values.groupBy("resource_id", F.col("property").alias("_from")).agg(
+    first, lead = None, [F.when(own, 0).otherwise(F.array_position(listed, F.col("_from")))]
+    if s.ALL in sources:
+        first = s.saved(values).groupBy("resource_id", F.col("property").alias("_from")).agg(
             F.min("value_id").alias("_first"))
         lead = [F.when(own, 0).otherwise(1), F.col("_first").asc_nulls_last(), F.col("_from")]
-        if small:
-            rows = rows.join(first, ["resource_id", "_from"], "left")
-        else:
-            with_facts = lambda pieces: pieces.join(first, ["resource_id", "_from"], "left")
-    rows = rows.withColumn("_source", F.col("_from"))
-    numbered = s.running_start(
-        rows, s.GROUP, {"_from": F.col("_source"), "_block": s.row_block()}, s.row_order(), "_at",
-        small=small, lead_order=lead, block_order=[*lead, F.col("_block")], with_facts=with_facts)
-    if s.GATE in columns:
-        numbered = _open_where_present(numbered, values, to)
-    return s.placed(numbered, columns, None)
+
+    def known(table: DataFrame) -> DataFrame:
+        return table.join(first, ["resource_id", "_from"], "left")
+
+    def number(part: DataFrame) -> DataFrame:
+        if small and first is not None:
+            part = known(part)
+        part = part.withColumn("_source", F.col("_from"))
+        numbered = s.running_start(
+            part, s.GROUP, {"_from": F.col("_source"), "_block": s.row_block()}, s.row_order(),
+            "_at", small=small, lead_order=lead, block_order=[*lead, F.col("_block")],
+            with_facts=known if first is not None else None)
+        numbered = numbered.withColumn(
+            "pos", F.when(F.col("_hit"), F.col("_at")).otherwise(F.col("pos")))
+        return _open_where_saved(numbered, values, to) if s.GATE in columns else numbered
+
+    return s.divert(rows, affected, number, columns)
 
 
-def _open_where_present(rows: DataFrame, values: DataFrame, to: str) -> DataFrame:
+def _open_where_saved(rows: DataFrame, values: DataFrame, to: str) -> DataFrame:
     """In a chain of edits, rows that reached a property the record did not have at first stay
     closed to the following edits."""
-    present = values.where((F.col("property") == to) & F.col(s.GATE)).select(
+    present = s.saved(values).where(F.col("property") == to).select(
         "resource_id").distinct().withColumn("_present", F.lit(True))
-    came = F.col("_source") != ""
-    columns = rows.columns
-    return s.divert(rows, came, lambda part: part.join(present, "resource_id", "left").withColumn(
-        s.GATE, F.coalesce(F.col("_present"), F.lit(False))), columns)
+    return rows.join(present, "resource_id", "left").withColumn(
+        s.GATE, F.when(F.col("_source") == "", F.col(s.GATE))
+        .otherwise(F.coalesce(F.col("_present"), F.lit(False))))
 
 
 # ---------------------------------------------------------------- explode and merge
@@ -286,32 +300,33 @@ def _merge_small(rows: DataFrame, columns: list[str]) -> DataFrame:
     group = Window.partitionBy(*s.GROUP)
     ordered = group.orderBy(*s.row_order())
     facts = F.struct("_main", "_is_uri", "_labelled", "is_public")
-    paired = (rows.select(*columns).withColumns(_pair_facts())
+    paired = (rows.withColumns(_pair_facts())
               .withColumn("_a", facts)
               .withColumns({"_at": (F.row_number().over(ordered) - 1).cast("long"),
                             "_b": F.lead("_a").over(ordered)}))
     even = F.col("_at") % 2 == 0
-    judged = paired.withColumn("_all_sound", F.min(
+    judged = paired.withColumn("_all_sound", F.col("_hit") & F.min(
         F.when(even, _is_sound(F.col("_a"), F.col("_b")))).over(group))
+    kept_at = F.when(F.col("_hit"), F.col("_at")).otherwise(F.col("pos"))
     merged = _pair_as_uri(F.col("_a"), F.col("_b"), F.floor(F.col("_at") / 2))
     return judged.where(~F.col("_all_sound") | even).select(*[
         F.when(F.col("_all_sound"), merged[name]).otherwise(
-            F.col("_at") if name == "pos" else F.col(name)).alias(name)
+            kept_at if name == "pos" else F.col(name)).alias(name)
         if name in merged else F.col(name) for name in columns])
 
 
 def _merge_blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Pairs as groups of two rows, judged per block of pairs: no task holds a hot property."""
     numbered = s.running_start(
-        rows.select(*columns), s.GROUP, {"_block": s.row_block()}, s.row_order(), "_at")
+        rows.select(*columns, "_hit"), s.GROUP, {"_block": s.row_block()}, s.row_order(), "_at")
     rest = [name for name in columns if name not in s.GROUP]
-    payload = F.struct("_at", "_main", "_is_uri", "_labelled", *rest)
+    payload = F.struct("_at", "_main", "_is_uri", "_labelled", "_hit", *rest)
     pairs = (numbered.withColumns(_pair_facts()).withColumn("_pair", F.floor(F.col("_at") / 2))
              .groupBy(*s.GROUP, "_pair")
              .agg(F.sort_array(F.collect_list(payload)).alias("_rows"))
              .withColumn("_block", F.floor(F.col("_pair") / s.BLOCK_ROWS)))
     a, b = F.get("_rows", F.lit(0)), F.get("_rows", F.lit(1))
-    pairs = pairs.withColumn("_sound", _is_sound(a, b))
+    pairs = pairs.withColumn("_sound", a["_hit"] & _is_sound(a, b))
     # The verdict of a property: per block of pairs, then over the few blocks, then back to the
     # blocks, so that the join key is never one hot property.
     verdict = (pairs.groupBy(*s.GROUP, "_block").agg(F.min("_sound").alias("_sound"))
@@ -322,7 +337,8 @@ def _merge_blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
     merged = _pair_as_uri(a, b, F.col("_pair"))
     one = F.struct(*[merged.get(name, a[name]).alias(name) for name in rest])
     as_before = F.transform("_rows", lambda row: F.struct(
-        *[(row["_at"] if name == "pos" else row[name]).alias(name) for name in rest]))
+        *[(F.when(row["_hit"], row["_at"]).otherwise(row["pos"]) if name == "pos" else row[name])
+          .alias(name) for name in rest]))
     return judged.select(*s.GROUP, F.inline(
         F.when(F.col("_all_sound"), F.array(one)).otherwise(as_before)))
 
@@ -342,7 +358,6 @@ def order_values(values: DataFrame, languages, properties, *, sel=None) -> DataF
     listed = F.array_position(F.array(*[F.lit(code) for code in languages]), F.col("_lang"))
     lead = [F.when(listed > 0, listed).otherwise(len(languages) + 1), F.col("_seen"), F.col("_lang")]
     same_language = Window.partitionBy(*s.GROUP, "_lang")
-    bound = s.group_rows(values)
 
     def reorder(rows: DataFrame) -> DataFrame:
         if s.is_small(values):
@@ -360,9 +375,10 @@ def order_values(values: DataFrame, languages, properties, *, sel=None) -> DataF
                 with_facts=lambda pieces: pieces.withColumn(
                     "_seen", F.min("_first").over(same_language)),
                 block_order=[*lead, F.col("_block")])
-        return s.placed(numbered, values.columns, bound)
+        return numbered.withColumn(
+            "pos", F.when(F.col("_hit"), F.col("_at")).otherwise(F.col("pos")))
 
-    return s.divert(marked, condition, reorder, values.columns)
+    return s.stamp(s.divert(marked, condition, reorder, values.columns), s.group_rows(values))
 
 
 def set_visibility(values: DataFrame, visible: bool, properties, *, sel=None,
@@ -395,8 +411,9 @@ def remove_values(values: DataFrame, properties, *, keep_max_values: int | None
     limit = keep_max_values or max_values
     if limit:
         spared = F.col("_within") if keep_max_values else ~F.col("_within")
-        kept = s.divert(marked, hit, lambda rows: s.first_rows(rows, limit).where(spared),
-                        values.columns)
+        kept = s.divert(
+            marked, hit, lambda rows: s.first_rows(rows, limit).where(~F.col("_hit") | spared),
+            values.columns)
     else:
         kept = marked.where(~F.coalesce(hit, F.lit(False))).select(*values.columns)
     return s.close_up(kept) if renumber else kept

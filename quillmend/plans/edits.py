@@ -311,24 +311,31 @@ def run_pipeline(tables: Mapping[str, DataFrame], spec: Mapping, *, sel=None,
     if gated:
         t["values"] = before.withColumn(s.GATE, F.lit(True))
     gaps, read_twice = False, False
-    for step in edits:
-        if gated and step.name in BATCH_EDITS:
-            t["values"], gated = t["values"].drop(s.GATE), False
-        gaps |= step.name in ("replace", "remove", "trim_values", "deduplicate_values")
-        if step.name in NUMBERING_EDITS and not s.is_small(t["values"]):
-            t["values"] = _single_read(t["values"], read_twice)
-            read_twice = True
-        _apply(step, t, sel, by, types)
-    t["values"] = t["values"].drop(s.GATE)
-    if gaps:
-        if not s.is_small(t["values"]):
-            t["values"] = _single_read(t["values"], read_twice)
-        t["values"] = s.close_up(t["values"])
+    with s.chain(before):
+        for step in edits:
+            if gated and step.name in BATCH_EDITS:
+                t["values"], gated = t["values"].drop(s.GATE), False
+            gaps |= step.name in ("replace", "remove", "trim_values", "deduplicate_values")
+            if _reads_twice(step, t["values"]):
+                t["values"] = _single_read(t["values"], read_twice)
+                read_twice = True
+            _apply(step, t, sel, by, types)
+        t["values"] = t["values"].drop(s.GATE)
+        if gaps:
+            if not s.is_small(t["values"]):
+                t["values"] = _single_read(t["values"], read_twice)
+            t["values"] = s.close_up(t["values"])
     t["audit"] = audit(before.sparkSession, edits)
     t["counts"] = report.changes(before, t["values"])
     return t
 
 
+def _reads_twice(step: Edit, values: DataFrame) -> bool:
+    numbers = step.name in NUMBERING_EDITS or step.params.get("max_values") or step.params.get(
+        "keep_max_values")
+    return step.name == "explode_item" or bool(numbers and not s.is_small(values))
+
+
 def _single_read(values: DataFrame, read_twice: bool) -> DataFrame:
     """Values that an edit may read twice although an edit before it did so too. The stored
     table is measured again: it may hold no hot group after all."""
