@@ -8,7 +8,7 @@ from quillmend.operators.fill import fill_values
 from quillmend.operators.media import (edit_media_html, edit_media_source, explode_items,
                                        order_media, page_manifest, remove_media, set_media_type,
                                        set_media_visibility, set_owner, set_thumbnail)
-from quillmend.operators._shared import measure_groups
+from quillmend.operators._shared import chain, measure_groups
 from quillmend.operators.report import changes, facets
 from quillmend.operators.values import (copy_values, create_values, displace_values,
                                         explode_values, merge_values, order_values, remove_values,

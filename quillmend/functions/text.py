@@ -44,6 +44,11 @@ def has_text(c: Column) -> Column:
     return F.coalesce(F.length(c) > 0, F.lit(False))
 
 
+def has_visible_text(c: Column) -> Column:
+    """Some character that is no white space."""
+    return F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
+
+
 def is_http_url(c: Column) -> Column:
     return F.coalesce(c.startswith("http://") | c.startswith("https://"), F.lit(False))
 

@@ -95,15 +95,16 @@ def saved(values: DataFrame) -> DataFrame:
 
 
 def divert(df: DataFrame, condition: Column, edit: Callable[[DataFrame], DataFrame],
-           columns: Sequence[str]) -> DataFrame:
+           columns: Sequence[str], whole: bool = False) -> DataFrame:
     """Apply `edit` to the rows that meet `condition`, marked by ``_hit``.
 
     A single edit gets only these rows, and the others skip its shuffles: the table is scanned
     twice, with complementary filters. Inside a chain the input is no scan but the plan so far,
     which must not be computed twice: there `edit` gets all rows and changes those with ``_hit``.
+    So it does with `whole`, for an edit followed by a shuffle of all rows on the same keys.
     """
     marked = df.withColumn("_hit", F.coalesce(condition, F.lit(False)))
-    if in_chain():
+    if whole or in_chain():
         return edit(marked).select(*columns)
     rest = marked.where(~F.col("_hit")).select(*columns)
     return edit(marked.where(F.col("_hit"))).select(*columns).unionByName(rest)

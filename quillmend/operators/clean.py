@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillmend import schema
 from quillmend.functions import text
@@ -20,12 +20,12 @@ def trim_values(values: DataFrame, *, sel=None, renumber: bool = True) -> DataFr
     """Trim Unicode white space of value, lang and uri, blank becomes null, then drop the
     selected rows that hold no value, uri or link."""
     marked, condition = s.selected(values, sel)
-    trimmed = marked.withColumns({
-        name: F.when(condition, text.blank_to_null(text.trim_unicode(F.col(name))))
-        .otherwise(F.col(name)) for name in ("value", "lang", "uri")})
-    empty = (F.col("value_resource_id").isNull() & F.col("value").isNull()
-             & F.col("uri").isNull())
-    kept = trimmed.where(~(condition & empty)).select(*values.columns)
+    trims = {name: F.when(condition, text.blank_to_null(text.trim_unicode(F.col(name))))
+             .otherwise(F.col(name)) for name in ("value", "lang", "uri")}
+    # Tested on the text as it was: the first visible character decides, nothing is trimmed twice.
+    empty = (F.col("value_resource_id").isNull() & ~text.has_visible_text(F.col("value"))
+             & ~text.has_visible_text(F.col("uri")))
+    kept = (marked.where(~(condition & empty)).withColumns(trims).select(*values.columns))
     return s.close_up(kept) if renumber else kept
 
 
@@ -80,7 +80,9 @@ def deduplicate_values(values: DataFrame, *, annotation_values: DataFrame | None
     """Keep one row per group of equal values: the smallest value_id, then position.
 
     One aggregation whose partial step runs before the shuffle, so a value repeated a billion
-    times sends one row per task. Rows outside the selection each form their own group.
+    times sends one row per task. A measured table without hot groups holds no such value: its
+    copies are found by a window, on the partitioning that numbering uses too. Rows outside the
+    selection each form their own group.
     """
     columns = values.columns
     marked, condition = s.selected(values, sel)
@@ -92,16 +94,24 @@ def deduplicate_values(values: DataFrame, *, annotation_values: DataFrame | None
 
     rank = F.struct(F.col("value_id").isNull().alias("unsaved"), F.col("value_id").alias("id"),
                     F.col("pos").alias("at"))
-    keys = [
-        F.col("resource_id"), F.col("property"), F.col("value_resource_id").alias("_link"),
-        key("type").alias("_type"), key("lang").alias("_lang"), key("value").alias("_value"),
-        key("uri").alias("_uri"), F.col("is_public").alias("_public"),
-        F.col("value_annotation_id").alias("_annotation"),
+    compared = {
+        "_link": F.col("value_resource_id"), "_type": key("type"), "_lang": key("lang"),
+        "_value": key("value"), "_uri": key("uri"), "_public": F.col("is_public"),
+        "_annotation": F.col("value_annotation_id"),
         # Rows out of reach are never equal to another one.
-        F.when(~condition, rank).alias("_apart"),
-    ]
+        "_apart": F.when(~condition, rank),
+    }
     if annotation_values is not None:
-        keys += [F.col("_field"), F.col("_ordinal")]
+        compared.update({"_part": F.col("_field"), "_place": F.col("_ordinal")})
+    if s.is_small(values):
+        numbered = s.running_start(marked.withColumns(compared), s.GROUP, {}, s.row_order(),
+                                   "_now", small=True)
+        copies = Window.partitionBy(*s.GROUP, *compared).orderBy(
+            F.col("value_id").asc_nulls_last(), F.col("_now"))
+        kept = numbered.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1")
+        kept = kept.select(*columns)
+        return s.close_up(kept) if renumber else kept
+    keys = [*[F.col(name) for name in s.GROUP], *[c.alias(name) for name, c in compared.items()]]
     rest = [name for name in columns if name not in s.GROUP]
     kept = (marked.groupBy(*keys)
             .agg(F.min(F.struct(rank.alias("_rank"), *rest)).alias("_first"))

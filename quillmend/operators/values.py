@@ -246,7 +246,13 @@ def explode_values(values: DataFrame, properties, separator: str, *, contains: s
         "value_id": F.when(F.col("_i") == 0, F.col("value_id")),
         "_at": F.col("_at") + F.col("_i"),
     })
-    bound = s.grown(values, max_values if max_values and max_values > 0 else None)
+    if s.in_chain() and s.is_small(values):
+        # The edits that follow need to know: one job on the texts to split.
+        most = marked.where(hit).groupBy(*s.GROUP).agg(F.sum(F.size(pieces)).alias("n")).agg(
+            F.max("n")).first()[0]
+        bound = s.grown(values, 1, most or 0)
+    else:
+        bound = s.grown(values, max_values if max_values and max_values > 0 else None)
     return s.placed(split, values.columns, bound)
 
 
@@ -413,7 +419,7 @@ def remove_values(values: DataFrame, properties, *, keep_max_values: int | None
         spared = F.col("_within") if keep_max_values else ~F.col("_within")
         kept = s.divert(
             marked, hit, lambda rows: s.first_rows(rows, limit).where(~F.col("_hit") | spared),
-            values.columns)
+            values.columns, whole=renumber and s.is_small(values))
     else:
         kept = marked.where(~F.coalesce(hit, F.lit(False))).select(*values.columns)
     return s.close_up(kept) if renumber else kept

@@ -752,6 +752,8 @@ def _dedup_sql(source: str, fold: bool = True, extra: str = "") -> str:
         ORDER BY value_id) AS rn FROM ({source}) AS s) AS r WHERE rn = 1""")
 
 
+query("dedup_values_measured", lambda t: q.deduplicate_values(q.measure_groups(t.values)),
+      _dedup_sql(select({})))
 query("dedup_values", lambda t: q.deduplicate_values(t.values), _dedup_sql(select({})))
 query("dedup_values_case_sensitive", lambda t: q.deduplicate_values(t.values, case_sensitive=True),
       _dedup_sql(select({}), fold=False))
@@ -954,10 +956,12 @@ query("natural_order",
 def curation_report(t: Tables) -> DataFrame:
     """Trim, make links precise, split subjects, deduplicate; then values per property and
     language."""
-    values = q.trim_values(t.values, renumber=False)
-    values = q.specify_datatypes(values, t.resources)
-    values = q.explode_values(values, ["dcterms:subject"], ";")
-    values = q.deduplicate_values(values, renumber=False)
+    stored = q.measure_groups(t.values)
+    with q.chain(stored):
+        values = q.trim_values(stored, renumber=False)
+        values = q.specify_datatypes(values, t.resources)
+        values = q.explode_values(values, ["dcterms:subject"], ";")
+        values = q.deduplicate_values(values, renumber=False)
     return values.groupBy("property", "type", "lang").agg(
         F.count(F.lit(1)).alias("n_values"), F.count_if(F.col("is_public")).alias("n_public"),
         F.sum(F.length("value")).alias("n_chars"))
