@@ -250,6 +250,10 @@ CHECKS = {
 
 def normalise(spec: Mapping) -> list[Edit]:
     """The complete edits of a specification, cleaned, in order of execution."""
+    if "explode_pdf" in spec:
+        # Rendering is left to other tools; the edit plans the pages to render.
+        spec = {**spec, "page_manifest": spec["explode_pdf"]}
+        del spec["explode_pdf"]
     unknown = set(spec) - set(CHECKS) - {"cleaning"}
     if unknown:
         raise ValueError(f"unknown edits: {sorted(unknown)}")
