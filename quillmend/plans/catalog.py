@@ -944,23 +944,42 @@ query("fill_headings",
                 'https://www.idref.fr/' || CAST(c_custkey AS STRING) || '.xml' AS uri,
                 CAST(NULL AS BIGINT) AS value_resource_id, TRUE AS is_public, CAST(NULL AS BIGINT) AS value_annotation_id
          FROM customer""")
+def _ascii_name_sql(column: str) -> str:
+    marked, plain, joined = text._accent_rules()
+    outer = "' /\\?<>:*%|\"`&;' || chr(39) || chr(160)"
+    name = f"trim(regexp_replace({column}, '<[^>]*>', '', 'g'), {outer})"
+    name = f"translate({name}, '({{)}}', '[[]]')"
+    name = f"regexp_replace({name}, '[\\x00-\\x1F\\x7F/\\\\?<>:*%|\"''`&;#+^$\\s]', ' ', 'g')"
+    name = f"right(regexp_replace({name}, '\\s+', ' ', 'g'), 180)"
+    name = f"translate({name}, '{marked}', '{plain}')"
+    for letter, pair in joined:
+        name = f"replace({name}, '{letter}', '{pair}')"
+    name = f"regexp_replace({name}, '[^A-Za-z0-9\\[\\]_\\-.#~@+:]', '_', 'g')"
+    return f"right(regexp_replace({name}, '_+', '_', 'g'), 180)"
+
+
+NUMBER = "regexp_replace(run, '^0+(\\d)', '\\1')"
 query("names_to_ascii",
       lambda t: t.documents.select("doc_id", text.ascii_name(text.sanitize_name(F.col("text"))).alias("name")),
-      None)
+      f"SELECT doc_id, {_ascii_name_sql('text')} AS name FROM documents")
 query("natural_order",
-      lambda t: t.pages.select("page_id", text.natural_key(F.col("url")).alias("sort_key")), None)
+      lambda t: t.pages.select("page_id", text.natural_key(F.col("url")).alias("sort_key")),
+      f"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(lower(url), '\\d+|[^\\d]+'),
+              lambda run: CASE WHEN regexp_matches(run, '^\\d')
+                          THEN lpad(CAST(length({NUMBER}) AS VARCHAR), 6, '0') || {NUMBER} ELSE run END), '') AS sort_key
+          FROM pages""")
 
 
 # ---------------------------------------------------------------- flagship
 
 def curation_report(t: Tables) -> DataFrame:
-    """Trim, make links precise, split subjects, deduplicate; then values per property and
+    """Trim, split subjects, make links precise, deduplicate; then values per property and
     language."""
     stored = q.measure_groups(t.values)
     with q.chain(stored):
         values = q.trim_values(stored, renumber=False)
-        values = q.specify_datatypes(values, t.resources)
         values = q.explode_values(values, ["dcterms:subject"], ";")
+        values = q.specify_datatypes(values, t.resources)
         values = q.deduplicate_values(values, renumber=False)
     return values.groupBy("property", "type", "lang").agg(
         F.count(F.lit(1)).alias("n_values"), F.count_if(F.col("is_public")).alias("n_public"),

@@ -6,7 +6,7 @@ once and computes its rows with built-in expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 GEONAMES = "valuesuggest:geonames:geonames"
 
@@ -57,75 +57,65 @@ def page_counts(media_table: DataFrame) -> DataFrame:
         F.col("id").alias("media_id"), (F.col("id") % 5).cast("int").alias("page_count"))
 
 
-def _row(k: int, prop: str, pos: int, *, kind: str = "literal", lang=None, value=None, uri=None,
-         link=None, keep=None) -> Column:
-    def typed(c, name: str, as_type: str) -> Column:
-        return (F.lit(None) if c is None else c).cast(as_type).alias(name)
-
-    return F.struct(
-        (F.col("doc_id") * 20 + k).alias("value_id"),
-        F.lit(prop).alias("property"),
-        F.lit(pos).cast("long").alias("pos"),
-        F.lit(kind).alias("type"),
-        typed(lang, "lang", "string"),
-        typed(value, "value", "string"),
-        typed(uri, "uri", "string"),
-        typed(link, "value_resource_id", "long"),
-        (F.lit(True) if keep is None else keep).alias("_keep"))
+def _row(k: int, prop: str, pos: int, *, kind: str = "literal", lang: str = "NULL",
+         value: str = "NULL", uri: str = "NULL", link: str = "NULL", keep: str = "true") -> str:
+    return (f"struct(doc_id * 20 + {k} AS value_id, '{prop}' AS property, {pos}L AS pos,"
+            f" '{kind}' AS type, CAST({lang} AS STRING) AS lang, CAST({value} AS STRING) AS value,"
+            f" CAST({uri} AS STRING) AS uri, CAST({link} AS BIGINT) AS value_resource_id,"
+            f" {keep} AS keep)")
+
+
+N = "CAST(doc_id AS STRING)"
+PERSON = "CAST(doc_id % 97 AS STRING)"
+
+# The values a document has by itself.
+OWN_VALUES = (
+    _row(0, "dcterms:title", 0, lang="lang", value="substr(text, 1, 40)"),
+    _row(1, "dcterms:title", 1, lang="'en'", value=f"'Title ' || {N}"),
+    _row(2, "dcterms:title", 2, lang="'de'", value=f"'Titel ' || {N}", keep="doc_id % 2 = 1"),
+    _row(3, "dcterms:description", 0, value="text", lang="if(doc_id % 6 = 0, '', lang)"),
+    _row(4, "dcterms:source", 0,
+         value="if(doc_id % 5 = 0, '  ' || source || chr(9) || chr(160), source)"),
+    _row(5, "dcterms:source", 1, value="source", keep="doc_id % 4 = 0"),
+    _row(6, "dcterms:source", 2, value="upper(source)", keep="doc_id % 8 = 0"),
+    _row(7, "dcterms:subject", 0, lang="lang",
+         value="source || ';' || lang || '; ;kw' || CAST(doc_id % 13 AS STRING)"),
+    _row(8, "dcterms:identifier", 0, value=f"'doc-' || lpad({N}, 8, '0')"),
+    _row(9, "dcterms:isPartOf", 0,
+         value="'files/doc-' || lpad(CAST(doc_id div 2 AS STRING), 8, '0') || '.pdf'"),
+    _row(10, "dcterms:relation", 0, kind="resource", link="30000000 + doc_id % 5"),
+    _row(12, "dcterms:creator", 0, value=f"'Name ' || {PERSON}"),
+    _row(13, "dcterms:creator", 1, value=f"'https://example.org/p/' || {PERSON}",
+         keep="doc_id % 5 <> 1"),
+    _row(14, "dcterms:spatial", 0, kind=GEONAMES, value="if(doc_id % 3 <> 0, 'Old label', NULL)",
+         uri="'https://www.geonames.org/' || CAST(1000 + doc_id % 25 AS STRING)"
+             " || if(doc_id % 2 = 0, '/x.html', '')"),
+    _row(16, "dcterms:abstract", 0, lang="lang",
+         value="CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN '   ' ELSE substr(text, 1, 80) END"),
+    _row(17, "dcterms:alternative", 0, value=f"if(doc_id % 2 = 0, 'cafÃ© ', 'café ') || {N}"),
+)
 
 
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """About 15 values per document: several languages, padded and repeated text, links, uris,
     name and address pairs, damaged characters, blanks."""
-    doc, n = F.col("doc_id"), F.col("doc_id").cast("string")
-    source, lang, body = F.col("source"), F.col("lang"), F.col("text")
-    person = (doc % 97).cast("string")
-    padded = F.concat(F.lit("  "), source, F.lit("\t\xa0"))
-    own = [
-        _row(0, "dcterms:title", 0, lang=lang, value=F.substring(body, 1, 40)),
-        _row(1, "dcterms:title", 1, lang=F.lit("en"), value=F.concat(F.lit("Title "), n)),
-        _row(2, "dcterms:title", 2, lang=F.lit("de"), value=F.concat(F.lit("Titel "), n),
-             keep=doc % 2 == 1),
-        _row(3, "dcterms:description", 0, value=body,
-             lang=F.when(doc % 6 == 0, F.lit("")).otherwise(lang)),
-        _row(4, "dcterms:source", 0, value=F.when(doc % 5 == 0, padded).otherwise(source)),
-        _row(5, "dcterms:source", 1, value=source, keep=doc % 4 == 0),
-        _row(6, "dcterms:source", 2, value=F.upper(source), keep=doc % 8 == 0),
-        _row(7, "dcterms:subject", 0, lang=lang, value=F.concat(
-            source, F.lit(";"), lang, F.lit("; ;kw"), (doc % 13).cast("string"))),
-        _row(8, "dcterms:identifier", 0, value=F.concat(F.lit("doc-"), F.lpad(n, 8, "0"))),
-        _row(9, "dcterms:isPartOf", 0, value=F.concat(
-            F.lit("files/doc-"), F.lpad(F.floor(doc / 2).cast("string"), 8, "0"), F.lit(".pdf"))),
-        _row(10, "dcterms:relation", 0, kind="resource", link=F.lit(30000000) + doc % 5),
-        _row(12, "dcterms:creator", 0, value=F.concat(F.lit("Name "), person)),
-        _row(13, "dcterms:creator", 1, keep=doc % 5 != 1,
-             value=F.concat(F.lit("https://example.org/p/"), person)),
-        _row(14, "dcterms:spatial", 0, kind=GEONAMES,
-             value=F.when(doc % 3 != 0, F.lit("Old label")),
-             uri=F.concat(F.lit("https://www.geonames.org/"), (1000 + doc % 25).cast("string"),
-                          F.when(doc % 2 == 0, F.lit("/x.html")).otherwise(F.lit("")))),
-        _row(16, "dcterms:abstract", 0, lang=lang,
-             value=F.when(doc % 9 == 0, F.lit("")).when(doc % 9 == 1, F.lit("   "))
-             .otherwise(F.substring(body, 1, 80))),
-        _row(17, "dcterms:alternative", 0, value=F.concat(
-            F.when(doc % 2 == 0, F.lit("cafÃ© ")).otherwise(F.lit("café ")), n)),
-    ]
-    documents = table(spark, sf_dir, "documents")
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    rows = documents.select("doc_id", F.inline(F.array(*own)))
-    references = documents.join(pages, F.col("page_id") == doc).select(
-        "doc_id", F.inline(F.array(_row(
-            11, "dcterms:references", 0, kind="uri", uri=F.col("url"),
-            value=F.when(doc % 2 == 1, F.concat(F.lit("Ref "), n))))))
-    coverage = documents.join(nation, F.col("n_nationkey") == doc % 25).select(
-        "doc_id", F.inline(F.array(_row(15, "dcterms:coverage", 0, value=F.col("n_name")))))
-    every = rows.unionByName(references).unionByName(coverage).where("_keep")
-    noted = (doc % 32 == 0) & (F.col("value_id") % 20 == 5)
-    return every.select(
-        "value_id", (doc + 1).alias("resource_id"), "property", "pos", "type", "lang", "value",
-        "uri", "value_resource_id", (doc % 11 != 0).alias("is_public"),
-        F.when(noted, 40000000 + doc).alias("value_annotation_id"))
+    reference = _row(11, "dcterms:references", 0, kind="uri", uri="url",
+                     value=f"if(doc_id % 2 = 1, 'Ref ' || {N}, NULL)")
+    coverage = _row(15, "dcterms:coverage", 0, value="n_name")
+    return spark.sql(f"""
+        SELECT value_id, doc_id + 1 AS resource_id, property, pos, type, lang, value, uri,
+               value_resource_id, doc_id % 11 <> 0 AS is_public,
+               if(doc_id % 32 = 0 AND value_id % 20 = 5, 40000000 + doc_id, NULL)
+                   AS value_annotation_id
+        FROM (SELECT doc_id, inline(array({", ".join(OWN_VALUES)})) FROM {{documents}}
+              UNION ALL
+              SELECT doc_id, inline(array({reference})) FROM {{documents}}
+              JOIN {{pages}} ON page_id = doc_id
+              UNION ALL
+              SELECT doc_id, inline(array({coverage})) FROM {{documents}}
+              JOIN {{nation}} ON n_nationkey = doc_id % 25)
+        WHERE keep""", documents=table(spark, sf_dir, "documents"),
+        pages=table(spark, sf_dir, "pages"), nation=table(spark, sf_dir, "nation"))
 
 
 def annotation_values(spark: SparkSession, sf_dir: str) -> DataFrame:
