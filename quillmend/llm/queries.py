@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillmend.llm import pu_quality, toxicity
+from quillmend.llm.common import remainder
 from quillmend.llm.piece_bpe import encode_documents
 
 PIECES = "piece_bpe_32k.model"
@@ -16,12 +19,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def classified(spark: SparkSession, folder: str, operator, label: str, threshold: float) -> DataFrame:
+    """Scores of all documents by a model that learns labels of three parts of four."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    labels = table(spark, folder, "labels").select("doc_id", label).where(~held_out)
+    model = operator.train(docs, labels, label=label)
+    return operator.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return classified(spark, folder, toxicity, "toxic", 0.3)
+
+
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return classified(spark, folder, pu_quality, "quality", 0.7)
+
+
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return encode_documents(docs, public_tokenizers.path(PIECES), keep_ids=False, keep_decoded=False).drop("text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op7_quality": op7_quality,
     "op8_sentencepiece": op8_sentencepiece,
 }
 
