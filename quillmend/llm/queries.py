@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmend.llm import pu_quality, toxicity
+from quillmend.llm import minhash_forest, pu_quality, toxicity
 from quillmend.llm.common import remainder
 from quillmend.llm.piece_bpe import encode_documents
 
@@ -42,10 +42,15 @@ def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path(PIECES), keep_ids=False, keep_decoded=False).drop("text")
 
 
+def op10_minhash_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_forest.similarity_join(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op7_quality": op7_quality,
     "op8_sentencepiece": op8_sentencepiece,
+    "op10_minhash_forest": op10_minhash_forest,
 }
 
 ORACLES: dict[str, str] = {}
