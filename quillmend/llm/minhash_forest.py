@@ -141,6 +141,52 @@ def components(edges: DataFrame, a: str = "node", b: str = "root") -> DataFrame:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def bucket_forest(labels: DataFrame, payload: DataFrame, size: int, alike) -> DataFrame:
+    """(node, root): a spanning forest of the pairs that share a bucket and are ``alike``.
+
+    ``labels`` has a row for each node and bucket, ``payload`` the ``size`` bytes ``_sig`` of each node;
+    ``alike`` takes two byte matrices of as many rows and tells which pairs to keep. Buckets of one
+    node are dropped before the payload joins; large ones are cut into blocks, and each pair of
+    blocks is compared by itself."""
+    shared = labels.groupBy("bucket").agg(F.count("*").alias("_m")).where("_m > 1")
+    shared = shared.select("bucket", F.ceil(F.col("_m") / BLOCK_NODES).cast("int").alias("_blocks"))
+    members = labels.join(shared, "bucket").join(payload, "node")
+    keys = ["bucket", "_i", "_j"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, keys):
+            sig = np.frombuffer(b"".join(table.column("_sig").to_pylist()), np.uint8).reshape(-1, size)
+            cuts = bounds(table, keys)
+            group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            side = table.column("_side").to_numpy()
+            diagonal = table.column("_i").to_numpy() == table.column("_j").to_numpy()
+            root = np.arange(len(group))
+            left, right, step = [], [], 1
+            rows = np.arange(len(group))
+            # All pairs at distance 1, then 2, ... inside the groups, until no group is that long.
+            while True:
+                rows = rows[rows + step < len(group)]
+                rows = rows[group[rows] == group[rows + step]]
+                if not len(rows):
+                    break
+                tried = rows[diagonal[rows] | (side[rows] != side[rows + step])]
+                for k in range(0, len(tried), 100_000):
+                    part = tried[k:k + 100_000]
+                    good = part[alike(sig[part], sig[part + step])]
+                    left.append(good)
+                    right.append(good + step)
+                step += 1
+            if left:
+                root = spanning(np.concatenate(left), np.concatenate(right), len(group))
+            moved = np.flatnonzero(root != np.arange(len(group)))
+            nodes = table.column("node").combine_chunks()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes.take(pa.array(moved)), pa.binary()), pa.array(nodes.take(pa.array(root[moved])), pa.binary())],
+                names=["node", "root"])
+
+    return dealt(in_blocks(members, "bucket", "_blocks"), keys, "node").mapInArrow(compare, "node binary, root binary")
+
+
 def nodes_of(docs: DataFrame, text: str, id_column: str) -> DataFrame:
     return docs.select(F.col(id_column).alias("_id"), words_text(F.col(text)).alias("_words")).withColumn(
         "node", digest(F.col("_words")))
@@ -177,48 +223,14 @@ def similarity_join(docs: DataFrame, *, text: str = "text", id_column: str = "do
     copies = signed.groupBy("node").agg(F.min("_id").alias("_rep"), F.count("*").alias("_n"), F.first("_chars").alias("_chars"))
     unique = signed.where("_sig is not null").groupBy("node").agg(F.first("_labels").alias("_labels"), F.first("_sig").alias("_sig"))
 
-    # 2. Buckets of more than one node, cut into blocks; a forest of the pairs that may be linked.
-    labels = unique.select("node", F.explode("_labels").alias("bucket"))
-    shared = labels.groupBy("bucket").agg(F.count("*").alias("_m")).where("_m > 1")
-    shared = shared.select("bucket", F.ceil(F.col("_m") / BLOCK_NODES).cast("int").alias("_blocks"))
-    members = labels.join(shared, "bucket")
-    member_rows = members.join(unique.select("node", "_sig"), "node")
-    keys = ["bucket", "_i", "_j"]
+    # 2. Buckets of more than one node; a forest of the pairs that may be linked.
     need = threshold - slack
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, keys):
-            sig = np.frombuffer(b"".join(table.column("_sig").to_pylist()), np.uint8).reshape(-1, size)
-            cuts = bounds(table, keys)
-            group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-            side = table.column("_side").to_numpy()
-            diagonal = table.column("_i").to_numpy() == table.column("_j").to_numpy()
-            root = np.arange(len(group))
-            left, right, step = [], [], 1
-            rows = np.arange(len(group))
-            while True:
-                rows = rows[rows + step < len(group)]
-                rows = rows[group[rows] == group[rows + step]]
-                if not len(rows):
-                    break
-                tried = rows[diagonal[rows] | (side[rows] != side[rows + step])]
-                for k in range(0, len(tried), 100_000):
-                    part = tried[k:k + 100_000]
-                    agree = (sig[part] == sig[part + step]).mean(1)
-                    # One byte agrees by chance once in 256 times.
-                    good = part[(agree - 1 / 256) / (1 - 1 / 256) >= need]
-                    left.append(good)
-                    right.append(good + step)
-                step += 1
-            if left:
-                root = spanning(np.concatenate(left), np.concatenate(right), len(group))
-            moved = np.flatnonzero(root != np.arange(len(group)))
-            nodes = table.column("node").combine_chunks()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes.take(pa.array(moved)), pa.binary()), pa.array(nodes.take(pa.array(root[moved])), pa.binary())],
-                names=["node", "root"])
+    def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        # One byte agrees by chance once in 256 times.
+        return ((a == b).mean(1) - 1 / 256) / (1 - 1 / 256) >= need
 
-    forest = dealt(in_blocks(member_rows, "bucket", "_blocks"), keys, "node").mapInArrow(compare, "node binary, root binary")
+    forest = bucket_forest(unique.select("node", F.explode("_labels").alias("bucket")), unique.select("node", "_sig"), size, alike)
     near = components(forest)
 
     # 3. Exact similarities inside the components.

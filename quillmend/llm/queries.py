@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmend.llm import minhash_forest, pu_quality, toxicity
+from quillmend.llm import edit_embedding, minhash_forest, pu_quality, toxicity, warc
 from quillmend.llm.common import remainder
 from quillmend.llm.piece_bpe import encode_documents
 
@@ -33,6 +33,14 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return classified(spark, folder, toxicity, "toxic", 0.3)
 
 
+def op4_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select(
+        F.col("page_id").alias("id"), F.col("url").alias("uri"), F.col("html").alias("payload"))
+    return warc.deduplicate(pages).select(
+        F.col("record_key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return classified(spark, folder, pu_quality, "quality", 0.7)
 
@@ -42,15 +50,36 @@ def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path(PIECES), keep_ids=False, keep_decoded=False).drop("text")
 
 
+def op9_edit_embedding(spark: SparkSession, folder: str) -> DataFrame:
+    prints = edit_embedding.fingerprint_documents(table(spark, folder, "documents").select("doc_id", "text"))
+    return edit_embedding.near_classes(prints)
+
+
 def op10_minhash_forest(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_forest.similarity_join(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op4_warc_revisits": op4_warc_revisits,
     "op7_quality": op7_quality,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_edit_embedding": op9_edit_embedding,
     "op10_minhash_forest": op10_minhash_forest,
 }
 
-ORACLES: dict[str, str] = {}
+OP4_SQL = """
+WITH sized AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+    FROM pages),
+firsts AS (
+    SELECT payload_digest, min(page_id) AS first_id FROM sized WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+    CASE WHEN first_id IS DISTINCT FROM page_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
+FROM sized LEFT JOIN firsts USING (payload_digest)
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_warc_revisits": OP4_SQL,
+}
