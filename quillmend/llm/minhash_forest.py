@@ -81,7 +81,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         same = np.ones(batch.num_rows, bool)
         for key in keys:
             column = np.asarray(batch.column(key).to_numpy(zero_copy_only=False))
-            same &= column == column[-1]
+            same &= column == column[-1:]  # an array: numpy cuts zero bytes off the end of a scalar
         last = batch.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
         if last:
             yield pa.Table.from_batches([*rest, batch.slice(0, last)])
