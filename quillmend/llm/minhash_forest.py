@@ -239,8 +239,9 @@ def similarity_join(docs: DataFrame, *, text: str = "text", id_column: str = "do
     blocks = sized.groupBy("root").agg(F.greatest(
         F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum(F.col("_chars").cast("long")) / BLOCK_CHARS)).cast("int").alias("_blocks"))
     sized = stored(sized.join(blocks, "root").select("node", "root", "_n", "_blocks", F.col("_rep").alias("_id")))
+    # Sorted and merged at every size: the candidates grow with the documents.
     texts = nodes_of(docs, text, id_column).withColumn("_id", F.col("_id").cast("long")).join(
-        sized, ["_id", "node"])
+        sized.hint("merge"), ["_id", "node"])
     keys3 = ["root", "_i", "_j"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
