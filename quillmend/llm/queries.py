@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmend.llm import edit_embedding, minhash_forest, pu_quality, surrogates, toxicity, warc
+from quillmend.llm import edit_embedding, minhash_forest, pu_quality, sentence_spans, surrogates, toxicity, warc
 from quillmend.llm.common import remainder
 from quillmend.llm.piece_bpe import encode_documents
 
@@ -41,6 +41,10 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return classified(spark, folder, toxicity, "toxic", 0.3)
 
 
+def op3_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return sentence_spans.remove_repeated_spans(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op4_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select(
         F.col("page_id").alias("id"), F.col("url").alias("uri"), F.col("html").alias("payload"))
@@ -70,6 +74,7 @@ def op10_minhash_forest(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_surrogates": op1_surrogates,
     "op2_toxicity": op2_toxicity,
+    "op3_sentence_spans": op3_sentence_spans,
     "op4_warc_revisits": op4_warc_revisits,
     "op7_quality": op7_quality,
     "op8_sentencepiece": op8_sentencepiece,
@@ -77,6 +82,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_forest": op10_minhash_forest,
 }
 
+OP3_SQL = r"""
+WITH cut AS (
+    SELECT doc_id, text, regexp_extract_all(text, '[^.!?\n]*[.!?\n]+[ \t]*|[^.!?\n]+') AS pieces FROM documents),
+leveled AS (
+    SELECT *, list_transform(pieces, lambda x: trim(regexp_replace(x, '[ \t\r\n\f\v]+', ' ', 'g'))) AS level FROM cut),
+counted AS (
+    SELECT doc_id, level, unnest(range(1, len(level) + 1)) AS pos FROM leveled),
+words AS (
+    SELECT doc_id, pos, level[pos] AS sentence,
+        CASE WHEN level[pos] = '' THEN 0 ELSE length(level[pos]) - length(replace(level[pos], ' ', '')) + 1 END AS w
+    FROM counted),
+sums AS (
+    SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM words),
+ends AS (
+    SELECT a.doc_id, a.pos, min(b.pos) AS stop
+    FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.upto - a.upto + a.w >= 10
+    GROUP BY a.doc_id, a.pos),
+spans AS (
+    SELECT e.doc_id, e.pos, e.stop,
+        list_aggregate(list_filter(list_slice(l.level, e.pos, e.stop), lambda x: x <> ''), 'string_agg', ' ') AS run
+    FROM ends e JOIN leveled l USING (doc_id)),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS nth FROM spans),
+gone AS (
+    SELECT DISTINCT doc_id, unnest(range(pos, stop + 1)) AS pos FROM ranked WHERE nth > 1),
+lists AS (
+    SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id)
+SELECT l.doc_id,
+    CASE WHEN g.gone IS NULL THEN l.text ELSE array_to_string(
+        list_transform(list_filter(range(1, len(l.pieces) + 1), lambda i: NOT list_contains(g.gone, i)), lambda i: l.pieces[i]), '') END AS text,
+    CAST(len(l.pieces) AS BIGINT) AS n_sentences, CAST(coalesce(len(g.gone), 0) AS BIGINT) AS n_removed
+FROM leveled l LEFT JOIN lists g USING (doc_id)
+"""
+
 OP4_SQL = """
 WITH sized AS (
     SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
@@ -90,5 +129,6 @@ FROM sized LEFT JOIN firsts USING (payload_digest)
 """
 
 ORACLES: dict[str, str] = {
+    "op3_sentence_spans": OP3_SQL,
     "op4_warc_revisits": OP4_SQL,
 }
