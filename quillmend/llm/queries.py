@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmend.llm import edit_embedding, minhash_forest, pu_quality, sentence_spans, surrogates, toxicity, warc
+from quillmend.llm import edit_embedding, minhash_forest, pu_quality, sentence_spans, simhash_windows, surrogates, toxicity, warc
 from quillmend.llm.common import remainder
 from quillmend.llm.piece_bpe import encode_documents
 
@@ -53,6 +53,11 @@ def op4_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
         F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op6_simhash_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_windows.find_leaks(
+        table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return classified(spark, folder, pu_quality, "quality", 0.7)
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_sentence_spans": op3_sentence_spans,
     "op4_warc_revisits": op4_warc_revisits,
+    "op6_simhash_windows": op6_simhash_windows,
     "op7_quality": op7_quality,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_edit_embedding": op9_edit_embedding,
