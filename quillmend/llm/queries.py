@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmend.llm import edit_embedding, minhash_forest, pu_quality, sentence_spans, simhash_windows, surrogates, toxicity, warc
+from quillmend.llm import context_tree, edit_embedding, minhash_forest, pu_quality, sentence_spans, simhash_windows, surrogates, toxicity, warc
 from quillmend.llm.common import remainder
 from quillmend.llm.piece_bpe import encode_documents
 
@@ -53,6 +53,12 @@ def op4_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
         F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op5_context_tree(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 5) == 1
+    return context_tree.score_documents(docs, ~held_out).withColumn("held_out", held_out)
+
+
 def op6_simhash_windows(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_windows.find_leaks(
         table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_sentence_spans": op3_sentence_spans,
     "op4_warc_revisits": op4_warc_revisits,
+    "op5_context_tree": op5_context_tree,
     "op6_simhash_windows": op6_simhash_windows,
     "op7_quality": op7_quality,
     "op8_sentencepiece": op8_sentencepiece,
