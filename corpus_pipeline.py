@@ -1,13 +1,45 @@
-"""From documents to tokens: five stages, each written and read again before the next."""
+"""From documents to tokens: five stages, each written and read again before the next one."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmend.llm.common import stored
+from quillmend.llm import minhash_forest, pu_quality, simhash_windows, surrogates
+from quillmend.llm.common import digest, stored
 from quillmend.llm.piece_bpe import encode_documents
-from quillmend.llm.queries import PIECES
+from quillmend.llm.queries import PIECES, SURROGATE_KEY, table
+
+LEAST_QUALITY = 0.7
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject. It learns from all labelled documents."""
+    model = pu_quality.train(docs, table(spark, sf_dir, "labels"))
+    return pu_quality.score(docs, model).where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each class of near duplicates. Of rows that repeat its id,
+    one text stays (the least digest), and of equal rows one. Rows without an id all stay."""
+    heads = minhash_forest.similarity_join(docs.select("doc_id", "text")).where(
+        F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    kept = docs.join(heads.hint("merge"), "doc_id", "left_semi")
+    first = kept.groupBy("doc_id").agg(F.min(digest(F.coalesce("text", F.lit("")))).alias("_digest"), F.count("*").alias("_n")).where("_n > 1")
+    repeated = kept.join(first, "doc_id").where(digest(F.coalesce("text", F.lit(""))) == F.col("_digest")).select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(first, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated).unionByName(docs.where("doc_id is null"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return simhash_windows.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Surrogates for personal data and secrets; n_chars follows the text."""
+    changed = surrogates.replace_entities(docs, SURROGATE_KEY, count="_entities")
+    return changed.withColumn("n_chars", F.when(F.col("_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,14 +47,20 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path(PIECES), keep_decoded=False)
 
 
-STAGES = [("sentencepiece", encode)]
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", one_of_each),
+    ("decontamination", decontaminated),
+    ("surrogates", private),
+    ("sentencepiece", encode),
+]
 
-#: SQL has no means for classifiers, hashed signatures and merge-type vocabularies.
+#: SQL has no means for classifiers, keyed digests of spans and merge-type vocabularies.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         docs = stored(docs) if k + 1 < len(STAGES) else docs
