@@ -2,14 +2,15 @@
 
 A record is a header and a payload; archives are written by Spark's text writer, one record per
 row, so that they are committed as every Spark output is, and lost tasks are done again. Archives
-are read as whole binary files (their number follows the partitions, and so their size is bounded)
-and cut at the lengths that the headers state.
+are compressed and read as whole binary files (their number follows the partitions, and so their size
+is bounded) and cut at the lengths that the headers state.
 
-Revisit resolution: headers alone (digest, length, id) are shuffled by the payload digest; the least
-id of a digest is the response, and the records of that digest become revisits of it. Their
-payloads are dropped and every record gets a fresh header. Reading back, revisits are joined to the
-responses they name. A digest that a third of the records share is first reduced by partial
-aggregation; the join to it is on a key that adaptive execution may split.
+Revisit resolution: headers (digest, length, id) are aggregated by the payload digest; the least id of
+a digest that several records have is the response, and the others become revisits of it. The records
+are joined to these answers by digest, which moves each payload once; revisits then drop theirs and
+every record gets a fresh header. Reading back, revisits are joined to the responses they name, without
+payloads. A digest that a third of the records share is reduced by partial aggregation, and the join to
+it is one that adaptive execution may split.
 
 Defined cases: a null payload is empty. Payloads under ``least_bytes`` are always responses. Rows
 that repeat the id of their response are responses too. Null ids sort last and stay null.
@@ -17,6 +18,7 @@ that repeat the id of their response are responses too. Null ids sort last and s
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -83,7 +85,7 @@ def write_archives(resolved: DataFrame, folder: str) -> None:
         ("Content-Length", F.octet_length(block)),
     ])
     (resolved.select(F.concat(head, block).alias("value")).write
-     .option("lineSep", END).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(folder))
+     .option("lineSep", END).option("maxRecordsPerFile", ARCHIVE_RECORDS).option("compression", "gzip").text(folder))
 
 
 def records_in(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -114,7 +116,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for data in batch.column("content").to_pylist():
                 rows = []
-                for fields, block in records_in(data):
+                for fields, block in records_in(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     rows.append((fields["warc-type"], fields["warc-record-id"], fields.get("warc-target-uri"),
                                  fields.get("x-record-key"), fields.get("warc-refers-to"),
                                  fields.get("warc-payload-digest", "").removeprefix("sha256:") or None,
