@@ -131,9 +131,9 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, *, margin: float = 0.01, doubt:
         return 0.5
     both = np.concatenate((np.ones(len(p[a])), np.zeros(len(u[a]))))
     x = np.concatenate((p[a], u[a]))
-    # Telling P from U with equal weight: the risk with a prior of one half each.
-    w = _telling(x, both, epochs)
-    sp, su = np.sort(p[b] @ w[:-1]), np.sort(u[b] @ w[:-1])
+    centre, scale = x.mean(0), np.maximum(x.std(0), 1e-2) * np.sqrt(x.shape[1])
+    w = _telling((x - centre) / scale, both, epochs)
+    sp, su = np.sort(((p[b] - centre) / scale) @ w[:-1]), np.sort(((u[b] - centre) / scale) @ w[:-1])
     cuts = np.unique(np.concatenate((sp, su)))
     qp = 1 - np.searchsorted(sp, cuts, "left") / len(sp)
     qu = 1 - np.searchsorted(su, cuts, "left") / len(su)
@@ -161,7 +161,7 @@ def _telling(x: np.ndarray, y: np.ndarray, epochs: int) -> np.ndarray:
     return w
 
 
-def fit(p: np.ndarray, u: np.ndarray, *, prior: float | None = None, steps: int = 1000, seed: int = 7) -> Model:
+def fit(p: np.ndarray, u: np.ndarray, *, prior: float | None = None, steps: int = 3000, seed: int = 7) -> Model:
     """Features of the positives and of the unlabelled to a model."""
     if not len(p) or not len(u):
         return Model(np.zeros(WIDTH), 0.0, 0.5)
