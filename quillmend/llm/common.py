@@ -26,7 +26,7 @@ def stored(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts the lineage, so that what was computed
     survives lost executors and is not computed again."""
     folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
