@@ -256,18 +256,20 @@ def parsed(print_: str) -> np.ndarray:
     return np.concatenate((np.array([int(scale)], np.uint8), digits[raw]))
 
 
-def bands(print_: np.ndarray) -> np.ndarray:
-    """The keys of the bands of both clocks, without those that look behind the end of the text."""
+def bands(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the bands of both clocks, a row for each fingerprint, and which of them do not look
+    behind the end of the text."""
     draws = mixed(np.arange(BANDS * HEAD, dtype=np.uint64) + np.uint64(5)).reshape(BANDS, HEAD).argsort(1)[:, :BAND_SAMPLES]
-    keys = []
+    keys, told = [], []
     for clock in range(2):
-        values = print_[1 + clock * SAMPLES:1 + (clock + 1) * SAMPLES][draws].astype(np.uint64)
-        told = (values != NOTHING).all(1)
-        key = np.arange(BANDS, dtype=np.uint64) + np.uint64(1000) * np.uint64(int(print_[0]) + clock)
+        values = prints[:, 1 + clock * SAMPLES:1 + (clock + 1) * SAMPLES][:, draws]
+        scale = prints[:, :1].astype(np.uint64) + np.uint64(clock)
+        key = np.arange(BANDS, dtype=np.uint64)[None, :] + np.uint64(1000) * scale
         for k in range(BAND_SAMPLES):
-            key = mixed(key * np.uint64(31) + values[:, k])
-        keys.append(key[told])
-    return np.unique(np.concatenate(keys)).astype(np.int64)
+            key = mixed(key * np.uint64(31) + values[:, :, k].astype(np.uint64))
+        keys.append(key.view(np.int64))
+        told.append((values != NOTHING).all(2))
+    return np.concatenate(keys, 1), np.concatenate(told, 1)
 
 
 def alike(threshold: float):
@@ -291,16 +293,22 @@ def near_classes(prints: DataFrame, *, id_column: str = "doc_id", threshold: flo
     known = prints.withColumn("node", digest(F.col("fingerprint")))
     unique = known.groupBy("node").agg(F.first("fingerprint").alias("_print"))
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array([parsed(p).tobytes() for p in batch.column("_print").to_pylist()], pa.binary())],
+                names=["node", "_sig"])
+
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [parsed(p) for p in batch.column("_print").to_pylist()]
+            keys, told = bands(np.frombuffer(b"".join(batch.column("_sig").to_pylist()), np.uint8).reshape(-1, 1 + 2 * SAMPLES))
+            rows, columns = np.nonzero(told)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([bands(r) for r in rows], pa.list_(pa.int64())),
-                 pa.array([r.tobytes() for r in rows], pa.binary())], names=["node", "_keys", "_sig"])
+                [batch.column("node").take(pa.array(rows)), pa.array(keys[rows, columns])], names=["node", "bucket"])
 
-    unique = stored(unique.mapInArrow(explode, "node binary, _keys array<long>, _sig binary"))
-    forest = bucket_forest(unique.select("node", F.explode("_keys").alias("bucket")), unique.select("node", "_sig"),
-                           1 + 2 * SAMPLES, alike(threshold))
+    # Keys are made anew where they are wanted; they would be larger than the fingerprints.
+    unique = stored(unique.mapInArrow(pack, "node binary, _sig binary"))
+    forest = bucket_forest(unique.mapInArrow(explode, "node binary, bucket long"), unique, 1 + 2 * SAMPLES, alike(threshold))
     roots = known.select("node", id_column).join(components(forest), "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
     ids = roots.groupBy("root").agg(F.min(id_column).alias("near_class"))
