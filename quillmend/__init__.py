@@ -6,7 +6,7 @@ from quillmend.operators.clean import (clean_empty_values, clean_language_codes,
 from quillmend.operators.convert import convert
 from quillmend.operators.fill import fill_values
 from quillmend.operators.media import (edit_media_html, edit_media_source, explode_items,
-                                       order_media, page_manifest, remove_media, set_media_type,
+                                       order_media, page_manifest, pages_without_count, remove_media, set_media_type,
                                        set_media_visibility, set_owner, set_thumbnail)
 from quillmend.operators._shared import chain, measure_groups
 from quillmend.operators.report import changes, facets

@@ -174,8 +174,7 @@ def authority_key(uri: Column, datatype: str) -> Column:
     if datatype == "valuesuggest:geonames:geonames":
         return geonames_id(uri)
     if datatype.startswith("valuesuggest:idref"):
-        return F.when(uri.rlike(r"^https?://(?:www\.)?idref\.fr/"),
-                      F.regexp_replace(uri, r"\.xml\z", ""))
+        return blank_to_null(F.regexp_extract(uri, r"^https?://(?:www\.)?idref\.fr/(\w+)", 1))
     return blank_to_null(uri)
 
 

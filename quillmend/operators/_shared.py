@@ -6,7 +6,7 @@ import contextlib
 import contextvars
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quillmend import schema
 from quillmend.functions import patterns, text
@@ -201,18 +201,27 @@ def grown(values: DataFrame, times: int | None = None, more: int = 0) -> int | N
 
 # ---------------------------------------------------------------- numbering
 
+def content() -> Column:
+    """A number that follows from what a value says: the order of rows that have neither position
+    nor identifier, the same however the rows are partitioned."""
+    return F.xxhash64("type", "lang", "value", "uri", "value_resource_id", "is_public")
+
+
 def row_order() -> list[Column]:
-    """Order of the values of one property: position, else identifier."""
-    return [F.col("pos").asc_nulls_last(), F.col("value_id").asc_nulls_last()]
+    """Order of the values of one property: position, else identifier, else (rows that were never
+    saved, which come last) what they say."""
+    return [F.col("pos").asc_nulls_last(), F.col("value_id").asc_nulls_last(), content()]
 
 
 def row_block() -> Column:
     """Block of a row, monotone in `row_order`."""
     size = F.lit(BLOCK_ROWS)
     placed = F.floor(F.col("pos") / size)
-    # Rows without a position come after all positioned ones.
-    loose = F.lit(1 << 40) + F.floor(F.coalesce(F.col("value_id"), F.lit(0)) / size)
-    return F.coalesce(placed, loose).cast("long")
+    # Rows without a position come after all positioned ones, those without an identifier after
+    # all others, in pieces of their own order.
+    loose = F.lit(1 << 40) + F.floor(F.col("value_id") / size)
+    unsaved = F.lit(1 << 61) + F.shiftright(content(), 56)
+    return F.coalesce(placed, loose, unsaved).cast("long")
 
 
 def running_start(df: DataFrame, keys: Sequence[str], blocks: dict[str, Column],
@@ -283,7 +292,7 @@ def first_rows(df: DataFrame, limit: int) -> DataFrame:
     if limit > 0:
         ordered, block = row_order(), row_block()
     else:
-        ordered = [F.col("pos").desc_nulls_first(), F.col("value_id").desc_nulls_first()]
+        ordered = [F.col("pos").desc_nulls_first(), F.col("value_id").desc_nulls_first(), content().desc()]
         block = -row_block()
     miss = ~F.col("_hit")
     numbered = running_start(df, GROUP, {"_miss": miss, "_block": block}, ordered, "_rank",
@@ -292,13 +301,22 @@ def first_rows(df: DataFrame, limit: int) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the cluster names; without one (as in tests) a scratch folder."""
+    """Checkpoint in the folder the cluster names."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors reach. Only a local session
+    without that setting (as in tests) gets a scratch folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder

@@ -27,6 +27,19 @@ MANAGED_TYPES = (
 RAMEAU = "valuesuggest:idref:rameau"
 
 
+def precise_type(mode: str, listed: list[str], datatype: str | None) -> tuple[list[str], str]:
+    """The managed types to fill and the one to fill them with."""
+    listed = [name for name in MANAGED_TYPES if s.ALL in listed or name in listed]
+    if not datatype and len(listed) == 1:
+        datatype = listed[0]
+    if datatype not in MANAGED_TYPES:
+        raise ValueError(f"filling data type {datatype!r} is not supported")
+    if datatype in ("literal", "uri") and (
+            {"literal", "uri"} & set(listed) or mode.startswith("uri_")):
+        raise ValueError("a precise data type is required")
+    return listed, datatype
+
+
 def fill_values(values: DataFrame, authority: DataFrame | None, mode: str, properties, datatypes, *,
                 datatype: str | None = None, language: str = "", update_language: str = "keep",
                 featured_subject: bool = False, sel=None) -> DataFrame:
@@ -37,14 +50,7 @@ def fill_values(values: DataFrame, authority: DataFrame | None, mode: str, prope
     """
     s.choice("mode", mode, MODES)
     listed = s.as_list(datatypes)
-    listed = [name for name in MANAGED_TYPES if s.ALL in listed or name in listed]
-    if not datatype and len(listed) == 1:
-        datatype = listed[0]
-    if datatype not in MANAGED_TYPES:
-        raise ValueError(f"filling data type {datatype!r} is not supported")
-    if datatype in ("literal", "uri") and (
-            {"literal", "uri"} & set(listed) or mode.startswith("uri_")):
-        raise ValueError("a precise data type is required")
+    listed, datatype = precise_type(mode, listed, datatype)
     if update_language not in LANGUAGE_POLICIES or (update_language == "update" and not language):
         update_language = "keep"
 

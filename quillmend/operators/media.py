@@ -346,6 +346,13 @@ def _exploded_values(values, firsts, others, mode: str) -> DataFrame:
 
 # ---------------------------------------------------------------- pages
 
+def pages_without_count(media: DataFrame, page_counts: DataFrame) -> DataFrame:
+    """Pdf media for which :func:`page_manifest` plans no page because their count is not known."""
+    known = page_counts.where("page_count IS NOT NULL").select(F.col("media_id").alias("id"))
+    return (media.where(F.col("media_type") == "application/pdf").join(known, "id", "left_anti")
+            .select("item_id", F.col("id").alias("media_id"), "source"))
+
+
 def page_manifest(media: DataFrame, page_counts: DataFrame, *, mode: str = "all",
                   skip_existing: bool = False, sel=None) -> DataFrame:
     """One row per page of the pdf media of an item: the image to create, its name and its

@@ -39,9 +39,12 @@ def create_values(values: DataFrame, resources: DataFrame, property: str, dataty
     targets, condition = s.selected(resources, sel, "id")
     targets = targets.where(condition).select(F.col("id").alias("resource_id"))
     present = values.where(F.col("property") == property).groupBy("resource_id").agg(
-        (F.max("pos") + 1).alias("_next"), *_gate_fact(values))
+        (F.max("pos") + 1).alias("_next"), (F.count(F.lit(1)) > F.count("pos")).alias("_loose"),
+        *_gate_fact(values))
     added = targets.join(present, "resource_id", "left")
-    new["pos"] = F.coalesce(F.col("_next"), F.lit(0))
+    # Behind values without a position, a new one has none either: unsaved rows come last.
+    new["pos"] = F.when(F.coalesce(F.col("_loose"), F.lit(False)), F.lit(None)).otherwise(
+        F.coalesce(F.col("_next"), F.lit(0)))
     if s.GATE in values.columns:
         new[s.GATE] = F.coalesce(F.col("_gate"), F.lit(False))
     return s.stamp(values.unionByName(_conform(added, values, new)), s.grown(values, 1, 1))
@@ -120,8 +123,7 @@ def copy_values(values: DataFrame, from_, to: str, *, datatype: str | None = Non
     both = marked.withColumn("_copy", F.explode(
         F.when(hit, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
     moved = _moved(both, values.columns, F.col("_copy"), to, datatype)
-    moved = moved.withColumn("value_id", F.when(F.col("_from") == "", F.col("value_id")))
-    result = _append_in_order(moved, values, from_, to, F.col("property") == to)
+    result = _append_in_order(moved, values, from_, to, F.col("property") == to, copies=True)
     return s.stamp(result, _transfer_bound(values, from_))
 
 
@@ -177,10 +179,10 @@ def _transfer_rows(values, from_, to, max_values, sel, types, flt) -> tuple[Data
 
 
 def _append_in_order(rows: DataFrame, values: DataFrame, from_, to: str,
-                     affected: Column) -> DataFrame:
+                     affected: Column, copies: bool = False) -> DataFrame:
     """Place the rows of the affected properties: their own first, then those that came from
     each source, sources in the given order or, for all, in the order of their first saved
-    identifier."""
+    identifier. Copies lose the identifier of their source once they are in order."""
     columns = list(values.columns)
     sources = s.as_list(from_)
     own = F.col("_from") == ""
@@ -205,6 +207,8 @@ def _append_in_order(rows: DataFrame, values: DataFrame, from_, to: str,
             with_facts=known if first is not None else None)
         numbered = numbered.withColumn(
             "pos", F.when(F.col("_hit"), F.col("_at")).otherwise(F.col("pos")))
+        if copies:
+            numbered = numbered.withColumn("value_id", F.when(F.col("_source") == "", F.col("value_id")))
         return _open_where_saved(numbered, values, to) if s.GATE in columns else numbered
 
     return s.divert(rows, affected, number, columns)

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import quillmend as q
 from quillmend.functions import text
+from quillmend.operators._shared import shared_folder
 from quillmend.sources import fixtures as fx
 from quillmend.sources.session import configure
+from quillmend.sources.tables import property_terms, with_positions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,7 +62,7 @@ SELECT page_id + 20000000 AS id, CAST(FLOOR(page_id / 4.0) AS BIGINT) + 1 AS ite
        CASE page_id % 4 WHEN 0 THEN 'jpg' WHEN 1 THEN 'png' WHEN 2 THEN 'pdf' ELSE 'html' END AS extension,
        CASE page_id % 4 WHEN 3 THEN 'html' WHEN 2 THEN 'upload' ELSE 'url' END AS ingester,
        CASE page_id % 4 WHEN 3 THEN 'html' ELSE 'file' END AS renderer,
-       page_id % 3 <> 0 AS is_public, CASE WHEN page_id % 4 = 3 THEN html END AS html
+       page_id % 3 <> 0 AS is_public, html
 FROM pages""",
     "fx_values": """
 SELECT value_id, doc_id + 1 AS resource_id, property,
@@ -68,7 +70,7 @@ SELECT value_id, doc_id + 1 AS resource_id, property,
        type, lang, value, uri, value_resource_id, doc_id % 11 <> 0 AS is_public,
        CASE WHEN doc_id % 32 = 0 AND value_id % 20 = 5 THEN CAST(40000000 + doc_id AS BIGINT) END AS value_annotation_id
 FROM (
-SELECT doc_id*20 AS value_id, doc_id, 'dcterms:title' AS property, 'literal' AS type, lang, substr(text,1,40) AS value, CAST(NULL AS STRING) AS uri, CAST(NULL AS BIGINT) AS value_resource_id FROM d
+SELECT doc_id*20 AS value_id, doc_id, 'dcterms:title' AS property, 'literal' AS type, lang, text AS value, CAST(NULL AS STRING) AS uri, CAST(NULL AS BIGINT) AS value_resource_id FROM d
 UNION ALL SELECT doc_id*20+1, doc_id, 'dcterms:title', 'literal', 'en', 'Title ' || n, NULL, NULL FROM d
 UNION ALL SELECT doc_id*20+2, doc_id, 'dcterms:title', 'literal', 'de', 'Titel ' || n, NULL, NULL FROM d WHERE doc_id % 2 = 1
 UNION ALL SELECT doc_id*20+3, doc_id, 'dcterms:description', 'literal', CASE WHEN doc_id % 6 = 0 THEN '' ELSE lang END, text, NULL, NULL FROM d
@@ -84,7 +86,7 @@ UNION ALL SELECT doc_id*20+12, doc_id, 'dcterms:creator', 'literal', NULL, 'Name
 UNION ALL SELECT doc_id*20+13, doc_id, 'dcterms:creator', 'literal', NULL, 'https://example.org/p/' || CAST(doc_id % 97 AS STRING), NULL, NULL FROM d WHERE doc_id % 5 <> 1
 UNION ALL SELECT doc_id*20+14, doc_id, 'dcterms:spatial', 'valuesuggest:geonames:geonames', NULL, CASE WHEN doc_id % 3 <> 0 THEN 'Old label' END, 'https://www.geonames.org/' || CAST(1000 + doc_id % 25 AS STRING) || CASE WHEN doc_id % 2 = 0 THEN '/x.html' ELSE '' END, NULL FROM d
 UNION ALL SELECT doc_id*20+15, doc_id, 'dcterms:coverage', 'literal', NULL, n_name, NULL, NULL FROM d JOIN nation ON n_nationkey = doc_id % 25
-UNION ALL SELECT doc_id*20+16, doc_id, 'dcterms:abstract', 'literal', lang, CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 9 = 1 THEN '   ' ELSE substr(text, 1, 80) END, NULL, NULL FROM d
+UNION ALL SELECT doc_id*20+16, doc_id, 'dcterms:abstract', 'literal', lang, CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 9 = 1 THEN '   ' ELSE text END, NULL, NULL FROM d
 UNION ALL SELECT doc_id*20+17, doc_id, 'dcterms:alternative', 'literal', NULL, CASE WHEN doc_id % 2 = 0 THEN 'cafÃ© ' ELSE 'café ' END || n, NULL, NULL FROM d
 ) AS stacked""",
     "fx_annotation_value": """
@@ -578,6 +580,14 @@ query("media_remove_media_extension",
 
 NATURAL_TITLE = "CAST(regexp_extract(title, '\\d+') AS INT)"
 BASE = "regexp_extract(regexp_replace(source, '/+$', ''), '([^/]*)$', 1)"
+WHOLE = "lower(regexp_replace(source, '\\.[^./]+$', ''))"
+
+
+def natural(key: str) -> str:
+    """Digit runs to eight digits, so that they compare as numbers."""
+    return f"regexp_replace(regexp_replace(lower({key}), '(\\d+)', '00000000\\1', 'g'), '\\d*(\\d{{8}})', '\\1', 'g')"
+
+
 STEM = f"lower(regexp_replace({BASE}, '\\.[^.]*$', ''))"
 for name, order, options, keys in (
         ("title", "title", {}, NATURAL_TITLE),
@@ -596,6 +606,16 @@ for name, order, options, keys in (
          "lower(title), CASE WHEN media_type LIKE 'text/%' THEN 0 ELSE 1 END, "
          "CASE WHEN media_type = 'image/png' THEN 0 ELSE 1 END, media_type"),
         ("extension_basename", "extension/basename", {}, f"extension, {STEM}"),
+        ("extension_title", "extension/title", {}, "extension, lower(title)"),
+        ("title_extension", "title/extension", {}, "lower(title), extension"),
+        ("basename", "basename", {}, natural(BASE)),
+        ("basename_mediatype", "basename/mediatype", {}, f"{STEM}, media_type"),
+        ("mediatype_basename", "mediatype/basename", {}, f"media_type, {STEM}"),
+        ("source", "source", {}, natural("source")),
+        ("source_mediatype", "source/mediatype", {}, f"{WHOLE}, media_type"),
+        ("source_extension", "source/extension", {}, f"{WHOLE}, extension"),
+        ("mediatype_source", "mediatype/source", {}, f"media_type, {WHOLE}"),
+        ("extension_source", "extension/source", {}, f"extension, {WHOLE}"),
         ("basename_extension_list", "basename/extension", dict(extensions=["png"]),
          f"{STEM}, CASE WHEN extension = 'png' THEN 0 ELSE 1 END, extension")):
     query(f"media_order_{name}",
@@ -687,6 +707,11 @@ query("explode_item_media",
               m.media_type, m.extension, m.ingester, m.renderer, m.is_public, m.html
           FROM fx_media m LEFT JOIN pairs p ON p.media_id = m.id""")
 
+query("pages_without_count",
+      lambda t: q.pages_without_count(t.media, t.page_counts.where("media_id % 3 <> 0")),
+      """SELECT item_id, id AS media_id, source FROM fx_media
+         WHERE media_type = 'application/pdf' AND id % 3 = 0""")
+
 PAGE_NAME = ("regexp_replace(regexp_replace(regexp_extract(regexp_replace(source, '/+$', ''), '([^/]*)$', 1), "
              "'(.)\\.pdf$', '\\1'), '[^A-Za-z0-9.@~+:\\[\\]_-]+', '_', 'g')")
 query("page_manifest",
@@ -773,6 +798,69 @@ query("changed_rows",
                   WHERE a.value IS DISTINCT FROM v.value OR a.lang IS DISTINCT FROM v.lang
                      OR a.uri IS DISTINCT FROM v.uri) AS changed""")
 
+query("changed_rows_unsaved",
+      lambda t: q.changes(t.values.withColumn("value_id", F.lit(None).cast("long")),
+                          t.values.where("property <> 'dcterms:title'").withColumn(
+                              "value_id", F.lit(None).cast("long"))),
+      """SELECT 0 AS added, (SELECT count(*) FROM fx_values WHERE property = 'dcterms:title') AS removed,
+                0 AS changed""")
+
+LARGE = """SELECT o_orderkey * 10 + k AS value_id, o_custkey AS resource_id,
+               CASE k WHEN 0 THEN 'ex:status' WHEN 1 THEN 'ex:priority' WHEN 2 THEN 'ex:month' ELSE 'ex:list' END AS property,
+               CASE k WHEN 0 THEN o_orderstatus
+                      WHEN 1 THEN CASE WHEN o_orderkey % 7 = 0 THEN '  ' || lower(o_orderpriority) || ' ' ELSE o_orderpriority END
+                      WHEN 2 THEN substr(CAST(o_orderdate AS STRING), 1, 7)
+                      ELSE o_orderstatus || ';' || o_orderpriority || ';' || substr(CAST(o_orderdate AS STRING), 1, 7) END AS value
+           FROM orders CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS k) AS s"""
+PLACED = ("value_id", "resource_id", "property", "pos", "value")
+
+
+def _large(t: Tables) -> DataFrame:
+    return fx.values_large(t.spark, t.folder)
+
+
+def _placed(values: DataFrame) -> DataFrame:
+    return with_positions(values).select(*PLACED)
+
+
+def _created(values: DataFrame) -> DataFrame:
+    records = values.select(F.col("resource_id").alias("id")).distinct()
+    return q.create_values(values, records, "ex:status", "literal", value="NEW")
+
+
+CREATED = f"""WITH large AS ({LARGE}), added AS (
+    SELECT * FROM large UNION ALL SELECT DISTINCT NULL, resource_id, 'ex:status', 'NEW' FROM large)
+SELECT value_id, resource_id, property, value,
+       row_number() OVER (PARTITION BY resource_id, property ORDER BY value_id NULLS LAST) - 1 AS pos FROM added"""
+COPIED = f"""WITH large AS ({LARGE}), both_ AS (
+    SELECT value_id, resource_id, property, value, 0 AS part, value_id AS place FROM large
+    UNION ALL SELECT NULL, resource_id, 'ex:list', value, 1, value_id FROM large WHERE property = 'ex:status')
+SELECT value_id, resource_id, property, value,
+       row_number() OVER (PARTITION BY resource_id, property ORDER BY part, place) - 1 AS pos FROM both_"""
+
+# Tables without positions, as a database gives them: numbered in blocks and, where the sizes of
+# groups are known, in one window, with the same result.
+query("create_unpositioned", lambda t: _placed(_created(_large(t))), CREATED)
+query("create_unpositioned_measured", lambda t: _placed(_created(q.measure_groups(_large(t)))), CREATED)
+query("copy_unpositioned", lambda t: _placed(q.copy_values(_large(t), ["ex:status"], "ex:list")), COPIED)
+query("copy_unpositioned_measured",
+      lambda t: _placed(q.copy_values(q.measure_groups(_large(t)), ["ex:status"], "ex:list")), COPIED)
+query("property_terms",
+      lambda t: property_terms(
+          t.values.select("value_id", F.when(F.col("property") == "dcterms:title", 1).otherwise(2).alias("property_id")),
+          t.spark.createDataFrame([(1, "dcterms:title")], "id INT, term STRING")),
+      """SELECT value_id, CASE WHEN property = 'dcterms:title' THEN property ELSE 'property:2' END AS property
+         FROM fx_values""")
+
+INCOMPLETE = {
+    "convert": {"from": "uri", "to": "literal", "properties": ["dcterms:references"]},
+    "fill_values": {"mode": "label_all", "properties": ["dcterms:spatial"], "datatypes": ["literal"]},
+    "replace": {"mode": "raw", "from": "Title", "to": "Heading", "properties": ["dcterms:title"]},
+}
+query("ordered_edits_incomplete",
+      lambda t: q.run_pipeline({"values": t.values, "resources": t.resources}, INCOMPLETE)["values"],
+      select({"value": "CASE WHEN property = 'dcterms:title' THEN replace(trim(value), 'Title', 'Heading') ELSE value END"}))
+
 EDITS = {
     "replace": {"mode": "raw", "from": "Title", "to": "Heading", "properties": ["dcterms:title"]},
     "copy": {"from": ["dcterms:coverage"], "to": "dcterms:spatial"},
@@ -839,10 +927,7 @@ def _saved_records(documents: DataFrame) -> DataFrame:
 
 
 def _stream_clean(t: Tables) -> DataFrame:
-    import tempfile
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{base}/on-write-{_unique()}" if base else tempfile.mkdtemp(prefix="on-write-")
+    folder = f"{shared_folder(t.spark)}/on-write-{_unique()}"
     stream = (t.spark.readStream.schema(t.documents.schema)
               .option("pathGlobFilter", "documents.parquet").parquet(t.folder))
     q.start_cleaning(_saved_records(stream), t.resources, q.parquet_sink(f"{folder}/out"),

@@ -124,6 +124,12 @@ def _convert(p):
         return None
     site = p.get("uri_base_site") or ""
     base = p.get("uri_base") or ""
+    kinds = tuple(schema.DEFAULT_TYPES.main(p[side]) for side in ("from", "to"))
+    needed = {("resource", "uri"): base, ("uri", "resource"): base,
+              ("uri", "literal"): p.get("literal_value"),
+              ("literal", "resource"): p.get("resource_properties")}
+    if not needed.get(kinds, True):
+        return None
     return dict(from_=p["from"], to=p["to"], properties=s.as_list(p["properties"]),
                 literal_value=p.get("literal_value") or None,
                 strip_html=bool(p.get("literal_extract_html_text")),
@@ -160,6 +166,10 @@ def _fill_data(p):
 def _fill_values(p):
     if p.get("mode") not in fill.MODES or not p.get("properties"):
         return None
+    try:
+        fill.precise_type(p["mode"], s.as_list(p.get("datatypes")), p.get("datatype") or None)
+    except ValueError:
+        return None
     return dict(mode=p["mode"], properties=s.as_list(p["properties"]),
                 datatypes=s.as_list(p.get("datatypes")), datatype=p.get("datatype") or None,
                 language=_text(p, "language"), update_language=p.get("update_language") or "keep",

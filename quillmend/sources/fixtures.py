@@ -47,7 +47,7 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
                CASE page_id % 4 WHEN 3 THEN 'html' WHEN 2 THEN 'upload' ELSE 'url' END AS ingester,
                CASE page_id % 4 WHEN 3 THEN 'html' ELSE 'file' END AS renderer,
                page_id % 3 <> 0 AS is_public,
-               CASE WHEN page_id % 4 = 3 THEN html END AS html
+               html
         FROM {pages}
         """, pages=table(spark, sf_dir, "pages"))
 
@@ -70,7 +70,7 @@ PERSON = "CAST(doc_id % 97 AS STRING)"
 
 # The values a document has by itself.
 OWN_VALUES = (
-    _row(0, "dcterms:title", 0, lang="lang", value="substr(text, 1, 40)"),
+    _row(0, "dcterms:title", 0, lang="lang", value="text"),
     _row(1, "dcterms:title", 1, lang="'en'", value=f"'Title ' || {N}"),
     _row(2, "dcterms:title", 2, lang="'de'", value=f"'Titel ' || {N}", keep="doc_id % 2 = 1"),
     _row(3, "dcterms:description", 0, value="text", lang="if(doc_id % 6 = 0, '', lang)"),
@@ -91,7 +91,7 @@ OWN_VALUES = (
          uri="'https://www.geonames.org/' || CAST(1000 + doc_id % 25 AS STRING)"
              " || if(doc_id % 2 = 0, '/x.html', '')"),
     _row(16, "dcterms:abstract", 0, lang="lang",
-         value="CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN '   ' ELSE substr(text, 1, 80) END"),
+         value="CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN '   ' ELSE text END"),
     _row(17, "dcterms:alternative", 0, value=f"if(doc_id % 2 = 0, 'cafÃ© ', 'café ') || {N}"),
 )
 

@@ -39,14 +39,19 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str) -> None:
     records and later groupings by record touch few row groups."""
     for name, df in tables.items():
         if name == "values":
-            df = df.sortWithinPartitions("resource_id", "property", "pos")
+            # By ranges of all three: a record larger than a partition is split.
+            df = df.repartitionByRange("resource_id", "property", "pos").sortWithinPartitions(
+                "resource_id", "property", "pos")
         df.write.parquet(f"{folder}/{name}")
 
 
 def property_terms(values: DataFrame, properties: DataFrame) -> DataFrame:
-    """Replace a numeric ``property_id`` by its term; values of unknown properties are left out.
+    """Replace a numeric ``property_id`` by its term. Values of unknown properties stay, under the
+    name ``property:`` and the number.
 
     `properties` holds id and term, one row per property of the vocabulary.
     """
     terms = properties.select(F.col("id").alias("property_id"), F.col("term").alias("property"))
-    return values.join(terms, "property_id").drop("property_id")
+    unknown = F.concat(F.lit("property:"), F.coalesce(F.col("property_id").cast("string"), F.lit("")))
+    named = values.join(terms, "property_id", "left")
+    return named.withColumn("property", F.coalesce("property", unknown)).drop("property_id")

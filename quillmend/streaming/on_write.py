@@ -61,7 +61,11 @@ def clean_values_on_write(values: DataFrame, resources: DataFrame) -> DataFrame:
     kinds = resources.select(F.col("id").alias("_link"), schema.mapped(
         F.col("resource_name"), schema.LINK_TYPES).alias("_kind"))
     link = F.when(F.col("type") == "resource", F.col("value_resource_id"))
-    joined = trimmed.withColumn("_to", link).join(kinds, F.col("_to") == F.col("_link"), "left")
+    # Values that are no links have no key; they are spread over the tasks of the join.
+    spread = F.when(link.isNull(), F.hash("resource_id", "property", "value")).otherwise(F.lit(0))
+    joined = trimmed.withColumns({"_to": link, "_spread": spread}).join(
+        kinds.withColumn("_none", F.lit(0)),
+        (F.col("_to") == F.col("_link")) & (F.col("_spread") == F.col("_none")), "left")
     return joined.withColumn("type", F.coalesce("_kind", "type")).select(*values.columns)
 
 
