@@ -7,7 +7,8 @@ have it. A logistic regression is fitted to r times presence, over the cells who
 likelihood ratio is significant.
 
 The fit uses at most ``max_labelled`` labelled rows (those with the smallest hash of their id); their
-ids are few and known to be, so they are broadcast. Scoring covers every whole text.
+ids are few and known to be, so they are broadcast, and their texts are written once. Cells are counted
+on the executors; the driver sees the FEATURES chosen ones at most. Scoring covers every whole text.
 
 Defined cases: null texts are empty; an empty text gets the score of no features. Rows with a null
 label or id teach nothing; an id labelled twice has its greatest label. Without labelled texts, or
@@ -26,12 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmend.llm.common import stored
+
 ORDERS = (3, 4, 5, 6)
 CELLS = 1 << 20
 FEATURES = 1 << 14
 STRONG = 28.0
 MAX_LABELLED = 20_000
 SLICE_ROWS = 200
+COUNT_ROWS = 1 << 16
+BLOCK_ENTRIES = 1 << 20
 
 
 def cells(text: str) -> np.ndarray:
@@ -66,47 +71,47 @@ def logistic(x: np.ndarray | float):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(lists: list[np.ndarray], labels: np.ndarray, *, smoothing: float = 1.0, penalty: float = 1e-3,
-        rounds: int = 300) -> Model:
-    """From the distinct cells of each labelled text."""
-    n, toxic = len(labels), labels.astype(bool)
-    prior = (toxic.sum() + 1) / (n + 2)
-    if n == 0 or toxic.all() or not toxic.any():
-        return Model(np.empty(0, np.int64), np.empty(0, np.float32), float(np.log(prior / (1 - prior))))
-    p = np.zeros(CELLS)
-    q = np.zeros(CELLS)
-    for found, bad in zip(lists, toxic):
-        (p if bad else q)[found] += 1
-    np_, nq = toxic.sum(), n - toxic.sum()
-    share = (p + q) / n
-    gain = np.zeros(CELLS)
-    for seen, size in ((p, np_), (q, nq)):
+def chosen_cells(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """Of (``cell``, ``toxic``, ``clean``) the FEATURES strongest: twice the gain is a chi-square
+    statistic; with as many tests as cells, only the strong ones tell."""
+    n = n_toxic + n_clean
+    share = (F.col("toxic") + F.col("clean")) / n
+    gain = F.lit(0.0)
+    for name, size in (("toxic", n_toxic), ("clean", n_clean)):
+        seen = F.col(name)
         rate = (seen + 1e-9) / size
-        gain += seen * np.log(rate / np.maximum(share, 1e-9))
-        gain += (size - seen) * np.log(np.maximum(1 - rate, 1e-9) / np.maximum(1 - share, 1e-9))
-    features = np.argsort(-gain, kind="stable")[:FEATURES]
-    # Twice the gain is a chi-square statistic; with as many tests as cells, only the strong ones tell.
-    features = np.sort(features[2 * gain[features] >= STRONG])
-    ratio = np.log((p[features] + smoothing) / (np_ + 2 * smoothing)) - np.log((q[features] + smoothing) / (nq + 2 * smoothing))
-    place = np.full(CELLS, -1, np.int32)
-    place[features] = np.arange(len(features))
-    kept = [place[x][place[x] >= 0] for x in lists]
-    rows = np.repeat(np.arange(n), [len(x) for x in kept])
-    columns = np.concatenate(kept) if kept else np.empty(0, np.int64)
-    target = toxic.astype(np.float64)
-    # Features scaled by their ratio; accelerated gradient steps on the regularised mean loss.
-    w, b = np.zeros(len(features)), float(np.log(prior / (1 - prior)))
-    mean, square = np.zeros(len(features) + 1), np.zeros(len(features) + 1)
+        gain = gain + seen * F.log(rate / F.greatest(share, F.lit(1e-9))) + (F.lit(size) - seen) * F.log(
+            F.greatest(1 - rate, F.lit(1e-9)) / F.greatest(1 - share, F.lit(1e-9)))
+    return (counts.withColumn("_gain", gain).where(F.col("_gain") * 2 >= STRONG)
+            .orderBy(F.col("_gain").desc(), "cell").limit(FEATURES).drop("_gain"))
+
+
+def fit(columns: np.ndarray, sizes: np.ndarray, ratio: np.ndarray, labels: np.ndarray, *, penalty: float = 1e-3,
+        rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and bias. ``columns`` lists the features of each text, one text after the other, and
+    ``sizes`` how many each has; features are scaled by their ``ratio``. Accelerated gradient steps on
+    the regularised mean loss, over BLOCK_ENTRIES entries at a time."""
+    n, target = len(labels), labels.astype(np.float64)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1] + 1, BLOCK_ENTRIES)), n))
+    prior = (labels.sum() + 1) / (n + 2)
+    w, b = np.zeros(len(ratio)), float(np.log(prior / (1 - prior)))
+    mean, square = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for step in range(1, rounds + 1):
-        z = np.bincount(rows, (ratio * w)[columns], n) + b
-        slope = logistic(z) - target
-        grad = np.append(ratio * np.bincount(columns, slope[rows], len(features)) / n + penalty * w, slope.mean())
+        scaled, grad, level = ratio * w, np.zeros(len(ratio)), 0.0
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            part = columns[ends[lo]:ends[hi]].astype(np.intp)
+            rows = np.repeat(np.arange(hi - lo), sizes[lo:hi])
+            slope = logistic(np.bincount(rows, scaled[part], hi - lo) + b) - target[lo:hi]
+            grad += np.bincount(part, slope[rows], len(ratio))
+            level += slope.sum()
+        grad = np.append(ratio * grad / n + penalty * w, level / n)
         mean = 0.9 * mean + 0.1 * grad
         square = 0.999 * square + 0.001 * grad * grad
         move = 0.02 * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.999 ** step)) + 1e-8)
         w -= move[:-1]
         b -= move[-1]
-    return Model(features, (ratio * w).astype(np.float32), float(b))
+    return ratio * w, float(b)
 
 
 def scores(texts: list[str], table: np.ndarray, bias: float) -> np.ndarray:
@@ -127,22 +132,49 @@ def labelled(labels: DataFrame, label: str, id_column: str, bound: int) -> DataF
 
 
 def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "toxic",
-          id_column: str = "doc_id", max_labelled: int = MAX_LABELLED) -> Model:
-    """Fit to the documents that ``labels`` marks. The bounded sample's features meet here."""
+          id_column: str = "doc_id", max_labelled: int = MAX_LABELLED, smoothing: float = 1.0) -> Model:
+    """Fit to the documents that ``labels`` marks. Cells are counted and chosen on the executors; the
+    driver gets the chosen ones, and of each text of the bounded sample which of them it has."""
     sample = labelled(labels, label, id_column, max_labelled)
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id")
+    rows = stored(docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id")
+                  .select(F.xxhash64("_id").alias("_id"), F.col("_label").cast("boolean").cast("int").alias("_label"), "_text"))
+    sizes = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
+    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
+    if not n_toxic or not n_clean:
+        prior = (n_toxic + 1) / (n_toxic + n_clean + 2)
+        return Model(np.empty(0, np.int64), np.empty(0, np.float32), float(np.log(prior / (1 - prior))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, CELLS), np.int32)
+        for batch in batches:
+            for whole, bad in zip(batch.column("_text").to_pylist(), batch.column("_label").to_pylist()):
+                seen[bad, np.unique(cells(whole or ""))] += 1
+        used = np.flatnonzero(seen.any(0))
+        for k in range(0, len(used), COUNT_ROWS):
+            part = used[k:k + COUNT_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(seen[c, part].astype(np.int64)) for c in (1, 0))],
+                                             names=["cell", "toxic", "clean"])
+
+    counts = rows.mapInArrow(count, "cell int, toxic long, clean long").groupBy("cell").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    chosen = chosen_cells(counts, n_toxic, n_clean).toArrow().sort_by("cell")  # FEATURES rows at most
+    features, p, q = (chosen.column(c).to_numpy().astype(np.int64) for c in ("cell", "toxic", "clean"))
+    ratio = np.log((p + smoothing) / (n_toxic + 2 * smoothing)) - np.log((q + smoothing) / (n_clean + 2 * smoothing))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = np.full(CELLS, -1, np.int32)
+        places[features] = np.arange(len(features))
         for batch in batches:
-            found = [np.unique(cells(t or "")).astype(np.int32).tobytes() for t in batch.column("_text").to_pylist()]
+            found = [np.unique(places[cells(t or "")]) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").cast(pa.int64()), batch.column("_label"), pa.array(found, pa.binary())],
-                names=["_id", "_label", "_cells"])
-
-    rows = rows.withColumn("_id", F.xxhash64("_id"))
-    got = rows.mapInArrow(run, "_id long, _label int, _cells binary").toArrow().sort_by("_id")
-    lists = [np.frombuffer(x, np.int32) for x in got.column("_cells").to_pylist()]
-    return fit(lists, np.array(got.column("_label").to_pylist(), np.int64))
+                [batch.column("_id"), batch.column("_label"), pa.array([x[x >= 0].astype(np.uint16).tobytes() for x in found], pa.binary())],
+                names=["_id", "_label", "_places"])
+
+    got = rows.mapInArrow(place, "_id long, _label int, _places binary").toArrow().sort_by("_id")
+    held = got.column("_places").to_pylist()
+    weights, bias = fit(np.frombuffer(b"".join(held), np.uint16), np.array([len(x) // 2 for x in held], np.int64), ratio,
+                        got.column("_label").to_numpy().astype(np.int64))
+    return Model(features, weights.astype(np.float32), bias)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
