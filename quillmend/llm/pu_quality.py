@@ -90,9 +90,10 @@ class Model:
     prior: float
 
 
-def _risk_steps(p: np.ndarray, u: np.ndarray, prior: float, *, non_negative: bool, steps: int, seed: int,
-                rate: float = 0.01, penalty: float = 1e-4, batch: int = 1000):
-    """Weights (the last one is the bias) that minimise the risk, by Adam over shuffled batches."""
+def _risk_steps(p: np.ndarray, u: np.ndarray, scale: np.ndarray, prior: float, *, non_negative: bool, steps: int,
+                seed: int, rate: float = 0.01, penalty: float = 1e-4, batch: int = 1000):
+    """Weights (the last one is the bias) that minimise the risk, by Adam over shuffled batches. Only
+    the rows of a batch are scaled at a time."""
     rng = np.random.default_rng(seed)
     w = np.zeros(p.shape[1] + 1, np.float32)
     mean, square, step = np.zeros_like(w), np.zeros_like(w), 0
@@ -102,7 +103,7 @@ def _risk_steps(p: np.ndarray, u: np.ndarray, prior: float, *, non_negative: boo
     for epoch in range(epochs):
         for rows_p, rows_u in zip(np.array_split(rng.permutation(max(len(p), parts)) % len(p), parts),
                                   np.array_split(rng.permutation(max(len(u), parts)) % len(u), parts)):
-            xp, xu = p[rows_p], u[rows_u]
+            xp, xu = p[rows_p] / scale, u[rows_u] / scale
             zp, zu = xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1]
             loss_p, loss_u = logistic(zp), logistic(zu)
             gain_p = loss_p - 1
@@ -131,9 +132,11 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, *, margin: float = 0.01, doubt:
         return 0.5
     both = np.concatenate((np.ones(len(p[a])), np.zeros(len(u[a]))))
     x = np.concatenate((p[a], u[a]))
-    centre, scale = x.mean(0), np.maximum(x.std(0), 1e-2) * np.sqrt(x.shape[1])
-    w = _telling((x - centre) / scale, both, epochs)
-    sp, su = np.sort(((p[b] - centre) / scale) @ w[:-1]), np.sort(((u[b] - centre) / scale) @ w[:-1])
+    centre, deviation = moments(x)
+    scale = np.maximum(deviation, 1e-2) * np.sqrt(x.shape[1])
+    w = _telling(x, centre, scale, both, epochs)
+    sp, su = (np.sort(np.concatenate([((y[k:k + 1000] - centre) / scale) @ w[:-1] for k in range(0, len(y), 1000)]))
+              for y in (p[b], u[b]))
     cuts = np.unique(np.concatenate((sp, su)))
     qp = 1 - np.searchsorted(sp, cuts, "left") / len(sp)
     qu = 1 - np.searchsorted(su, cuts, "left") / len(su)
@@ -144,15 +147,24 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, *, margin: float = 0.01, doubt:
     return float(np.clip(qu[ok][at] / qp[ok][at], 0.02, 0.98))
 
 
-def _telling(x: np.ndarray, y: np.ndarray, epochs: int) -> np.ndarray:
+def moments(*tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of the columns of all tables together, 1000 rows at a time."""
+    n = sum(len(t) for t in tables)
+    parts = [t[k:k + 1000] for t in tables for k in range(0, len(t), 1000)]
+    mean = sum(part.sum(0, dtype=np.float64) for part in parts) / n
+    return mean, np.sqrt(sum(((part - mean) ** 2).sum(0) for part in parts) / n)
+
+
+def _telling(x: np.ndarray, centre: np.ndarray, scale: np.ndarray, y: np.ndarray, epochs: int) -> np.ndarray:
     rng = np.random.default_rng(1)
     w = np.zeros(x.shape[1] + 1)
     mean, square, step = np.zeros_like(w), np.zeros_like(w), 0
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for _ in range(epochs):
         for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // 1000)):
-            g = (logistic(x[rows] @ w[:-1] + w[-1]) - y[rows]) * weight[rows]
-            grad = np.append(x[rows].T @ g, g.sum()) / len(rows)
+            part = (x[rows] - centre) / scale
+            g = (logistic(part @ w[:-1] + w[-1]) - y[rows]) * weight[rows]
+            grad = np.append(part.T @ g, g.sum()) / len(rows)
             grad[:-1] += 1e-3 * w[:-1]
             step += 1
             mean = 0.9 * mean + 0.1 * grad
@@ -162,15 +174,15 @@ def _telling(x: np.ndarray, y: np.ndarray, epochs: int) -> np.ndarray:
 
 
 def fit(p: np.ndarray, u: np.ndarray, *, prior: float | None = None, steps: int = 3000, seed: int = 7) -> Model:
-    """Features of the positives and of the unlabelled to a model."""
+    """Features of the positives and of the unlabelled to a model; half precision will do."""
     if not len(p) or not len(u):
         return Model(np.zeros(WIDTH), 0.0, 0.5)
     used = np.flatnonzero((p != 0).any(0) | (u != 0).any(0))  # features that no text has keep weight 0
     p, u = p[:, used], u[:, used]
     if prior is None:
         prior = estimate_prior(p, u)
-    scale = np.maximum(np.concatenate((p, u)).std(0), 1e-2)
-    w = _risk_steps(p / scale, u / scale, prior, non_negative=True, steps=steps, seed=seed)
+    scale = np.maximum(moments(p, u)[1], 1e-2)
+    w = _risk_steps(p, u, scale.astype(np.float32), prior, non_negative=True, steps=steps, seed=seed)
     weights = np.zeros(WIDTH)
     weights[used] = w[:-1] / scale
     return Model(weights, float(w[-1]), prior)
@@ -200,10 +212,15 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str
                 names=["_id", "_kind", "_x"])
 
     rows = rows.withColumn("_id", F.xxhash64("_id"))
-    got = rows.mapInArrow(run, "_id long, _kind int, _x binary").toArrow().sort_by("_id")
-    kinds = np.array(got.column("_kind").to_pylist(), np.int64)
-    x = np.frombuffer(b"".join(got.column("_x").to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float32)
-    return fit(x[kinds == 1], x[kinds == 0], prior=prior)
+    got = rows.mapInArrow(run, "_id long, _kind int, _x binary").toArrow()
+    kinds, order = got.column("_kind").to_numpy(), np.argsort(got.column("_id").to_numpy(), kind="stable")
+    x = np.empty((got.num_rows, WIDTH), np.float16)
+    filled = 0
+    for part in got.column("_x").chunks:
+        x[filled:filled + len(part)] = np.frombuffer(b"".join(part.to_pylist()), np.float16).reshape(-1, WIDTH)
+        filled += len(part)
+    del got
+    return fit(x[order[kinds[order] == 1]], x[order[kinds[order] == 0]], prior=prior)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
