@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmend.llm import context_tree, edit_embedding, minhash_forest, pu_quality, sentence_spans, simhash_windows, surrogates, toxicity, warc
+from quillmend.llm import (
+    context_tree, edit_embedding, impact_search, line_resampling, minhash_forest, pu_quality, sentence_spans, simhash_windows, site_templates, surrogates,
+    toxicity, warc)
 from quillmend.llm.common import remainder
 from quillmend.llm.piece_bpe import encode_documents
 
@@ -82,6 +84,18 @@ def op10_minhash_forest(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_forest.similarity_join(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op11_site_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return site_templates.extract_pages(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
+def op12_impact_search(spark: SparkSession, folder: str) -> DataFrame:
+    return impact_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_line_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return line_resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_surrogates": op1_surrogates,
     "op2_toxicity": op2_toxicity,
@@ -93,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_edit_embedding": op9_edit_embedding,
     "op10_minhash_forest": op10_minhash_forest,
+    "op11_site_templates": op11_site_templates,
+    "op12_impact_search": op12_impact_search,
+    "op13_line_resampling": op13_line_resampling,
 }
 
 OP3_SQL = r"""
@@ -141,7 +158,35 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM sized LEFT JOIN firsts USING (payload_digest)
 """
 
+OP12_SQL = r"""
+WITH words AS (
+    SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+    FROM documents),
+docs AS (SELECT doc_id, r, t, len(t) AS n FROM words WHERE len(t) > 0),
+sizes AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM docs),
+asked AS (
+    SELECT item_id, term, count(*) AS times
+    FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark))
+    GROUP BY item_id, term),
+postings AS (
+    SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM postings, sizes GROUP BY term, big_n),
+scores AS (
+    SELECT a.item_id, d.doc_id, d.r, CAST(sum(a.times * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * d.n * s.big_n) // s.big_l)))) AS BIGINT) AS score
+    FROM asked a JOIN postings p USING (term) JOIN weights w USING (term) JOIN docs d USING (r) CROSS JOIN sizes s
+    GROUP BY a.item_id, d.doc_id, d.r),
+ranked AS (
+    SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+    FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
+    "op12_impact_search": OP12_SQL,
     "op3_sentence_spans": OP3_SQL,
     "op4_warc_revisits": OP4_SQL,
 }
