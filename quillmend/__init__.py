@@ -15,8 +15,9 @@ from quillmend.operators.values import (copy_values, create_values, displace_val
                                         replace, set_visibility)
 from quillmend.plans.edits import normalise, run_pipeline
 from quillmend.schema import DataTypes
-from quillmend.sources.jsonld import from_jsonld, read_jsonld, to_jsonld, write_jsonld
-from quillmend.sources.tables import read_tables, with_positions, write_tables
+from quillmend.sources.jsonld import from_jsonld, overlay, read_jsonld, to_jsonld, write_jsonld
+from quillmend.sources.tables import (property_terms, read_buckets, read_tables, with_positions, write_buckets,
+                                      write_changed, write_tables)
 from quillmend.sources.xml_records import parse_authority, parse_places
 from quillmend.streaming.on_write import (clean_on_write, clean_values_on_write, parquet_sink,
                                           start_cleaning)

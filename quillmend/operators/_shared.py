@@ -19,6 +19,13 @@ BLOCK_ROWS = 1 << 17
 # Boolean column a chain of edits adds to limit edits to the properties a record had at first.
 GATE = "_open"
 
+# Boolean column of tables whose selected rows are marked once, for all edits that follow.
+MARK = "_chosen"
+
+# A record with more than a thousandth of all rows (at most a thousand records) is spread over so
+# many tasks where rows meet the selection.
+HOT_SHARE, HOT_SPREAD = 1000, 64
+
 ALL = "all"
 
 GROUP = ["resource_id", "property"]
@@ -42,8 +49,11 @@ def selected(df: DataFrame, sel, key: str = "resource_id") -> tuple[DataFrame, C
     """`df` and a condition that is true on selected rows.
 
     `sel` is None (all), a list of ids (empty: none), or a DataFrame whose first column holds
-    ids. A DataFrame is joined on the key, never collected.
+    ids. A DataFrame is joined on the key, never collected. Where the rows are marked already,
+    their marks decide.
     """
+    if MARK in df.columns:
+        return df, F.col(MARK)
     if sel is None:
         return df, F.lit(True)
     if isinstance(sel, DataFrame):
@@ -54,6 +64,33 @@ def selected(df: DataFrame, sel, key: str = "resource_id") -> tuple[DataFrame, C
     return df, (F.col(key).isin(ids) if ids else F.lit(False))
 
 
+def mark(df: DataFrame, sel: DataFrame, key: str = "resource_id", hot: Sequence[int] = ()) -> DataFrame:
+    """`df` with its selected rows marked for all edits that follow: one join, however many edits.
+
+    Rows of `hot` records are dealt over many tasks by a second key, and the few ids of hot
+    records among the selected are repeated once for each.
+    """
+    ids = sel.select(F.col(sel.columns[0]).cast("long").alias(key)).distinct()
+    if not hot:
+        return df.join(ids.withColumn(MARK, F.lit(True)), key, "left").withColumn(
+            MARK, F.coalesce(F.col(MARK), F.lit(False))).select(*df.columns, MARK)
+    is_hot = F.col(key).isin(list(hot))
+    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(HOT_SPREAD))
+    ids = ids.withColumn("_spread", F.explode(F.when(
+        is_hot, F.sequence(F.lit(0), F.lit(HOT_SPREAD - 1))).otherwise(F.array(F.lit(0)))))
+    dealt = df.withColumn("_spread", F.when(is_hot, spread).otherwise(F.lit(0)).cast("int"))
+    return dealt.join(ids.withColumn(MARK, F.lit(True)), [key, "_spread"], "left").withColumn(
+        MARK, F.coalesce(F.col(MARK), F.lit(False))).select(*df.columns, MARK)
+
+
+def hot_records(df: DataFrame, key: str = "resource_id") -> list[int]:
+    """The ids that hold more than BLOCK_ROWS rows and a thousandth of all: at most a thousand."""
+    rows = df.select(F.count(F.lit(1))).scalar()
+    large = df.groupBy(key).count().where(
+        F.col(key).isNotNull() & (F.col("count") > BLOCK_ROWS) & (F.col("count") * HOT_SHARE > rows))
+    return sorted(row[key] for row in large.collect())
+
+
 def in_properties(properties) -> Column:
     names = as_list(properties)
     if not names:

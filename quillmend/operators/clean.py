@@ -77,12 +77,13 @@ def specify_datatypes(values: DataFrame, resources: DataFrame, *, sel=None) -> D
 def deduplicate_values(values: DataFrame, *, annotation_values: DataFrame | None = None,
                        case_sensitive: bool = False, sel=None,
                        renumber: bool = True) -> DataFrame:
-    """Keep one row per group of equal values: the smallest value_id, then position.
+    """Keep one row per group of equal values: the smallest value_id, then position, then (rows that
+    have neither) the one that `row_order` puts first.
 
-    One aggregation whose partial step runs before the shuffle, so a value repeated a billion
-    times sends one row per task. A measured table without hot groups holds no such value: its
-    copies are found by a window, on the partitioning that numbering uses too. Rows outside the
-    selection each form their own group.
+    Equal values have equal prints of 256 bits, so rows shuffle by a print and carry their texts
+    once. Each task keeps the first row of a print before the shuffle, so a value repeated a
+    billion times sends one row per task. A measured table without hot groups is partitioned as
+    numbering wants it instead. Rows outside the selection all stay.
     """
     columns = values.columns
     marked, condition = s.selected(values, sel)
@@ -92,31 +93,29 @@ def deduplicate_values(values: DataFrame, *, annotation_values: DataFrame | None
     def key(name: str) -> Column:
         return F.col(name) if case_sensitive else F.lower(F.col(name))
 
-    rank = F.struct(F.col("value_id").isNull().alias("unsaved"), F.col("value_id").alias("id"),
-                    F.col("pos").alias("at"))
-    compared = {
-        "_link": F.col("value_resource_id"), "_type": key("type"), "_lang": key("lang"),
-        "_value": key("value"), "_uri": key("uri"), "_public": F.col("is_public"),
-        "_annotation": F.col("value_annotation_id"),
-        # Rows out of reach are never equal to another one.
-        "_apart": F.when(~condition, rank),
-    }
+    compared = [F.col("value_resource_id"), key("type"), key("lang"), key("value"), key("uri"),
+                F.col("is_public"), F.col("value_annotation_id")]
     if annotation_values is not None:
-        compared.update({"_part": F.col("_field"), "_place": F.col("_ordinal")})
+        compared += [F.col("_field"), F.col("_ordinal")]
+    named = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(compared)])
+    # Nulls are spelled out, so that a null and a neighbour's text cannot be confused.
+    print_ = F.unhex(F.sha2(F.to_json(named, {"ignoreNullFields": "false"}), 256))
+    copies = Window.partitionBy(*s.GROUP, "_print", "_hit").orderBy(
+        F.col("value_id").asc_nulls_last(), *s.row_order())
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_print", print_).withColumn("_copy", F.row_number().over(copies))
+
+    marked = marked.withColumn("_hit", F.coalesce(condition, F.lit(False)))
     if s.is_small(values):
-        numbered = s.running_start(marked.withColumns(compared), s.GROUP, {}, s.row_order(),
-                                   "_now", small=True)
-        copies = Window.partitionBy(*s.GROUP, *compared).orderBy(
-            F.col("value_id").asc_nulls_last(), F.col("_now"))
-        kept = numbered.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1")
-        kept = kept.select(*columns)
-        return s.close_up(kept) if renumber else kept
-    keys = [*[F.col(name) for name in s.GROUP], *[c.alias(name) for name, c in compared.items()]]
-    rest = [name for name in columns if name not in s.GROUP]
-    kept = (marked.groupBy(*keys)
-            .agg(F.min(F.struct(rank.alias("_rank"), *rest)).alias("_first"))
-            .select(*s.GROUP, *[F.col(f"_first.{name}").alias(name) for name in rest])
-            .select(*columns))
+        # Numbered first, so that both windows share one shuffle.
+        placed = s.running_start(marked, s.GROUP, {}, s.row_order(), "_now", small=True)
+        kept = numbered(placed).where("_copy = 1 OR NOT _hit").select(*columns)
+    elif sel is None and s.MARK not in columns:
+        kept = numbered(marked).where("_copy = 1").select(*columns)
+    else:
+        kept = numbered(marked.where("_hit")).where("_copy = 1").select(*columns).unionByName(
+            marked.where("NOT _hit").select(*columns))
     kept = s.stamp(kept, s.group_rows(values))
     return s.close_up(kept) if renumber else kept
 

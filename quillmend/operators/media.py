@@ -270,78 +270,82 @@ def explode_items(resources: DataFrame, media: DataFrame, values: DataFrame, mod
     attached = media.select("item_id", F.col("id").alias("media_id"), "position").join(
         items, "item_id", "left_semi")
     place = F.struct(F.col("position").isNull().alias("unplaced"), "position", "media_id")
-    first = attached.groupBy("item_id").agg(F.min(place).alias("_first")).select(
-        "item_id", F.col("_first.media_id").alias("media_id"))
+    first = attached.groupBy("item_id").agg(F.min(place).alias("_first"))
     top = resources.select(F.max("id")).scalar()
-    firsts = first.select("item_id", "media_id", F.col("item_id").alias("new_id"))
-    others = attached.join(first, ["item_id", "media_id"], "left_anti").select(
-        "item_id", "media_id", (F.col("media_id") + top).alias("new_id"))
-    pairs = firsts.unionByName(others)
+    stays = F.col("media_id") == F.col("_first.media_id")
+    pairs = attached.join(first, "item_id").select(
+        "item_id", "media_id", stays.alias("_stays"),
+        F.when(stays, F.col("item_id")).otherwise(F.col("media_id") + top).alias("_new_id"))
 
-    new_resources = _exploded_resources(resources, firsts, others)
+    new_resources = _exploded_resources(resources, pairs)
     new_media = _exploded_media(media, pairs)
     # The values of several media may meet in one property of an item.
-    new_values = s.stamp(_exploded_values(values, firsts, others, mode), None)
+    new_values = s.stamp(_exploded_values(values, pairs, mode), None)
     return new_resources, new_media, new_values
 
 
-def _exploded_resources(resources, firsts, others) -> DataFrame:
-    columns = resources.columns
-    primary = resources.schema["primary_media_id"].dataType
+def _chosen(columns, still: Column) -> dict[str, Column]:
+    """Marks of a selection: new items are not in it."""
+    return {s.MARK: F.col(s.MARK) & still} if s.MARK in columns else {}
 
-    def take(pairs: DataFrame, how: str) -> DataFrame:
-        joined = resources.join(pairs.select(F.col("item_id").alias("id"), "media_id", "new_id"),
-                                "id", how)
-        return joined.select(*[
-            F.coalesce(F.col("new_id"), F.col("id")).alias(c) if c == "id"
-            else F.coalesce(F.col("media_id").cast(primary), F.col(c)).alias(c)
-            if c == "primary_media_id" else F.col(c) for c in columns])
 
-    return take(firsts, "left").unionByName(take(others, "inner"))
+def _exploded_resources(resources, pairs) -> DataFrame:
+    """An item meets one pair for each of its media, so one join makes the items."""
+    joined = resources.join(pairs.withColumnRenamed("item_id", "id"), "id", "left")
+    primary = resources.schema["primary_media_id"].dataType
+    return joined.withColumns({
+        "id": F.coalesce("_new_id", "id"),
+        "primary_media_id": F.coalesce(F.col("media_id").cast(primary), "primary_media_id"),
+        **_chosen(resources.columns, F.coalesce("_stays", F.lit(True))),
+    }).select(*resources.columns)
 
 
 def _exploded_media(media, pairs) -> DataFrame:
-    moved = media.join(pairs.select(F.col("media_id").alias("id"), "new_id"), "id", "left")
+    moved = media.join(pairs.select(F.col("media_id").alias("id"), "_new_id", "_stays"), "id", "left")
     return moved.withColumns({
-        "position": F.when(F.col("new_id").isNotNull(), F.lit(1)).otherwise(F.col("position"))
+        "position": F.when(F.col("_new_id").isNotNull(), F.lit(1)).otherwise(F.col("position"))
         .cast(media.schema["position"].dataType),
-        "item_id": F.coalesce(F.col("new_id"), F.col("item_id")),
+        "item_id": F.coalesce("_new_id", "item_id"),
+        **_chosen(media.columns, F.coalesce("_stays", F.lit(True))),
     }).select(*media.columns)
 
 
-def _exploded_values(values, firsts, others, mode: str) -> DataFrame:
+def _exploded_values(values, pairs, mode: str) -> DataFrame:
+    """One join expands the values: those of an item meet one pair for each media, those of a media
+    meet its own pair and both stay and pass on. What passes on is placed by arithmetic, behind as
+    many values as the item has of that property."""
     columns = values.columns
-    unsaved = F.lit(None).cast("long")
-    targets = firsts.unionByName(others)
-    copied = (values.join(others.select(F.col("item_id").alias("resource_id"), "media_id", "new_id"),
-                          "resource_id")
-              .withColumns({"resource_id": F.col("new_id"), "value_id": unsaved}))
-    if mode == "none":
-        return values.unionByName(copied.select(*columns))
-
-    kept = values.join(firsts.select(F.col("item_id").alias("resource_id"), "media_id"),
-                       "resource_id", "left")
-    owned = kept.unionByName(copied.drop("new_id")).select(*columns, "media_id")
-    given = values.join(targets.select(F.col("media_id").alias("resource_id"), "new_id"),
-                        "resource_id").withColumns({
-                            "media_id": F.col("resource_id"), "resource_id": F.col("new_id"),
-                            "value_id": unsaved}).select(*columns, "media_id")
-    if mode == "replace":
-        owned = owned.where(F.col("media_id").isNull())
-    elif mode == "update":
-        covered = given.select("media_id", "property").distinct()
-        untouched = owned.where(F.col("media_id").isNull())
-        owned = owned.where(F.col("media_id").isNotNull()).join(
-            covered, ["media_id", "property"], "left_anti").select(*owned.columns).unionByName(untouched)
-    else:
-        # Appended values follow those of the item: number the touched records again.
-        both = owned.where(F.col("media_id").isNotNull()).withColumn("_given", F.lit(0)).unionByName(
-            given.withColumn("_given", F.lit(1)))
-        numbered = s.running_start(
-            both, s.GROUP, {"_part": F.col("_given"), "_block": s.row_block()}, s.row_order(), "_at")
-        placed = s.placed(numbered, columns, None)
-        return owned.where(F.col("media_id").isNull()).select(*columns).unionByName(placed)
-    return owned.unionByName(given).select(*columns)
+    record = F.struct(F.col("item_id").alias("resource_id"), F.lit(False).alias("_passes"))
+    passing = F.struct(F.col("media_id").alias("resource_id"), F.lit(True).alias("_passes"))
+    roles = pairs.select("*", F.inline(F.array(record) if mode == "none" else F.array(record, passing)))
+    placed = values
+    if mode == "append":
+        placed = s.running_start(values, s.GROUP, {"_block": s.row_block()}, s.row_order(), "_at",
+                                 small=s.is_small(values))
+    stay, own, given = F.lit("stay"), F.lit("own"), F.lit("given")
+    parts = (F.when(F.col("_passes").isNull(), F.array(stay))
+             .when(F.col("_passes"), F.array(stay, given))
+             .otherwise(F.array() if mode == "replace" else F.array(own)))
+    rows = placed.join(roles, "resource_id", "left").withColumn("_part", F.explode(parts.cast("array<string>")))
+    if mode in ("append", "update"):
+        # What the item has of the property before a given value; whether the media has some itself.
+        asks, whose = ("given", "item_id") if mode == "append" else ("own", "media_id")
+        sizes = values.groupBy(F.struct(*s.GROUP).alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
+        rows = s.lookup(rows.withColumn("_hit", F.col("_part") == asks),
+                        F.struct(F.col(whose).alias("resource_id"), "property"), sizes, "_group")
+    pos = F.col("pos")
+    if mode == "update":
+        rows = rows.where(F.col("_n").isNull())
+    elif mode == "append":
+        pos = F.when(F.col("_part") == "own", F.col("_at")).when(
+            F.col("_part") == "given", F.col("_at") + F.coalesce("_n", F.lit(0))).otherwise(pos)
+    stays = F.col("_part") == "stay"
+    return rows.withColumns({
+        "value_id": F.when(stays | ((F.col("_part") == "own") & F.col("_stays")), F.col("value_id")),
+        "resource_id": F.when(stays, F.col("resource_id")).otherwise(F.col("_new_id")),
+        "pos": pos,
+        **({s.MARK: F.when(stays, F.col(s.MARK)).otherwise(F.col("_stays"))} if s.MARK in columns else {}),
+    }).select(*columns)
 
 
 # ---------------------------------------------------------------- pages

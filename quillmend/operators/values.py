@@ -47,6 +47,8 @@ def create_values(values: DataFrame, resources: DataFrame, property: str, dataty
         F.coalesce(F.col("_next"), F.lit(0)))
     if s.GATE in values.columns:
         new[s.GATE] = F.coalesce(F.col("_gate"), F.lit(False))
+    if s.MARK in values.columns:
+        new[s.MARK] = F.lit(True)
     return s.stamp(values.unionByName(_conform(added, values, new)), s.grown(values, 1, 1))
 
 
@@ -378,7 +380,8 @@ def order_values(values: DataFrame, languages, properties, *, sel=None) -> DataF
             numbered = s.running_start(rows, s.GROUP, {}, [F.col("_now")], "_at", small=True,
                                        lead_order=lead)
         else:
-            first_seen = F.struct(F.col("pos").isNull().alias("unplaced"), "pos", "value_id")
+            first_seen = F.struct(F.col("pos").isNull().alias("unplaced"), "pos",
+                                  F.col("value_id").isNull().alias("unsaved"), "value_id", s.content())
             numbered = s.running_start(
                 rows, s.GROUP, {"_lang": language, "_block": s.row_block()}, s.row_order(), "_at",
                 block_facts={"_first": F.min(first_seen)},

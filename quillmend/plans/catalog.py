@@ -898,6 +898,22 @@ def _ordered_sql() -> str:
 
 
 query("ordered_edits", lambda t: _ordered(t)["values"], _ordered_sql())
+
+
+def _chosen_edits(t: Tables, **selection) -> DataFrame:
+    """The edits above for some records, on a table without sizes of groups."""
+    return q.run_pipeline({"values": t.values, "resources": t.resources, "media": t.media}, EDITS, **selection)["values"]
+
+
+query("ordered_edits_items", lambda t: _chosen_edits(t, kind="items"), _ordered_sql())
+query("ordered_edits_id_list",
+      lambda t: _chosen_edits(t, sel=t.documents.where("doc_id % 3 = 1").select(F.col("doc_id") + 1)),
+      f"""WITH edited AS ({_ordered_sql()})
+          SELECT {", ".join(COLUMNS)} FROM edited WHERE resource_id % 3 = 2
+          UNION ALL {renumbered(select({}, where="resource_id % 3 <> 2"))}""")
+query("ordered_edits_media_kind",
+      lambda t: q.run_pipeline({"values": t.values, "resources": t.resources, "media": t.media}, EDITS, kind="media")["media"],
+      _media_sql({"media_type": case("media_type = 'image/png'", "'image/webp'", "media_type")}))
 query("ordered_edits_records", lambda t: _ordered(t)["resources"],
       _resources_sql({"owner_id": "CAST(3 AS INT)"}))
 query("ordered_edits_media", lambda t: _ordered(t)["media"],
@@ -954,8 +970,58 @@ query("stream_clean", _stream_clean,
                              CASE WHEN k = 5 THEN 30000000 + doc_id % 7 END AS value_resource_id, TRUE AS is_public
                       FROM documents, unnest(range(1, 6)) AS t(k)) AS a) AS b
           WHERE rn = 1""")
-query("jsonld_round_trip", lambda t: q.from_jsonld(q.to_jsonld(t.values)),
-      select({"value_id": "CAST(NULL AS BIGINT)", "value_annotation_id": "CAST(NULL AS BIGINT)"}))
+query("jsonld_round_trip", lambda t: q.from_jsonld(q.to_jsonld(t.values)), select({}))
+query("jsonld_round_trip_parts",
+      lambda t: q.from_jsonld(q.to_jsonld(_unplaced(t.values), part_rows=2)),
+      select({"value_id": "CASE WHEN value_id % 3 <> 0 THEN value_id END", "pos": "CASE WHEN resource_id % 2 <> 0 THEN pos * 2 END",
+              "is_public": "CASE WHEN value_id % 7 <> 0 THEN is_public END"}))
+
+
+def _unplaced(values: DataFrame) -> DataFrame:
+    """Values of which some lack position, identifier or visibility."""
+    return values.withColumns({
+        "pos": F.when(F.col("resource_id") % 2 != 0, F.col("pos") * 2),
+        "is_public": F.when(F.col("value_id") % 7 != 0, F.col("is_public")),
+        "value_id": F.when(F.col("value_id") % 3 != 0, F.col("value_id"))})
+
+
+def _pending(t: Tables) -> DataFrame:
+    """Edits of every fifth record: another title, the language notes of a term it did not have,
+    and records that are new."""
+    row = "struct('{}' AS property, 0L AS pos, 'literal' AS type, CAST(NULL AS STRING) AS lang, '{}' || doc_id AS value)"
+    return t.spark.sql(f"""
+        SELECT CAST(NULL AS BIGINT) AS value_id, doc_id + if(doc_id % 15 = 0, 50000000, 1) AS resource_id,
+               inline(array({row.format("dcterms:title", "Pending ")}, {row.format("ex:note", "Note ")})),
+               CAST(NULL AS STRING) AS uri, CAST(NULL AS BIGINT) AS value_resource_id, true AS is_public,
+               CAST(NULL AS BIGINT) AS value_annotation_id
+        FROM {{documents}} WHERE doc_id % 5 = 0""", documents=t.documents)
+
+
+query("jsonld_overlay",
+      lambda t: q.from_jsonld(q.overlay(q.to_jsonld(t.values, part_rows=2), q.to_jsonld(_pending(t)))),
+      f"""WITH pending AS (
+              SELECT CAST(NULL AS BIGINT) AS value_id, doc_id + CASE WHEN doc_id % 15 = 0 THEN 50000000 ELSE 1 END AS resource_id,
+                     p.property, CAST(0 AS BIGINT) AS pos, 'literal' AS type, CAST(NULL AS STRING) AS lang,
+                     p.label || CAST(doc_id AS STRING) AS value, CAST(NULL AS STRING) AS uri, CAST(NULL AS BIGINT) AS value_resource_id,
+                     TRUE AS is_public, CAST(NULL AS BIGINT) AS value_annotation_id
+              FROM documents, (VALUES ('dcterms:title', 'Pending '), ('ex:note', 'Note ')) AS p(property, label) WHERE doc_id % 5 = 0)
+          {select({}, where="NOT (property = 'dcterms:title' AND resource_id IN (SELECT resource_id FROM pending))")}
+          UNION ALL SELECT * FROM pending""")
+
+
+def _written_back(t: Tables) -> DataFrame:
+    """The table after an edit of every seventh record was written back into its files."""
+    folder = f"{shared_folder(t.spark)}/buckets-{_unique()}"
+    q.write_buckets(t.values, folder, 16)
+    chosen = t.documents.where("doc_id % 7 = 0").select(F.col("doc_id") + 1)
+    edited = q.set_visibility(q.read_buckets(t.spark, folder), False, ["dcterms:title"], sel=chosen)
+    q.write_changed(q.remove_values(edited, ["dcterms:abstract"], sel=chosen), folder)
+    return q.read_buckets(t.spark, folder)
+
+
+query("write_changed", _written_back,
+      select({"is_public": case("(resource_id - 1) % 7 = 0 AND property = 'dcterms:title'", "FALSE", "is_public")},
+             where="NOT ((resource_id - 1) % 7 = 0 AND property = 'dcterms:abstract')"))
 
 
 def _place_xml(t: Tables) -> DataFrame:

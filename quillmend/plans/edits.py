@@ -306,6 +306,7 @@ def run_pipeline(tables: Mapping[str, DataFrame], spec: Mapping, *, sel=None,
     media those of values and media files, other kinds those of values. Adds the tables
     ``audit``, ``counts`` and, when asked for, ``pages``.
 
+    A selection by kind or by a table of ids is joined once: rows carry their mark through all edits.
     Value edits touch only properties a record had before the first edit. Positions are closed
     up once, at the end. The groups of values are measured first (one job on two columns): where
     none is hot, all numbering is done by plain windows on one partitioning. An edit of a table
@@ -321,9 +322,11 @@ def run_pipeline(tables: Mapping[str, DataFrame], spec: Mapping, *, sel=None,
     edits = [e for e in normalise(spec) if _in_reach(e.name, kind)]
     sel = _selection(t["resources"], sel, kind)
     by = "id" if kind == "media" else "item_id"
+    if isinstance(sel, DataFrame):
+        _mark_tables(t, edits, sel, by)
     gated = any(e.name in ("create_values", "copy", "displace") for e in edits[:-1])
     if gated:
-        t["values"] = before.withColumn(s.GATE, F.lit(True))
+        t["values"] = t["values"].withColumn(s.GATE, F.lit(True))
     gaps, read_twice = False, False
     with s.chain(before):
         for step in edits:
@@ -334,19 +337,35 @@ def run_pipeline(tables: Mapping[str, DataFrame], spec: Mapping, *, sel=None,
                 t["values"] = _single_read(t["values"], read_twice)
                 read_twice = True
             _apply(step, t, sel, by, types)
-        t["values"] = t["values"].drop(s.GATE)
+        t["values"] = t["values"].drop(s.GATE, s.MARK)
         if gaps:
             if not s.is_small(t["values"]):
                 t["values"] = _single_read(t["values"], read_twice)
             t["values"] = s.close_up(t["values"])
+    for name in ("resources", "media"):
+        if name in t:
+            t[name] = t[name].drop(s.MARK)
     t["audit"] = audit(before.sparkSession, edits)
     t["counts"] = report.changes(before, t["values"])
     return t
 
 
+def _mark_tables(t: dict, edits: list[Edit], sel: DataFrame, by: str) -> None:
+    """Mark the selected rows of the tables that edits change."""
+    names = {e.name for e in edits}
+    if names - set(MEDIA_EDITS):
+        values = t["values"]
+        hot = [] if s.is_small(values) else s.hot_records(values)
+        t["values"] = s.stamp(s.mark(values, sel, "resource_id", hot), s.group_rows(values))
+    if names & {"fill_data", "thumbnails", "explode_item"}:
+        t["resources"] = s.mark(t["resources"], sel, "id")
+    if names & {*MEDIA_EDITS, *ITEM_EDITS}:
+        t["media"] = s.mark(t["media"], sel, by)
+
+
 def _reads_twice(step: Edit, values: DataFrame) -> bool:
     numbers = step.name in NUMBERING_EDITS or step.params.get("max_values") or step.params.get(
-        "keep_max_values")
+        "keep_max_values") or (step.name == "deduplicate_values" and s.MARK in values.columns)
     return step.name == "explode_item" or bool(numbers and not s.is_small(values))
 
 
