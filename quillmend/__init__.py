@@ -18,7 +18,7 @@ from quillmend.schema import DataTypes
 from quillmend.sources.jsonld import from_jsonld, overlay, read_jsonld, to_jsonld, write_jsonld
 from quillmend.sources.tables import (property_terms, read_buckets, read_tables, with_positions, write_buckets,
                                       write_changed, write_tables)
-from quillmend.sources.xml_records import parse_authority, parse_places
+from quillmend.sources.xml_records import authority_rejects, parse_authority, parse_place_names, parse_places, place_rejects
 from quillmend.streaming.on_write import (clean_on_write, clean_values_on_write, parquet_sink,
                                           start_cleaning)
 

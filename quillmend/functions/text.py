@@ -82,15 +82,34 @@ def main_media_type(c: Column) -> Column:
     return F.split_part(c, F.lit("/"), F.lit(1))
 
 
+# White space of the natural order.
+NATURAL_SPACE = r"[ \t\n\x0B\f\r]"
+
+
 def natural_key(c: Column) -> Column:
-    """Sort key for natural, case-insensitive order: each run of digits compares as a number."""
-    runs = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1))
-
-    def comparable(run: Column) -> Column:
-        number = F.regexp_replace(run, r"^0+(?=\d)", "")
-        return F.when(run.rlike(r"^\d"),
-                      F.concat(F.lpad(F.length(number).cast("string"), 6, "0"), number)
-                      ).otherwise(run)
+    r"""Sort key for natural order without case (of ASCII letters).
+
+    Runs of digits compare as numbers of any length: the key has the digits of the run's length,
+    counted, then the length, then the run. A run that begins with zero is a fraction: it comes
+    before all others and compares digit by digit (``a01 < a02 < a1``). Zeros in front of a number
+    that begins the text do not count. White space does not count either, unless it follows a
+    number (one blank) or ends the text.
+    """
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    folded = F.translate(F.regexp_replace(c, r"^0+(?=[0-9])", ""), letters, letters.upper())
+    runs = F.regexp_extract_all(
+        folded, F.lit(rf"([0-9]+|{NATURAL_SPACE}+|(?:(?!{NATURAL_SPACE})[^0-9])+)"), F.lit(1))
+
+    def comparable(run: Column, i: Column) -> Column:
+        size = F.length(run).cast("string")
+        after_number = F.coalesce(F.get(runs, i - 1).rlike("^[0-9]"), F.lit(False))
+        last = i == F.size(runs) - 1
+        blank = F.concat(
+            F.when(after_number, F.substring(run, 1, 1)).otherwise(F.lit("")),
+            F.when(last & (~after_number | (F.length(run) > 1)), F.lit("\x00")).otherwise(F.lit("")))
+        return (F.when(run.rlike("^0"), F.concat(run, F.lit("\x01")))
+                .when(run.rlike("^[1-9]"), F.concat(F.length(size).cast("string"), size, run))
+                .when(run.rlike(f"^{NATURAL_SPACE}"), blank).otherwise(run))
 
     return F.array_join(F.transform(runs, comparable), "")
 

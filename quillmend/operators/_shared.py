@@ -22,6 +22,9 @@ GATE = "_open"
 # Boolean column of tables whose selected rows are marked once, for all edits that follow.
 MARK = "_chosen"
 
+# Print of what a row said before the present edit, null on rows the edit added (see `counted`).
+WAS = "_was"
+
 # A record with more than a thousandth of all rows (at most a thousand records) is spread over so
 # many tasks where rows meet the selection.
 HOT_SHARE, HOT_SPREAD = 1000, 64
@@ -197,6 +200,19 @@ def main_payload(types: schema.DataTypes) -> Column:
     return F.when(main == "literal", F.col("value")).when(main == "uri", F.col("uri"))
 
 
+# ---------------------------------------------------------------- counts of an edit
+
+def printed(df: DataFrame, name: str) -> Column:
+    """What a row of a table says, as a number: all but its identifier, and but the place of a value."""
+    apart = {GATE, MARK, WAS, *(("value_id", "pos") if name == "values" else ("id",))}
+    return F.xxhash64(*[c for c in df.columns if c not in apart])
+
+
+def as_new(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet the condition count as added by the present edit."""
+    return df.withColumn(WAS, F.when(~condition, F.col(WAS))) if WAS in df.columns else df
+
+
 # ---------------------------------------------------------------- size of groups
 
 # Column metadata of ``pos``: the most rows that one property of one record has.

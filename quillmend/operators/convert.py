@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quillmend import schema
 from quillmend.functions import text
 from quillmend.operators import _shared as s
+from quillmend.operators.fill import label_rank
 
 GEONAMES = "valuesuggest:geonames:geonames"
 COORDINATES = "geography:coordinates"
@@ -34,14 +35,16 @@ def convert(values: DataFrame, resources: DataFrame | None, from_: str, to: str,
             literal_value: str | None = None, strip_html: bool = False,
             only_tagged: bool = False, preprocess: str = "full", identifier_properties=(),
             extract_label: bool = False, uri_label: str | None = None,
-            uri_base: str | None = None, uri_is_api: bool = False,
+            uri_base: str | None = None, uri_is_api: bool = False, uri_language: str = "",
             places: DataFrame | None = None, vocab: DataFrame | None = None,
             contains: str = "", sel=None,
             types: schema.DataTypes = schema.DEFAULT_TYPES) -> DataFrame:
     """Convert the values of exactly type `from_`; a result that is not valid for the target
     type leaves the row as it was.
 
-    Only the rows of the source type take part in the lookups (records, places, vocabulary).
+    Only the rows of the source type take part in the lookups (records, places, vocabulary). Places
+    may be one row each, or one row for each of their names (columns ``kind`` and ``lang``): then the
+    name that fits `uri_language` best is taken.
     """
     if not from_ or not to:
         raise ValueError("a source and a target data type are required")
@@ -67,6 +70,8 @@ def convert(values: DataFrame, resources: DataFrame | None, from_: str, to: str,
     source_text = F.col("value")
     if strip_html and from_ in ("html", "xml"):
         source_text = text.strip_tags(source_text)
+    if places is not None:
+        places = best_names(places, uri_language)
     options = dict(to=to, types=types, resources=resources, places=places)
 
     if main == ("literal", "literal"):
@@ -269,6 +274,19 @@ def _kind_fits(to: str, types: schema.DataTypes) -> Column:
     return F.col("_kind").isNotNull() if required is None else F.col("_kind") == required
 
 
+def best_names(places: DataFrame, language: str) -> DataFrame:
+    """One row for each place: of its names, the official or an alternate one in the language, else the
+    plain, short, official or alternate name that comes first."""
+    if not {"kind", "lang"} <= set(places.columns):
+        return places
+    rank = label_rank(language[:2].lower(), False, GEONAMES)
+    order = F.coalesce(F.col("priority") if "priority" in places.columns else F.lit(None), F.lit(0))
+    record = F.struct("toponym", "country", "lat", "lon")
+    return (places.where(rank.isNotNull() & text.has_text(F.col("toponym"))).groupBy("geoname_id")
+            .agg(F.min_by(record, F.struct(rank.alias("rank"), order.alias("order"), "toponym")).alias("_best"))
+            .select("geoname_id", "_best.*"))
+
+
 def _with_place(rows: DataFrame, place_id: Column, places: DataFrame) -> DataFrame:
     """Add the place record and its coordinates."""
     record = places.select(

@@ -29,8 +29,10 @@ SOURCE_MODES = (*HTML_MODES, "basename", "filename")
 MEDIA_TYPE = (r"^(application|audio|font|example|image|message|model|multipart|text|video|x-[\w-]+)"
               r"/([\w\.+-]+)(;[\w\.+-]+=[\w\.+-]+){0,3}$")
 
-# An item with more media than this is sorted by several tasks.
+# An item with more media than this is sorted by several tasks, between borders taken from so many
+# of its media.
 ITEM_ROWS = 1 << 17
+SAMPLED = 1024
 
 
 # ---------------------------------------------------------------- records
@@ -166,7 +168,11 @@ def order_media(media: DataFrame, order: str, *, media_types=(), extensions=(),
     main, _, sub = order.partition("/")
     media_types, extensions = s.as_list(media_types), patterns.split_list(s.as_list(extensions))
     marked, condition = s.selected(media, sel, "item_id")
-    keyed = _sort_keys(marked.where(condition), main, sub, media_types, extensions)
+    chosen = marked.where(condition)
+    # What the sort needs to know of an item: its size, and whether the second criterion says anything.
+    facts = chosen.groupBy("item_id").agg(
+        F.count(F.lit(1)).alias("_size"), F.max(F.length(_field(sub or main)) > 0).alias("_two"))
+    keyed = _sort_keys(chosen.join(facts, "item_id", "left"), main, sub, media_types, extensions)
     placed = _number_items(keyed, item_rows).withColumn("position", F.col("_at") + 1)
     rest = marked.where(~F.coalesce(condition, F.lit(False)))
     return placed.select(*media.columns).unionByName(rest.select(*media.columns))
@@ -226,31 +232,31 @@ def _sort_keys(media: DataFrame, main: str, sub: str, media_types, extensions) -
     else:
         double = (first, second, none)
     # An item whose second criterion is blank everywhere is sorted by the first alone.
-    filled = (media.where(F.length(_field(sub)) > 0).select("item_id").distinct()
-              .withColumn("_two", F.lit(True)))
     two = F.coalesce(F.col("_two"), F.lit(False))
-    return media.join(filled, "item_id", "left").withColumns({
-        f"_k{i + 1}": F.when(two, double[i]).otherwise(single[i]) for i in range(3)}).drop("_two")
+    return media.withColumns({f"_k{i + 1}": F.when(two, double[i]).otherwise(single[i]) for i in range(3)})
 
 
 def _number_items(keyed: DataFrame, item_rows: int) -> DataFrame:
-    """Number the media of each item from 0.
+    """Number the media of each item from 0, in one lazy plan.
 
-    A window per item, unless some item is too large for one task (counted first, on one
-    column): such items are sorted over all tasks instead.
+    An item of more than `item_rows` media is cut at borders: the media of the smallest hashes are
+    a sample of it, and every so many of the sample, in order, is a border. Hashes do not change
+    when a task is run again, so borders do not either. Pieces are numbered in parallel and shifted
+    by the sizes of those before them.
     """
     order = [F.col("_k1"), F.col("_k2"), F.col("_k3"), F.col("position").asc_nulls_last(), F.col("id")]
-    large = keyed.groupBy("item_id").count().where(F.col("count") > item_rows).select("item_id")
-    window = Window.partitionBy("item_id").orderBy(*order)
-    if large.isEmpty():
-        return keyed.withColumn("_at", (F.row_number().over(window) - 1).cast("long"))
-    small = keyed.join(large, "item_id", "left_anti").withColumn(
-        "_at", (F.row_number().over(window) - 1).cast("long"))
-    # The range of each row is stored before it is used, so a lost task cannot move a border.
-    ranged = keyed.join(large, "item_id", "left_semi").repartitionByRange("item_id", *order)
-    stored = s.cut_lineage(ranged.withColumn("_range", F.spark_partition_id()))
-    sorted_ = s.running_start(stored, ["item_id"], {"_block": F.col("_range")}, order, "_at")
-    return small.unionByName(sorted_.select(*small.columns))
+    key = F.struct("_k1", "_k2", "_k3", F.col("position").isNull().alias("unplaced"), "position", "id")
+    by_hash = Window.partitionBy("item_id").orderBy(F.xxhash64("id"), "id")
+    sample = (keyed.where(F.col("_size") > item_rows).select("item_id", "_size", key.alias("_key"), "id")
+              .withColumn("_nth", F.row_number().over(by_hash)).where(F.col("_nth") <= SAMPLED))
+    # About two pieces for every `item_rows`, as far as the sample goes.
+    step = F.greatest(F.lit(1), F.floor(SAMPLED * item_rows / (2 * F.col("_size"))))
+    borders = (sample.groupBy("item_id", "_size").agg(F.array_sort(F.collect_list("_key")).alias("_all"))
+               .select("item_id", F.filter("_all", lambda b, i: (i + 1) % step == 0).alias("_borders")))
+    cut = keyed.join(borders, "item_id", "left").withColumn("_key", key)
+    block = F.when(F.col("_borders").isNull(), 0).otherwise(F.size(F.filter("_borders", lambda b: b < F.col("_key"))))
+    return s.running_start(cut.withColumn("_piece", block).drop("_borders", "_key"), ["item_id"],
+                           {"_block": F.col("_piece")}, order, "_at")
 
 
 # ---------------------------------------------------------------- explode items
@@ -292,6 +298,7 @@ def _chosen(columns, still: Column) -> dict[str, Column]:
 def _exploded_resources(resources, pairs) -> DataFrame:
     """An item meets one pair for each of its media, so one join makes the items."""
     joined = resources.join(pairs.withColumnRenamed("item_id", "id"), "id", "left")
+    joined = s.as_new(joined, ~F.coalesce("_stays", F.lit(True)))
     primary = resources.schema["primary_media_id"].dataType
     return joined.withColumns({
         "id": F.coalesce("_new_id", "id"),
@@ -340,6 +347,7 @@ def _exploded_values(values, pairs, mode: str) -> DataFrame:
         pos = F.when(F.col("_part") == "own", F.col("_at")).when(
             F.col("_part") == "given", F.col("_at") + F.coalesce("_n", F.lit(0))).otherwise(pos)
     stays = F.col("_part") == "stay"
+    rows = s.as_new(rows, ~(stays | ((F.col("_part") == "own") & F.col("_stays"))))
     return rows.withColumns({
         "value_id": F.when(stays | ((F.col("_part") == "own") & F.col("_stays")), F.col("value_id")),
         "resource_id": F.when(stays, F.col("resource_id")).otherwise(F.col("_new_id")),

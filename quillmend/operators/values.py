@@ -124,7 +124,7 @@ def copy_values(values: DataFrame, from_, to: str, *, datatype: str | None = Non
     # A matching row is followed by its copy, so the table is read once.
     both = marked.withColumn("_copy", F.explode(
         F.when(hit, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
-    moved = _moved(both, values.columns, F.col("_copy"), to, datatype)
+    moved = s.as_new(_moved(both, values.columns, F.col("_copy"), to, datatype), F.col("_from") != "")
     result = _append_in_order(moved, values, from_, to, F.col("property") == to, copies=True)
     return s.stamp(result, _transfer_bound(values, from_))
 
@@ -252,6 +252,7 @@ def explode_values(values: DataFrame, properties, separator: str, *, contains: s
         "value_id": F.when(F.col("_i") == 0, F.col("value_id")),
         "_at": F.col("_at") + F.col("_i"),
     })
+    split = s.as_new(split, F.col("_i") > 0)
     if s.in_chain() and s.is_small(values):
         # The edits that follow need to know: one job on the texts to split.
         most = marked.where(hit).groupBy(*s.GROUP).agg(F.sum(F.size(pieces)).alias("n")).agg(

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import quillmend as q
 from quillmend.functions import text
 from quillmend.operators._shared import shared_folder
+from quillmend.operators.media import valid_media_type
 from quillmend.sources import fixtures as fx
 from quillmend.sources.session import configure
 from quillmend.sources.tables import property_terms, with_positions
@@ -327,6 +328,14 @@ query("explode_limit_pos",
 query("explode_limit_neg",
       lambda t: q.explode_values(t.values, ["dcterms:subject"], ";", max_values=-2),
       _explode_sql(f"[array_to_string({PARTS}[:-2], ';'), {PARTS}[-1]]"))
+BLANK_LINES = trimmed("string_split(value, chr(10))[i]")
+query("explode_escaped_separator",
+      lambda t: q.explode_values(t.values, ["dcterms:description"], "\\n"),
+      f"""WITH v AS (SELECT *, coalesce(property = 'dcterms:description' AND contains(value, chr(10)), FALSE) AS hit FROM fx_values),
+               p AS (SELECT *, i, {BLANK_LINES} AS piece FROM v, unnest(range(1, len(string_split(value, chr(10))) + 1)) AS t(i) WHERE hit),
+               k AS (SELECT *, row_number() OVER (PARTITION BY value_id ORDER BY i) AS k FROM p WHERE piece <> '')
+          {select({"value_id": case("k = 1", "value_id", "NULL"), "value": "piece", "pos": "k - 1"}, source="k")}
+          UNION ALL {select({}, source="v", where="NOT hit")}""")
 query("explode_match",
       lambda t: q.explode_values(t.values, ["dcterms:title"], " ", match=r"/^Tit(le|el) \d/"),
       renumbered(f"""
@@ -488,6 +497,25 @@ query("convert_uri_to_coordinates",
       _convert_sql("dcterms:spatial", "geoname_id IS NOT NULL",
                    {"type": "'geography:coordinates'", "lang": "NULL",
                     "value": "CAST(lat AS STRING) || ',' || CAST(lon AS STRING)"}, PLACED))
+
+
+def _place_names(t: Tables) -> DataFrame:
+    """Places with a row for each of their names."""
+    names = [("name", "NULL", "toponym", "TRUE"), ("official", "'fr'", "'FR ' || toponym", "geoname_id % 2 = 0"),
+             ("alternate", "'fr'", "'Autre ' || toponym", "geoname_id % 3 = 0"), ("alternate", "'de'", "'DE ' || toponym", "TRUE")]
+    return t.spark.sql(" UNION ALL ".join(
+        f"SELECT geoname_id, '{kind}' AS kind, {lang} AS lang, {name} AS toponym, country, lat, lon FROM {{places}} WHERE {where}"
+        for kind, lang, name, where in names), places=t.places)
+
+
+query("convert_uri_to_place_language",
+      lambda t: q.convert(t.values, None, "valuesuggest:geonames:geonames", "place",
+                          ["dcterms:spatial"], places=_place_names(t), uri_language="fra"),
+      _convert_sql("dcterms:spatial", "geoname_id IS NOT NULL",
+                   {"type": "'place'", "uri": "uri", "value": """'{"geonameId":' || CAST(geoname_id AS STRING)
+                    || ',"toponym":"' || CASE WHEN geoname_id % 2 = 0 THEN 'FR ' WHEN geoname_id % 3 = 0 THEN 'Autre ' ELSE '' END || toponym
+                    || '","country":"' || country || '","latitude":' || CAST(lat AS STRING) || ',"longitude":'
+                    || CAST(lon AS STRING) || '}'"""}, PLACED))
 for option, hit, expression in (
         ("label_uri", "TRUE", "coalesce(value || ' (' || uri || ')', uri)"),
         ("uri_label", "TRUE", "coalesce(uri || ' (' || value || ')', uri)"),
@@ -518,6 +546,12 @@ query("fill_label_all",
                               update_language="update"),
       select({"value": case(f"{SPATIAL} AND label IS NOT NULL", "label", "value"),
               "lang": case(f"{SPATIAL} AND label IS NOT NULL", "'fr'", "lang")}, source=BY_FRENCH))
+BLANKED = "CASE WHEN property = 'dcterms:spatial' AND value_id % 3 = 0 THEN '' ELSE uri END"
+query("fill_blank_uri",
+      lambda t: q.fill_values(
+          t.values.withColumn("uri", F.expr(BLANKED)), t.authority, "label_missing", ["dcterms:spatial"], [fx.GEONAMES]),
+      select({"value": case(f"{SPATIAL} AND value_id % 3 <> 0 AND value IS NULL AND label IS NOT NULL", "label", "value"),
+              "uri": f"nullif({BLANKED}, '')"}, source=BY_NAME))
 query("fill_label_from_literal",
       lambda t: q.fill_values(
           q.convert(t.values, None, fx.GEONAMES, "literal", ["dcterms:spatial"], literal_value="uri"),
@@ -584,8 +618,13 @@ WHOLE = "lower(regexp_replace(source, '\\.[^./]+$', ''))"
 
 
 def natural(key: str) -> str:
-    """Digit runs to eight digits, so that they compare as numbers."""
-    return f"regexp_replace(regexp_replace(lower({key}), '(\\d+)', '00000000\\1', 'g'), '\\d*(\\d{{8}})', '\\1', 'g')"
+    """Runs of digits behind the length of their length and their length; those that begin with zero
+    as they are, with an end."""
+    return f"""array_to_string(list_transform(regexp_extract_all(translate(regexp_replace({key}, '^0+([0-9])', '\\1'),
+        'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[0-9]+|[^0-9]+'), lambda run: CASE
+        WHEN run LIKE '0%' THEN run || chr(1)
+        WHEN regexp_matches(run, '^[1-9]') THEN CAST(length(CAST(length(run) AS VARCHAR)) AS VARCHAR) || CAST(length(run) AS VARCHAR) || run
+        ELSE run END), '')"""
 
 
 STEM = f"lower(regexp_replace({BASE}, '\\.[^.]*$', ''))"
@@ -845,6 +884,29 @@ query("create_unpositioned_measured", lambda t: _placed(_created(q.measure_group
 query("copy_unpositioned", lambda t: _placed(q.copy_values(_large(t), ["ex:status"], "ex:list")), COPIED)
 query("copy_unpositioned_measured",
       lambda t: _placed(q.copy_values(q.measure_groups(_large(t)), ["ex:status"], "ex:list")), COPIED)
+
+
+def _unsaved(t: Tables) -> DataFrame:
+    """Values without identifiers and positions, in three languages, some twice."""
+    return t.spark.sql("""
+        SELECT CAST(NULL AS BIGINT) AS value_id, c_nationkey AS resource_id, 'ex:segment' AS property, CAST(NULL AS BIGINT) AS pos,
+               'literal' AS type, element_at(array('fr', 'de', 'en'), CAST(c_custkey % 3 + 1 AS INT)) AS lang,
+               c_mktsegment AS value, CAST(NULL AS STRING) AS uri, CAST(NULL AS BIGINT) AS value_resource_id, true AS is_public,
+               CAST(NULL AS BIGINT) AS value_annotation_id FROM {customer} WHERE c_nationkey IS NOT NULL""", customer=t.customer)
+
+
+UNSAVED = """SELECT c_nationkey AS resource_id, ['fr', 'de', 'en'][CAST(c_custkey % 3 + 1 AS INT)] AS lang, c_mktsegment AS value
+             FROM customer WHERE c_nationkey IS NOT NULL"""
+# Texts of one language are interchangeable here, so positions are compared with languages alone.
+for name, prepared in (("", lambda values: values), ("_measured", q.measure_groups)):
+    query(f"order_unpositioned{name}",
+          lambda t, prepared=prepared: q.order_values(prepared(_unsaved(t)), ["de"], "all").where("lang = 'de'").select(
+              "resource_id", "pos", "lang"),
+          f"""SELECT CAST(resource_id AS BIGINT) AS resource_id, row_number() OVER (PARTITION BY resource_id ORDER BY value) - 1 AS pos, lang
+              FROM ({UNSAVED}) AS u WHERE lang = 'de'""")
+    query(f"dedup_unsaved{name}",
+          lambda t, prepared=prepared: q.deduplicate_values(prepared(_unsaved(t))).select("resource_id", "lang", "value"),
+          f"SELECT DISTINCT CAST(resource_id AS BIGINT) AS resource_id, lang, value FROM ({UNSAVED}) AS u")
 query("property_terms",
       lambda t: property_terms(
           t.values.select("value_id", F.when(F.col("property") == "dcterms:title", 1).otherwise(2).alias("property_id")),
@@ -876,7 +938,8 @@ def _ordered(t: Tables) -> dict[str, DataFrame]:
     return q.run_pipeline({"values": t.values, "resources": t.resources, "media": t.media}, EDITS)
 
 
-def _ordered_sql() -> str:
+def _ordered_parts() -> tuple[str, str]:
+    """The values when the edits before cleaning are done, and when cleaning has only duplicates left."""
     title = f"replace({V}, 'Title', 'Heading')"
     replaced = select({"value": case("property = 'dcterms:title'", trimmed(title), "value"),
                        "pos": "pos * 10"},
@@ -890,7 +953,11 @@ def _ordered_sql() -> str:
                  FROM fx_values, unnest(range(1, 5)) AS t(i) WHERE property = 'dcterms:subject' AND i <> 3"""
     every = f"{replaced} UNION ALL {copied} UNION ALL {pieces}"
     kinds = {"type": case("type = 'resource'", "'resource:itemset'", "type"), **UNI}
-    clean = f"SELECT * FROM ({select(kinds, source=f'({every}) AS a')}) AS c WHERE coalesce(value, uri) IS NOT NULL OR value_resource_id IS NOT NULL"
+    return every, f"SELECT * FROM ({select(kinds, source=f'({every}) AS a')}) AS c WHERE coalesce(value, uri) IS NOT NULL OR value_resource_id IS NOT NULL"
+
+
+def _ordered_sql() -> str:
+    clean = _ordered_parts()[1]
     keys = ", ".join(f"lower({c})" for c in ("type", "lang", "value", "uri"))
     return renumbered(f"""SELECT * FROM (SELECT *, row_number() OVER (
         PARTITION BY resource_id, property, value_resource_id, {keys}, is_public, value_annotation_id
@@ -900,6 +967,81 @@ def _ordered_sql() -> str:
 query("ordered_edits", lambda t: _ordered(t)["values"], _ordered_sql())
 
 
+def _edit_counts(t: Tables) -> DataFrame:
+    """Counts of each edit, from one run of the chain that writes its tables."""
+    done = q.run_pipeline({"values": t.values, "resources": t.resources, "media": t.media}, EDITS, count_edits=True)
+    folder = f"{shared_folder(t.spark)}/edits-{_unique()}"
+    for name in ("values", "resources", "media"):
+        done[name].write.parquet(f"{folder}/{name}")
+    return done["edit_counts"].table()
+
+
+def _edit_counts_sql() -> str:
+    every, clean = _ordered_parts()
+    heading = trimmed(f"replace({V}, 'Title', 'Heading')")
+    trims = " OR ".join(f"{UNI[c]} IS DISTINCT FROM {c}" for c in ("value", "lang", "uri"))
+    left = f"(coalesce({UNI['value']}, {UNI['uri']}) IS NOT NULL OR value_resource_id IS NOT NULL)"
+
+    def n(source: str, where: str) -> str:
+        return f"(SELECT count(*) FROM {source} WHERE {where})"
+
+    rows = (
+        (1, "replace", "values", "0", n("fx_values", f"property = 'dcterms:title' AND {heading} <> '' AND value IS DISTINCT FROM {heading}"),
+         n("fx_values", f"property = 'dcterms:title' AND {heading} = ''")),
+        (2, "copy", "values", n("fx_values", "property = 'dcterms:coverage'"), "0", "0"),
+        (3, "explode", "values", "2 * " + n("fx_values", "property = 'dcterms:subject'"), n("fx_values", "property = 'dcterms:subject'"), "0"),
+        (4, "fill_data", "resources", "0", n("fx_resources", "owner_id IS DISTINCT FROM 3"), "0"),
+        (5, "remove", "values", "0", "0", n("fx_values", "property IN ('dcterms:description', 'dcterms:abstract')")),
+        (6, "media_type", "media", "0", n("fx_media", "media_type = 'image/png'"), "0"),
+        (7, "trim_values", "values", "0", n("every_row", f"{left} AND ({trims})"), n("every_row", f"NOT {left}")),
+        (8, "specify_datatypes", "values", "0", n("every_row", "type = 'resource'"), "0"),
+        (9, "deduplicate_values", "values", "0", "0", f"(SELECT count(*) FROM ({clean}) AS c) - (SELECT count(*) FROM final_row)"))
+    lines = " UNION ALL ".join(
+        f"SELECT CAST({step} AS INT) AS step, '{edit}' AS edit, '{name}' AS \"table\", CAST({a} AS BIGINT) AS added, "
+        f"CAST({c} AS BIGINT) AS changed, CAST({r} AS BIGINT) AS removed" for step, edit, name, a, c, r in rows)
+    return f"WITH every_row AS ({every}), final_row AS ({_ordered_sql()}) {lines}"
+
+
+query("edit_counts", _edit_counts, _edit_counts_sql())
+
+# What the records lacked at first stays closed: only old references are rewritten, and no title that was copied to a new property.
+GATED = {
+    "create_values": {"properties": "dcterms:references", "datatype": "literal", "value": "Ref new"},
+    "copy": {"from": ["dcterms:coverage"], "to": "ex:place"},
+    "convert": {"from": "literal", "to": "html", "properties": ["dcterms:references", "ex:place"]},
+}
+query("ordered_edits_gate",
+      lambda t: q.run_pipeline({"values": t.values, "resources": t.resources.where("resource_name = 'items'")}, GATED)["values"],
+      f"""WITH had AS (SELECT DISTINCT resource_id FROM fx_values WHERE property = 'dcterms:references'),
+               added AS (SELECT CAST(NULL AS BIGINT) AS value_id, r.id AS resource_id, 'dcterms:references' AS property,
+                                CAST(CASE WHEN h.resource_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS pos,
+                                CASE WHEN h.resource_id IS NULL THEN 'literal' ELSE 'html' END AS type, CAST(NULL AS STRING) AS lang,
+                                'Ref new' AS value, CAST(NULL AS STRING) AS uri, CAST(NULL AS BIGINT) AS value_resource_id, TRUE AS is_public,
+                                CAST(NULL AS BIGINT) AS value_annotation_id
+                         FROM fx_resources r LEFT JOIN had h ON h.resource_id = r.id WHERE r.resource_name = 'items')
+          {select({})} UNION ALL SELECT * FROM added
+          UNION ALL {select({"value_id": "CAST(NULL AS BIGINT)", "property": "'ex:place'"}, where="property = 'dcterms:coverage'")}""")
+
+
+def _audited(t: Tables) -> DataFrame:
+    """The edits of the chain above with their parameters, and how many rows they left."""
+    done = q.run_pipeline({"values": t.values, "resources": t.resources.where("resource_name = 'items'")}, GATED)
+    left = done["values"].groupBy("property").agg(F.count(F.lit(1)).alias("rows")).where(
+        F.col("property").isin("dcterms:references", "ex:place"))
+    touched = done["audit"].withColumn("property", F.explode(F.array(F.lit("dcterms:references"), F.lit("ex:place")))).where(
+        F.contains("params", "property"))
+    return touched.join(left, "property").select("step", "edit", "property", "rows")
+
+
+query("edit_audit", _audited,
+      """WITH n AS (SELECT 'dcterms:references' AS property, count(*) FILTER (WHERE property = 'dcterms:references') + (
+                        SELECT count(*) FROM fx_resources WHERE resource_name = 'items') AS "rows" FROM fx_values
+                    UNION ALL SELECT 'ex:place', count(*) FILTER (WHERE property = 'dcterms:coverage') FROM fx_values),
+              a AS (SELECT * FROM (VALUES (1, 'create_values', 'dcterms:references'), (2, 'copy', 'ex:place'),
+                    (3, 'convert', 'dcterms:references'), (3, 'convert', 'ex:place')) AS v(step, edit, property))
+         SELECT CAST(step AS INT) AS step, edit, property, "rows" FROM a JOIN n USING (property)""")
+
+
 def _chosen_edits(t: Tables, **selection) -> DataFrame:
     """The edits above for some records, on a table without sizes of groups."""
     return q.run_pipeline({"values": t.values, "resources": t.resources, "media": t.media}, EDITS, **selection)["values"]
@@ -1077,6 +1219,26 @@ query("parse_authority_headings",
                 'heading' AS kind, CAST(NULL AS STRING) AS lang,
                 CASE i WHEN 0 THEN c_name ELSE 'Alt ' || c_name END AS label, CAST(i AS INT) AS priority
          FROM customer, unnest(range(0, 2)) AS t(i) WHERE i = 1 OR c_custkey % 3 <> 0""")
+BROKEN = """CASE c_custkey % 5 WHEN 0 THEN '<record><datafield tag="900">' WHEN 1 THEN NULL WHEN 2 THEN '<record/>' ELSE xml END"""
+
+
+def _broken_xml(t: Tables) -> DataFrame:
+    """Of five records one is cut off, one missing and one empty."""
+    key = F.regexp_extract("uri", r"(\d+)$", 1).cast("long").alias("c_custkey")
+    return _heading_xml(t).select("uri", "xml", key).select("uri", F.expr(BROKEN).alias("xml"))
+
+
+query("parse_authority_broken",
+      lambda t: q.parse_authority(_broken_xml(t), "valuesuggest:idref:person"),
+      """SELECT 'valuesuggest:idref:person' AS datatype, 'https://www.idref.fr/' || CAST(c_custkey AS STRING) AS uri,
+                'heading' AS kind, CAST(NULL AS STRING) AS lang,
+                CASE i WHEN 0 THEN c_name ELSE 'Alt ' || c_name END AS label, CAST(i AS INT) AS priority
+         FROM customer, unnest(range(0, 2)) AS t(i) WHERE c_custkey % 5 > 2 AND (i = 1 OR c_custkey % 3 <> 0)""")
+query("parse_authority_rejects",
+      lambda t: q.authority_rejects(_broken_xml(t), "valuesuggest:idref:person").select("uri", "reason"),
+      """SELECT 'https://www.idref.fr/' || CAST(c_custkey AS STRING) AS uri,
+                CASE c_custkey % 5 WHEN 0 THEN 'no XML' WHEN 1 THEN 'no record' ELSE 'no label' END AS reason
+         FROM customer WHERE c_custkey % 5 < 3""")
 query("fill_headings",
       lambda t: q.fill_values(
           t.customer.select(
@@ -1109,16 +1271,23 @@ def _ascii_name_sql(column: str) -> str:
     return f"right(regexp_replace({name}, '_+', '_', 'g'), 180)"
 
 
-NUMBER = "regexp_replace(run, '^0+(\\d)', '\\1')"
 query("names_to_ascii",
       lambda t: t.documents.select("doc_id", text.ascii_name(text.sanitize_name(F.col("text"))).alias("name")),
       f"SELECT doc_id, {_ascii_name_sql('text')} AS name FROM documents")
 query("natural_order",
       lambda t: t.pages.select("page_id", text.natural_key(F.col("url")).alias("sort_key")),
-      f"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(lower(url), '\\d+|[^\\d]+'),
-              lambda run: CASE WHEN regexp_matches(run, '^\\d')
-                          THEN lpad(CAST(length({NUMBER}) AS VARCHAR), 6, '0') || {NUMBER} ELSE run END), '') AS sort_key
-          FROM pages""")
+      f"SELECT page_id, {natural('url')} AS sort_key FROM pages")
+query("tags_stripped", lambda t: t.pages.select("page_id", text.strip_tags(F.col("html")).alias("plain")),
+      "SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS plain FROM pages")
+query("media_types_valid",
+      lambda t: t.media.select("id", F.explode(F.array(
+          "media_type", F.concat("media_type", F.lit("; q=1")), F.concat("media_type", F.lit(";q=1;v=b.c")),
+          F.upper("media_type"), "extension", F.concat(F.lit("x-own/"), "extension"), "source")).alias("name")).select(
+              "id", "name", valid_media_type(F.col("name")).alias("valid")),
+      """SELECT id, name, regexp_matches(name, '^(application|audio|font|example|image|message|model|multipart|text|video|x-[\\w-]+)/'
+             || '[\\w.+-]+(;[\\w.+-]+=[\\w.+-]+){0,3}$') AS valid
+         FROM (SELECT id, unnest([media_type, media_type || '; q=1', media_type || ';q=1;v=b.c', upper(media_type), extension,
+                                  'x-own/' || extension, source]) AS name FROM fx_media) AS m""")
 
 
 # ---------------------------------------------------------------- flagship

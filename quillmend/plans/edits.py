@@ -7,10 +7,11 @@ execution before anything is planned; the edits then compose into one DataFrame
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from quillmend import schema
 from quillmend.functions import patterns
@@ -138,7 +139,8 @@ def _convert(p):
                 identifier_properties=s.as_list(p.get("resource_properties")),
                 extract_label=bool(p.get("uri_extract_label")),
                 uri_label=p.get("uri_label") or None, uri_base=base or None,
-                uri_is_api=site == "api", contains=_text(p, "contains"))
+                uri_is_api=site == "api", uri_language=_text(p, "uri_language"),
+                contains=_text(p, "contains"))
 
 
 def _order_values(p):
@@ -294,17 +296,79 @@ def audit(spark, edits: list[Edit]) -> DataFrame:
     return spark.createDataFrame(rows, "step INT, edit STRING, params STRING")
 
 
+# ---------------------------------------------------------------- counts
+
+class EditCounts:
+    """What each edit added, changed and removed, observed while the tables of the chain are written:
+    nothing is computed again for it.
+
+    Rows carry a print of what they said before an edit. A task that is run again after an
+    executor was lost may be counted again; `report.changes` compares two stored tables exactly.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._steps, self._last = spark, [], {}
+
+    def start(self, t: dict) -> None:
+        for name in ("values", "resources", "media"):
+            if name in t:
+                observed, seen = self._observed(t[name])
+                t[name] = observed.withColumn(s.WAS, s.printed(observed, name))
+                self._last[name] = seen
+
+    def _observed(self, df: DataFrame, *more) -> tuple[DataFrame, Observation]:
+        seen = Observation(f"edit-{uuid.uuid4().hex}")
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"), *more), seen
+
+    def step(self, number: int, edit_name: str, t: dict) -> None:
+        for name in _edited_tables(edit_name):
+            if name == "pages":
+                t[name], seen = self._observed(t[name])
+                self._steps.append((number, edit_name, name, None, seen))
+                continue
+            now = s.printed(t[name], name)
+            observed, seen = self._observed(
+                t[name], F.count_if(F.col(s.WAS).isNull()).alias("added"), F.count_if(F.col(s.WAS) != now).alias("changed"))
+            t[name] = observed.withColumn(s.WAS, now)
+            self._steps.append((number, edit_name, name, self._last[name], seen))
+            self._last[name] = seen
+
+    def table(self) -> DataFrame:
+        """(step, edit, table, added, changed, removed), once every returned table was written."""
+        rows = []
+        for number, edit_name, name, before, after in self._steps:
+            found = after.get
+            if before is None:
+                rows.append((number, edit_name, name, found["rows"], 0, 0))
+            else:
+                kept = found["rows"] - found["added"]
+                rows.append((number, edit_name, name, found["added"], found["changed"], before.get["rows"] - kept))
+        return self._spark.createDataFrame(
+            rows, "step INT, edit STRING, table STRING, added BIGINT, changed BIGINT, removed BIGINT")
+
+
+def _edited_tables(name: str) -> tuple[str, ...]:
+    if name == "explode_item":
+        return ("resources", "media", "values")
+    if name == "page_manifest":
+        return ("pages",)
+    if name in ("fill_data", "thumbnails"):
+        return ("resources",)
+    return ("media",) if name in (*MEDIA_EDITS, *ITEM_EDITS) else ("values",)
+
+
 # ---------------------------------------------------------------- execution
 
 def run_pipeline(tables: Mapping[str, DataFrame], spec: Mapping, *, sel=None,
-                 kind: str | None = None,
+                 kind: str | None = None, count_edits: bool = False,
                  types: schema.DataTypes = schema.DEFAULT_TYPES) -> dict[str, DataFrame]:
     """Apply a specification to the tables ``values``, ``resources`` and ``media``.
 
     Optional tables: ``authority``, ``places``, ``vocab``, ``annotation_values``,
     ``page_counts``. `sel` picks records, `kind` limits them to one kind: items take every edit,
     media those of values and media files, other kinds those of values. Adds the tables
-    ``audit``, ``counts`` and, when asked for, ``pages``.
+    ``audit``, ``counts`` and, when asked for, ``pages``. With `count_edits` it adds ``edit_counts``,
+    an :class:`EditCounts` that is filled when the tables are written.
 
     A selection by kind or by a table of ids is joined once: rows carry their mark through all edits.
     Value edits touch only properties a record had before the first edit. Positions are closed
@@ -327,9 +391,12 @@ def run_pipeline(tables: Mapping[str, DataFrame], spec: Mapping, *, sel=None,
     gated = any(e.name in ("create_values", "copy", "displace") for e in edits[:-1])
     if gated:
         t["values"] = t["values"].withColumn(s.GATE, F.lit(True))
+    counts = EditCounts(before.sparkSession) if count_edits else None
+    if counts is not None:
+        counts.start(t)
     gaps, read_twice = False, False
     with s.chain(before):
-        for step in edits:
+        for number, step in enumerate(edits, 1):
             if gated and step.name in BATCH_EDITS:
                 t["values"], gated = t["values"].drop(s.GATE), False
             gaps |= step.name in ("replace", "remove", "trim_values", "deduplicate_values")
@@ -337,16 +404,20 @@ def run_pipeline(tables: Mapping[str, DataFrame], spec: Mapping, *, sel=None,
                 t["values"] = _single_read(t["values"], read_twice)
                 read_twice = True
             _apply(step, t, sel, by, types)
-        t["values"] = t["values"].drop(s.GATE, s.MARK)
+            if counts is not None:
+                counts.step(number, step.name, t)
+        t["values"] = t["values"].drop(s.GATE, s.MARK, s.WAS)
         if gaps:
             if not s.is_small(t["values"]):
                 t["values"] = _single_read(t["values"], read_twice)
             t["values"] = s.close_up(t["values"])
     for name in ("resources", "media"):
         if name in t:
-            t[name] = t[name].drop(s.MARK)
+            t[name] = t[name].drop(s.MARK, s.WAS)
     t["audit"] = audit(before.sparkSession, edits)
     t["counts"] = report.changes(before, t["values"])
+    if counts is not None:
+        t["edit_counts"] = counts
     return t
 
 
