@@ -24,6 +24,7 @@ Without a learned text, all decisions are even and all counts 0. Other columns a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from quillmend.llm.common import mixed, stored
 
 DEPTH = 5
-CHUNK_BYTES = 48_000_000
-SLICE_BYTES = 2_000_000
+CHUNK_BYTES = 24_000_000
+SLICE_BYTES = 1_000_000
 MOST_HELD = 3_000_000
 END = np.int64(10)
 LOG10_HALF = np.log10(0.5)
@@ -52,24 +53,41 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stream(text: str | None) -> bytes:
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    return b"\n" * DEPTH + b" ".join([*words, b""]) + b"\n"
-
-
-def slices(streams: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about SLICE_BYTES together."""
-    first, size = 0, 0
-    for k, s in enumerate(streams):
-        size += len(s)
-        if size >= SLICE_BYTES:
-            yield first, k + 1
-            first, size = k + 1, 0
-    if first < len(streams):
-        yield first, len(streams)
-
-
-def parts(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The runs of the texts and the text of each, and the words (and ends) and the text of each."""
+    data = (text or "").encode("utf-8", "replace").lower()
+    if len(data) > SLICE_BYTES:
+        data = re.sub(rb"[\x20\x09-\x0D]+", b" ", data).strip(b" ")
+        return b"".join((b"\n" * DEPTH, data, b" \n" if data else b"\n"))
+    return b"\n" * DEPTH + b" ".join([*data.split(), b""]) + b"\n"
+
+
+def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Pieces of texts of about SLICE_BYTES together, the text each is of, and whether it ends there.
+
+    A long text is cut behind a blank; what follows begins with the DEPTH bytes before it, as a text
+    begins with as many line ends. Only the texts of one slice are there as bytes at a time."""
+    streams: list[bytes] = []
+    owners: list[int] = []
+    ended: list[bool] = []
+    size = 0
+    for k, text in enumerate(texts):
+        whole, at = stream(text.as_py()), DEPTH
+        while at < len(whole):
+            stop = whole.find(b" ", at + SLICE_BYTES) + 1 or len(whole)
+            streams.append(whole[at - DEPTH:stop])
+            owners.append(k)
+            ended.append(stop == len(whole))
+            size += stop - at + DEPTH
+            at = stop
+            if size >= SLICE_BYTES:
+                yield streams, np.array(owners), np.array(ended)
+                streams, owners, ended, size = [], [], [], 0
+    if streams:
+        yield streams, np.array(owners), np.array(ended)
+
+
+def parts(streams: list[bytes], ended: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of the pieces and the piece of each, and the words (and the ends of texts) and the piece
+    of each. Without ``ended`` every piece is a whole text."""
     raw = np.frombuffer(b"".join(streams), np.uint8)
     lengths = np.array([len(s) for s in streams])
     begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))
@@ -83,7 +101,7 @@ def parts(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         told[begins + k] = False
     run, run_text = run[told[DEPTH:]], text[told]
     # Words: from behind the previous blank, or the beginning of the text, to the next blank.
-    ends = np.flatnonzero(raw == 32)
+    ends = np.flatnonzero((raw == 32) & told)
     word_text = text[ends]
     starts = np.empty_like(ends)
     if len(ends):
@@ -94,8 +112,9 @@ def parts(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(raw.astype(np.uint64) * up + up, dtype=np.uint64)))
         h = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)).view(np.int64)
-    words = np.concatenate((np.where(h == END, END + 1, h), np.full(len(streams), END)))
-    return run, run_text, words, np.concatenate((word_text, np.arange(len(streams))))
+    closed = np.arange(len(streams)) if ended is None else np.flatnonzero(ended)
+    words = np.concatenate((np.where(h == END, END + 1, h), np.full(len(closed), END)))
+    return run, run_text, words, np.concatenate((word_text, closed))
 
 
 def counted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,12 +142,11 @@ def count_parts(docs: DataFrame, text: str, learn: Column) -> DataFrame:
                 found.clear()
 
         for batch in batches:
-            streams = [stream(t) for t in batch.column("_text").to_pylist()]
             learned = np.array(batch.column("_learn").to_pylist(), np.int64)
-            for a, b in slices(streams):
-                runs, run_text, words, word_text = parts(streams[a:b])
+            for streams, owners, ended in slices(batch.column("_text")):
+                runs, run_text, words, word_text = parts(streams, ended)
                 for kind, keys, owner in ((0, words, word_text), (1, runs, run_text)):
-                    held[kind].append(counted(keys, learned[a:b][owner]))
+                    held[kind].append(counted(keys, learned[owners][owner]))
                     size += len(held[kind][-1][0])
                 if size > MOST_HELD:
                     merge = {k: [counted(*map(np.concatenate, zip(*v)))] for k, v in held.items() if v}
@@ -311,12 +329,13 @@ def score_documents(docs: DataFrame, learn: Column, *, text: str = "text", id_co
         "chunk", F.pmod(F.xxhash64("_id", "_text"), F.lit(chunks)).cast("int"))
 
     def wanted(table: pa.Table) -> pa.Table:
-        streams = [stream(t) for t in table.column("_text").to_pylist()]
         found: dict[int, list] = {0: [], 1: []}
-        for a, b in slices(streams):
-            runs, _, words, _ = parts(streams[a:b])
-            found[0].append(np.unique(words))
-            found[1].append(np.unique(runs))
+        for streams, _, ended in slices(table.column("_text")):
+            runs, _, words, _ = parts(streams, ended)
+            for kind, some in ((0, words), (1, runs)):
+                found[kind].append(np.unique(some))
+                if len(found[kind]) > 4:
+                    found[kind] = [np.unique(np.concatenate(found[kind]))]
         keys = {kind: np.unique(np.concatenate(v)) for kind, v in found.items()}
         n = sum(map(len, keys.values()))
         return pa.table({
@@ -330,20 +349,21 @@ def score_documents(docs: DataFrame, learn: Column, *, text: str = "text", id_co
     def scored(table: pa.Table, values: pa.Table) -> pa.Table:
         kind, key, value = (values.column(c).to_numpy() for c in ("kind", "key", "value"))
         tables = {k: KeyTable(key[kind == k], value[kind == k]) for k in (0, 1)}
-        streams = [stream(t) for t in table.column("_text").to_pylist()]
-        out = np.zeros((5, len(streams)))
-        for a, b in slices(streams):
-            runs, run_text, words, word_text = parts(streams[a:b])
+        del kind, key, value
+        rows = table.num_rows
+        out = np.zeros((5, rows))
+        for streams, owners, ended in slices(table.column("_text")):
+            runs, run_text, words, word_text = parts(streams, ended)
             c = tables[0].find(words)
-            n = b - a
-            out[0, a:b] = np.bincount(word_text, minlength=n)
-            out[1, a:b] = np.bincount(word_text, c > 0, n)
-            out[2, a:b] = np.bincount(word_text, np.log10((c + 0.5) / (tokens + 0.5 * (known_words + 1))), n)
-            out[3, a:b] = np.bincount(run_text, tables[1].find(runs), n)
-            out[4, a:b] = np.bincount(run_text, minlength=n)
+            n = len(streams)
+            for k, sums in enumerate((
+                    np.bincount(word_text, minlength=n), np.bincount(word_text, c > 0, n),
+                    np.bincount(word_text, np.log10((c + 0.5) / (tokens + 0.5 * (known_words + 1))), n),
+                    np.bincount(run_text, tables[1].find(runs), n), np.bincount(run_text, minlength=n))):
+                np.add.at(out[k], owners, sums)
         return pa.table({
             id_column: table.column("_id"), "n_tokens": pa.array(out[0].astype(np.int64)), "n_known": pa.array(out[1].astype(np.int64)),
-            "train_tokens": pa.array(np.full(len(streams), tokens, np.int64)), "base_score": pa.array(out[2]), "score": pa.array(out[3]),
+            "train_tokens": pa.array(np.full(rows, tokens, np.int64)), "base_score": pa.array(out[2]), "score": pa.array(out[3]),
             "n_bytes": pa.array(out[4].astype(np.int64)), "bits_per_byte": pa.array(-out[3] / np.log10(2) / out[4])})
 
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
