@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,10 +116,10 @@ def resolve(lists: list[tuple[np.ndarray, np.ndarray]], n_docs: int, k: int, flo
 def shard_lists(shard: pa.Table, weights: np.ndarray, n_docs: int, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lists of all terms of a shard, one after the other: documents, impacts, and where each list begins."""
     sizes = shard.column("n").to_numpy()
-    each = pa.compute.list_value_length(shard.column("terms")).to_numpy()
+    each = pc.list_value_length(shard.column("terms")).to_numpy()
     doc = np.repeat(np.arange(len(sizes)), each)
-    term = pa.compute.list_flatten(shard.column("terms")).to_numpy()
-    tf = pa.compute.list_flatten(shard.column("counts")).to_numpy()
+    term = pc.list_flatten(shard.column("terms")).to_numpy()
+    tf = pc.list_flatten(shard.column("counts")).to_numpy()
     m = 100 - 75 + (75 * sizes * n_docs) // n_terms
     impact = weights[term] * ((1_000_000_000 * tf) // (1000 * tf + 8 * m[doc]))
     order = np.lexsort((-impact, term))

@@ -21,12 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MATRIX_SYMBOLS = 32
-CACHE_SEGMENTS = 600_000
-SLICE_ROWS = 1000
+# About what the cache may hold, and what texts are worked on together (or one longer text).
+CACHE_BYTES = 64 << 20
+SLICE_BYTES = 2 << 20
 BLANK = "▁"
 
 
@@ -106,6 +108,7 @@ class PieceEncoder:
         self.cuts_lines = not crosses
         self.after_line = sp.encode("\n") if not crosses else []
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def segments(self, text: str) -> list[str]:
         return self.cut.findall(BLANK + text.replace(" ", BLANK)) if text else []
@@ -113,11 +116,13 @@ class PieceEncoder:
     def learn(self, segments: set[str]) -> None:
         """Encode the segments that are not in the cache, and check them with the library."""
         new = [s for s in segments if s not in self.cache]
-        if len(self.cache) + len(new) > CACHE_SEGMENTS:
+        if self.held > CACHE_BYTES:
             self.cache.clear()
-            new = list(segments)
+            self.held, new = 0, list(segments)
         if not new:
             return
+        # A text, some ids as bytes and a place in the table.
+        self.held += sum(map(len, new)) * 3 + 220 * len(new)
         coded = self.encode_segments(new)
         self.check(new, coded)
         self.cache.update(zip(new, (np.array(x, "<u4").tobytes() for x in coded)))
@@ -242,6 +247,18 @@ class PieceEncoder:
         return [b"".join((begin, *map(get, parts), end)) for parts in cut]
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about SLICE_BYTES together."""
+    a, size = 0, 0
+    for k, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        size += n + 64
+        if size >= SLICE_BYTES:
+            yield a, k + 1
+            a, size = k + 1, 0
+    if a < len(texts):
+        yield a, len(texts)
+
+
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
@@ -270,19 +287,25 @@ def encode_documents(docs: DataFrame, path: str, *, text: str = "text", ids: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for whole in batches:
-            for k in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(k, SLICE_ROWS)
-                texts = [t or "" for t in batch.column(read).to_pylist()]
-                coded = enc.encode(texts)
-                lists = [np.frombuffer(b, "<u4").tolist() for b in coded]
-                back = enc.library.decode(lists) if lists else []
-                values = {
-                    "n_tokens": [len(x) for x in lists],
-                    "ids_sha256": [hashlib.sha256(b).hexdigest() for b in coded],
-                    "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in back],
-                    ids: lists, decoded: back}
+            for a, b in slices(whole.column(read)):
+                batch = whole.slice(a, b - a)
+                coded = enc.encode([t or "" for t in batch.column(read).to_pylist()])
+                sizes = np.array([len(c) // 4 for c in coded], np.int64)
+                values = {"n_tokens": pa.array(sizes), "ids_sha256": [hashlib.sha256(c).hexdigest() for c in coded], "decoded_sha256": []}
+                back: list[str] = []
+                for c in coded:
+                    # One text's ids at a time become Python numbers.
+                    text_back = enc.library.decode(np.frombuffer(c, "<u4").tolist())
+                    values["decoded_sha256"].append(hashlib.sha256(text_back.encode()).hexdigest())
+                    if keep_decoded:
+                        back.append(text_back)
+                if keep_ids:
+                    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+                    values[ids] = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(coded), "<i4")))
+                if keep_decoded:
+                    values[decoded] = pa.array(back, pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in kept), *(pa.array(values[n], t) for n, _, t in added)],
+                    [*(batch.column(c) for c in kept), *(v if isinstance(v := values[n], pa.Array) else pa.array(v, t) for n, _, t in added)],
                     names=[*kept, *(n for n, _, _ in added)])
 
     schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(n, t) for n, t, _ in added)])
