@@ -70,7 +70,7 @@ def place_rejects(xml_df: DataFrame) -> DataFrame:
 
 
 def _rejects(xml_df: DataFrame, record: Column, found: Column, without: str) -> DataFrame:
-    reason = (F.when(text.is_blank(F.col("xml")), F.lit("no record")).when(record[BROKEN].isNotNull(), F.lit("no XML"))
+    reason = (F.when(~text.has_visible_text(F.col("xml")), F.lit("no record")).when(record[BROKEN].isNotNull(), F.lit("no XML"))
               .when(~F.coalesce(found, F.lit(False)), F.lit(without)))
     return xml_df.select("uri", "xml", reason.alias("reason")).where("reason IS NOT NULL")
 

@@ -139,3 +139,71 @@ def test_chain_shuffles_rows_once(spark, tmp_path):
         "cleaning": {"trim_values": True, "deduplicate_values": True}})
     plan = after["values"]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+CHOSEN = {
+    "replace": {"mode": "raw", "from": "v", "to": "w", "properties": ["p"]},
+    "copy": {"from": ["p"], "to": "o", "max_values": 1},
+    "explode": {"properties": ["p"], "separator": ";"},
+    "order_values": {"languages": ["en"], "properties": ["p"]},
+    "remove": {"properties": ["o"], "max_values": 1},
+    "cleaning": {"trim_values": True, "deduplicate_values": True},
+}
+
+
+def test_a_selection_is_joined_once(spark, tmp_path):
+    table(spark, [dict(value="a;b")]).write.parquet(str(tmp_path / "v"))
+    t = tables(spark, []) | {"values": spark.read.parquet(str(tmp_path / "v"))}
+    spec = {name: CHOSEN[name] for name in ("replace", "explode", "order_values", "cleaning")}
+    done = q.run_pipeline(t, spec, kind="items")["values"]
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1, plan
+    windows = [line for line in plan.splitlines() if "Window " in line]
+    assert windows and all("property" in line for line in windows)
+
+
+def test_selections_agree_however_they_are_given(spark, monkeypatch):
+    data = [dict(resource_id=i % 4, value=f"v{i % 5} ;x{i}", lang=("fr", "en")[i % 2]) for i in range(60)]
+    data += [dict(resource_id=1, property="o", value=f"v{i % 3}") for i in range(20)]
+    resources = spark.createDataFrame([(i, "items" if i < 3 else "media", 1, None, None, "r") for i in range(4)],
+                                      "id BIGINT, resource_name STRING, owner_id INT, thumbnail_id INT, primary_media_id BIGINT, title STRING")
+    t = tables(spark, data) | {"resources": resources}
+    ids = spark.createDataFrame([(1,), (2,), (1,), (None,), (99,)], "any BIGINT")
+
+    def run(**selection):
+        return rows(q.run_pipeline(t, CHOSEN, **selection)["values"])
+
+    listed = run(sel=[1, 2])
+    assert run(sel=ids) == listed and run(sel=ids, kind="items") == listed != run()
+    assert run(sel=[1, 2, 3], kind="items") == listed
+    assert run(sel=ids.limit(0)) == run(sel=[])
+    monkeypatch.setattr(_shared, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(_shared, "HOT_SPREAD", 5)
+    assert _shared.hot_records(t["values"]) == [0, 1, 2, 3]
+    assert run(sel=ids) == listed and run(sel=ids, kind="items") == listed
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_counts_of_edits(spark, monkeypatch, tmp_path, hot):
+    if hot:
+        monkeypatch.setattr(_shared, "BLOCK_ROWS", 2)
+    t = tables(spark, [dict(value=" a;b;; "), dict(value="a"), dict(value="A", is_public=True), dict(property="q", value="http://x"),
+                       dict(property="q", value="Name"), dict(property="e", value=" "), dict(resource_id=2, value="m")])
+    done = q.run_pipeline(t, {
+        "create_values": {"properties": "p", "datatype": "literal", "value": "b"},
+        "copy": {"from": ["e"], "to": "q2"}, "displace": {"from": ["e"], "to": "e2"},
+        "explode": {"properties": ["p"], "separator": ";"}, "merge": {"properties": ["q"]}, "fill_data": {"owner": 9},
+        "explode_item": {"mode": "append"}, "media_visibility": {"visibility": 0},
+        "cleaning": {"trim_values": True, "deduplicate_values": True}}, count_edits=True)
+    for name in ("values", "resources", "media"):
+        done[name].write.parquet(str(tmp_path / name))
+        assert "_was" not in done[name].columns
+    found = {(r.edit, r.table): (r.added, r.changed, r.removed) for r in done["edit_counts"].table().collect()}
+    assert found == {
+        ("create_values", "values"): (2, 0, 0), ("copy", "values"): (1, 0, 0), ("displace", "values"): (0, 1, 0),
+        ("explode", "values"): (1, 1, 0), ("merge", "values"): (0, 1, 1), ("fill_data", "resources"): (0, 2, 0),
+        # The item has one media: nothing is made, the media's values (one, and the new one) pass on.
+        ("explode_item", "resources"): (0, 1, 0), ("explode_item", "media"): found["explode_item", "media"],
+        ("explode_item", "values"): (2, 0, 0), ("media_visibility", "media"): (0, 1, 0),
+        ("trim_values", "values"): (0, 0, 2), ("deduplicate_values", "values"): (0, 0, 4)}
+    assert sum(r.changed for r in done["edit_counts"].table().where("edit = 'explode_item'").collect()) >= 1

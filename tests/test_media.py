@@ -116,7 +116,56 @@ def test_order_without_second_criterion(spark):
 
 def test_order_of_large_items(spark):
     media = media_table(spark, [dict(title=f"t{(i * 37) % 101}", item_id=1 + (i % 5 == 0)) for i in range(90)])
-    assert rows(q.order_media(media, "title", item_rows=20)) == rows(q.order_media(media, "title"))
+    for order in ("title", "title/mediatype"):
+        assert rows(q.order_media(media, order, item_rows=20)) == rows(q.order_media(media, order))
+        assert rows(q.order_media(media, order, item_rows=1)) == rows(q.order_media(media, order))
+    tied = media_table(spark, [dict(title="t", position=None if i % 2 else 3) for i in range(50)])
+    assert rows(q.order_media(tied, "title", item_rows=4)) == rows(q.order_media(tied, "title"))
+
+
+def test_order_runs_no_job_while_planning(spark):
+    media = media_table(spark, FILES)
+    spark.sparkContext.setJobGroup("planning", "planning")
+    try:
+        q.order_media(media, "title/mediatype", item_rows=2)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def test_explode_items_reads_values_three_times_at_most(spark, tmp_path):
+    table(spark, [dict(value="a")]).write.parquet(str(tmp_path / "vals"))
+    values = spark.read.parquet(str(tmp_path / "vals"))
+    resources = spark.createDataFrame([(1, "items", None)], "id BIGINT, resource_name STRING, primary_media_id BIGINT")
+    media = media_table(spark, [dict(id=11), dict(id=12)])
+    for mode, given in (("append", values), ("append", q.measure_groups(values)), ("update", values), ("replace", values), ("none", values)):
+        plan = q.explode_items(resources, media, given, mode)[2]._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parquet") <= (2 if mode == "update" or _shared.is_small(given) else 3 if mode == "append" else 1), plan
+
+
+def test_explode_items_in_blocks_and_chains(spark, monkeypatch):
+    """Hot items give the same rows; new items are not selected for what follows."""
+    resources = spark.createDataFrame(
+        [(1, "items", None, 5), (2, "items", None, 5), (11, "media", None, 5), (12, "media", None, 5), (13, "media", None, 5)],
+        "id BIGINT, resource_name STRING, primary_media_id BIGINT, owner_id INT")
+    media = media_table(spark, [dict(id=12, position=None), dict(id=11, position=7), dict(id=13, item_id=2)])
+    values = table(spark, [dict(resource_id=r, property=p, value=f" {p}{k} ", pos=k * 3 if r != 12 else None)
+                           for r in (1, 2, 11, 12) for p in ("t", "d") for k in range(3) if (r, p) != (11, "d")])
+
+    def run():
+        return [rows(q.explode_items(resources, media, values, mode)[2]) for mode in m.EXPLODE_MODES]
+
+    whole = run()
+    monkeypatch.setattr(_shared, "BLOCK_ROWS", 2)
+    assert run() == whole
+    t = {"values": values, "resources": resources, "media": media}
+    done = q.run_pipeline(t, {"explode_item": {"mode": "append"}, "media_visibility": {"visibility": 0},
+                              "cleaning": {"trim_values": True}}, sel=spark.createDataFrame([(1,)], "id BIGINT"))
+    trimmed = {r.resource_id: r.value == r.value.strip() for r in done["values"].collect()}
+    # 25 is the item made for media 12.
+    assert trimmed == {1: True, 2: False, 11: False, 12: False, 25: False}
+    assert {r.id: r.is_public for r in done["media"].collect()} == {11: False, 12: True, 13: True}
+    assert set(done["values"].columns) == set(schema.VALUES.names)
 
 
 def test_explode_items(spark):
@@ -174,4 +223,23 @@ def test_names(spark):
     assert got == ["Elephant_AEsop_co.txt", "a_b_c", "strasze", "x" * 180, "t[1]"]
     keys = spark.createDataFrame([(n,) for n in ("a10", "A2", "a1b", "a01c", "a", "a100000000000000000000000")],
                                  "n STRING").orderBy(text.natural_key(F.col("n")))
-    assert [r.n for r in keys.collect()] == ["a", "a1b", "a01c", "A2", "a10", "a100000000000000000000000"]
+    assert [r.n for r in keys.collect()] == ["a", "a01c", "a1b", "A2", "a10", "a100000000000000000000000"]
+
+
+@pytest.mark.parametrize("ordered", [
+    ["IMG0.png", "img1.png", "img2.png", "IMG3.png", "img10.png", "img12.png"],
+    ["0", "5", "08", "9", "010", "11"],                       # zeros in front of the text do not count
+    ["x0", "x00", "x01", "x010", "x02", "x1", "x2", "x10"],   # elsewhere they make fractions
+    ["v" + "9" * 30, "v1" + "0" * 30, "v1" + "0" * 29 + "1"],
+    ["a", "a ", "a1", "a1 ", "a1 b", "a1b", "a b"],
+    ["", "1", "2 x", "2a", "12", "A", "_", "\u00c9", "\u00e9"],
+    ["1.5", "1.10", "1a", "1z9", "1z10"],
+])
+def test_natural_order(spark, ordered):
+    """Cases worked out by hand from the rules of natural, case-insensitive comparison."""
+    shuffled = spark.createDataFrame([(n,) for n in sorted(ordered, key=lambda n: (len(n) % 3, n))], "n STRING")
+    found = [r.n for r in shuffled.orderBy(text.natural_key(F.col("n")), "n").collect()]
+    assert found == ordered
+    assert spark.range(1).select(text.natural_key(F.lit(None).cast("string"))).first()[0] is None
+    same = spark.createDataFrame([("a b",), ("A  B",), (" ab",)], "n STRING").select(text.natural_key(F.col("n"))).distinct()
+    assert same.count() == 1

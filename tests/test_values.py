@@ -323,6 +323,43 @@ def test_numbering_is_the_same_in_small_blocks(spark, monkeypatch):
     assert run() == whole
 
 
+def test_known_sizes_change_no_result(spark):
+    """Rows without identifiers and positions, and with positions that repeat, come out alike whether
+    the sizes of groups are known or not."""
+    data = [dict(value="AaBbCc"[i % 6] + (";z" if i % 4 == 0 else ""), lang=("fr", "en", "de", None)[i % 4], resource_id=i % 2,
+                 value_id=None if i % 3 else i, pos=(None, 0, None, i)[i % 4]) for i in range(24)]
+    values = table(spark, data)
+    pairs = table(spark, [dict(value=f"http://x/{i}" if i % 2 else f"N{i}", value_id=None) for i in range(8)])
+    records = spark.createDataFrame([(0,), (1,)], "id BIGINT")
+
+    def run(prepared):
+        v = prepared(values)
+        return {name: rows(df) for name, df in dict(
+            create=q.with_positions(q.create_values(v, records, "p", "literal", value="new")), explode=q.explode_values(v, ["p"], ";"),
+            order=q.order_values(v, ["de"], "all"), keep=q.remove_values(v, ["p"], keep_max_values=3),
+            first=q.remove_values(v, ["p"], max_values=2, languages=["fr"]), copy=q.copy_values(v, ["p"], "o"), some=q.copy_values(v, ["p"], "o", max_values=2),
+            copy_all=q.copy_values(v, "all", "o"), displace=q.displace_values(v, ["p"], "o"), merge=q.merge_values(prepared(pairs), ["p"]),
+            dedup=q.deduplicate_values(v), dedup_cased=q.deduplicate_values(v, case_sensitive=True), dedup_some=q.deduplicate_values(v, sel=[1]),
+            trim=q.trim_values(v), placed=q.with_positions(v), documents=q.to_jsonld(v, part_rows=3)).items()}
+
+    plain, measured = run(lambda df: df), run(q.measure_groups)
+    for name in plain:
+        assert plain[name] == measured[name], name
+    two = table(spark, [dict(value="A", value_id=None, pos=0), dict(value="a", value_id=None, pos=None)])
+    assert [texts(q.deduplicate_values(t)) for t in (two, q.measure_groups(two))] == [["A"], ["A"]]
+
+
+def test_duplicates_shrink_before_the_shuffle(spark, tmp_path):
+    table(spark, [dict(value="a")]).write.parquet(str(tmp_path / "v"))
+    values = spark.read.parquet(str(tmp_path / "v"))
+    plan = q.deduplicate_values(values, renumber=False)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "WindowGroupLimit" in plan and plan.count("Exchange hashpartitioning") == 1, plan
+    # Equal rows out of reach all stay.
+    same = table(spark, [dict(value="x", value_id=None, pos=None, resource_id=1 + i % 2) for i in range(8)])
+    for given in (same, q.measure_groups(same)):
+        assert sorted(r.resource_id for r in q.deduplicate_values(given, sel=[2]).collect()) == [1, 1, 1, 1, 2]
+
+
 def test_no_exchange_in_row_local_edits(spark, tmp_path):
     table(spark, [dict(value="a")]).write.parquet(str(tmp_path / "v"))
     values = spark.read.parquet(str(tmp_path / "v"))
