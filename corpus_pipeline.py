@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmend.llm import minhash_forest, pu_quality, simhash_windows, surrogates
-from quillmend.llm.common import digest, stored
+from quillmend.llm.common import stored
 from quillmend.llm.piece_bpe import encode_documents
 from quillmend.llm.queries import PIECES, SURROGATE_KEY, table
 
@@ -21,14 +21,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each class of near duplicates. Of rows that repeat its id,
-    one text stays (the least digest), and of equal rows one. Rows without an id all stay."""
-    heads = minhash_forest.similarity_join(docs.select("doc_id", "text")).where(
-        F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    kept = docs.join(heads.hint("merge"), "doc_id", "left_semi")
-    first = kept.groupBy("doc_id").agg(F.min(digest(F.coalesce("text", F.lit("")))).alias("_digest"), F.count("*").alias("_n")).where("_n > 1")
-    repeated = kept.join(first, "doc_id").where(digest(F.coalesce("text", F.lit(""))) == F.col("_digest")).select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(first, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated).unionByName(docs.where("doc_id is null"))
+    """One document of each class of near duplicates: that of the least id, of documents that share the
+    id that of the least digest. Documents without an id are judged as others are, and come last."""
+    return minhash_forest.first_of_classes(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,13 +4,17 @@ A text becomes the set of its runs of five words (lower-cased, letters and digit
 are linked when the Jaccard similarity of their sets is at least ``threshold``. Texts with the same
 words are one node from the start, so exact copies are never paired.
 
-1. A signature of ``trees * depth`` minima is cut into as many labels as there are trees. In each
-   tree the labels stand sorted, and prefixes are shortened, from the full depth down, until a pair
-   at the threshold shares a prefix in some tree with at least the target recall. The prefixes of
-   that length are the buckets; buckets of one node fall away by a count before any payload moves.
-2. Inside a bucket, signatures are compared (the estimate must come within five standard
-   deviations of the threshold); a bucket returns a spanning forest, never its pairs. Large buckets
-   are cut into blocks, and each pair of blocks is a task of its own.
+1. A signature of ``trees * depth`` minima is cut into as many labels as there are trees: each tree is
+   a trie of labels of ``depth`` minima. The shortest prefix it may take is the longest at which a pair
+   at the threshold shares one in some tree with the target recall. Labels are dealt by that prefix, so
+   each subtrie below it is in one place, its labels sorted; prefixes of one node fall away by a count
+   before any payload moves.
+2. A subtrie is searched from its full depth up: nodes whose labels agree in all minima are compared
+   first, then, with the prefix shortened by one, those that part there, and so on. A prefix whose nodes
+   are connected already is not searched, and it is shortened no further than the target recall asks.
+   Compared are signatures (the estimate must come within five standard deviations of the threshold);
+   what returns is a spanning forest, never pairs. Large subtries are cut into blocks, and each pair
+   of blocks is a task of its own.
 3. The forest's components collect the texts that may be linked, again in blocks where they are
    large. There the sets are intersected exactly: the result is the number of links of each node and
    a spanning forest of the links, whose components are the classes.
@@ -20,7 +24,8 @@ Nothing is dropped: blocks cover all pairs of a large bucket or component.
 Defined cases: null and empty texts have no shingles and no links; each is a class of its own text,
 so all texts without words form one class of copies with no links between them counted but their
 own copies. Texts of fewer than five words have one shingle, all their words. Repeated rows count as
-copies. A row with a null id takes part and gets the class of its text.
+copies. Ids may be of any type that has an order. A row with a null id takes part: it has links, and
+the least id of its class; a class of null ids alone has none.
 """
 
 from __future__ import annotations
@@ -29,8 +34,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmend.llm.common import digest, mixed, shingle_hashes, stored, words_text
 
@@ -187,6 +193,66 @@ def bucket_forest(labels: DataFrame, payload: DataFrame, size: int, alike) -> Da
     return dealt(in_blocks(members, "bucket", "_blocks"), keys, "node").mapInArrow(compare, "node binary, root binary")
 
 
+def trie_forest(labels: DataFrame, payload: DataFrame, size: int, below: int, alike) -> DataFrame:
+    """(node, root): a spanning forest of the pairs that share a prefix and are ``alike``.
+
+    ``labels`` has a row for each node and tree: ``bucket`` tells tree and shortest prefix, ``rest`` has
+    the ``below`` minima behind it, four bytes each, so that it sorts as the trie does. ``payload`` and
+    ``alike`` as in :func:`bucket_forest`."""
+    shared = labels.groupBy("bucket").agg(F.count("*").alias("_m")).where("_m > 1")
+    shared = shared.select("bucket", F.ceil(F.col("_m") / BLOCK_NODES).cast("int").alias("_blocks"))
+    members = labels.join(shared, "bucket").join(payload, "node")
+    keys = ["bucket", "_i", "_j"]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, keys):
+            sig = np.frombuffer(b"".join(table.column("_sig").to_pylist()), np.uint8).reshape(-1, size)
+            rest = np.frombuffer(b"".join(table.column("rest").to_pylist()), np.uint32).reshape(-1, below)
+            cuts = bounds(table, keys)
+            group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            diagonal = table.column("_i").to_numpy() == table.column("_j").to_numpy()
+            root = searched(sig, rest, group, table.column("_side").to_numpy(), diagonal, alike)
+            moved = np.flatnonzero(root != np.arange(len(group)))
+            nodes = table.column("node").combine_chunks()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes.take(pa.array(moved)), pa.binary()), pa.array(nodes.take(pa.array(root[moved])), pa.binary())],
+                names=["node", "root"])
+
+    return dealt(in_blocks(members, "bucket", "_blocks"), keys, "rest", "node").mapInArrow(search, "node binary, root binary")
+
+
+def searched(sig: np.ndarray, rest: np.ndarray, group: np.ndarray, side: np.ndarray, diagonal: np.ndarray, alike) -> np.ndarray:
+    """Roots of the forest of subtries (rows of one ``group`` are one, sorted by ``rest``), prefixes being
+    shortened minimum by minimum. Rows of a block pair are compared across its sides alone."""
+    n, below = rest.shape
+    root = np.arange(n)
+    agree = np.cumprod(rest[1:] == rest[:-1], 1).sum(1) if n > 1 else np.empty(0, np.int64)
+    agree[group[1:] != group[:-1]] = -1
+    for level in range(below, -1, -1):
+        run = np.concatenate(([0], np.cumsum(agree < level)))
+        shared, step = np.full(n, below), 1
+        rows = np.arange(n)
+        while True:
+            # Prefixes whose nodes are all connected are done.
+            least, most = np.full(run[-1] + 1, n), np.full(run[-1] + 1, -1)
+            np.minimum.at(least, run, root)
+            np.maximum.at(most, run, root)
+            rows = rows[rows + step < n]
+            rows = rows[(run[rows] == run[rows + step]) & (least < most)[run[rows]]]
+            if not len(rows):
+                break
+            shared[rows] = np.minimum(shared[rows], agree[rows + step - 1])
+            tried = rows[(shared[rows] == level) & (root[rows] != root[rows + step])
+                         & (diagonal[rows] | (side[rows] != side[rows + step]))]
+            linked = [part[alike(sig[part], sig[part + step])] for part in np.array_split(tried, len(tried) // 100_000 + 1)]
+            linked = np.concatenate(linked)
+            if len(linked):
+                known = np.flatnonzero(root != np.arange(n))
+                root = spanning(np.concatenate((linked, known)), np.concatenate((linked + step, root[known])), n)
+            step += 1
+    return root
+
+
 def nodes_of(docs: DataFrame, text: str, id_column: str) -> DataFrame:
     return docs.select(F.col(id_column).alias("_id"), words_text(F.col(text)).alias("_words")).withColumn(
         "node", digest(F.col("_words")))
@@ -196,6 +262,31 @@ def similarity_join(docs: DataFrame, *, text: str = "text", id_column: str = "do
                     threshold: float = 0.8, recall: float = 0.998, trees: int = 16, depth: int = 8) -> DataFrame:
     """One row per row of ``docs``: the id, ``class_id`` (the least id of its class), ``n_links`` (the
     other documents similar to it, copies among them) and ``n_copies`` (documents of the same words)."""
+    signed, per_node = _classes(docs, text, id_column, shingle, threshold, recall, trees, depth)
+    ids = per_node.groupBy("root").agg(F.min("_rep").alias("class_id"))
+    answer = per_node.join(ids, "root").select(
+        "node", "class_id", (F.col("_links") + F.col("_n") - 1).alias("n_links"), F.col("_n").alias("n_copies"))
+    return signed.select(F.col("_id").alias(id_column), "node").join(answer, "node").drop("node")
+
+
+def first_of_classes(docs: DataFrame, *, text: str = "text", id_column: str = "doc_id", shingle: int = 5,
+                     threshold: float = 0.8, recall: float = 0.998, trees: int = 16, depth: int = 8) -> DataFrame:
+    """One row of ``docs`` of each class of similar texts: that of the least id (null ids last), of rows
+    that share it that of the least digest, of equal rows any."""
+    _, per_node = _classes(docs, text, id_column, shingle, threshold, recall, trees, depth)
+    order = F.struct(F.col("_rep").isNull(), F.col("_rep"), F.col("node"))
+    heads = per_node.groupBy("root").agg(F.min(order).alias("_head")).select("_head.node")
+    named = docs.withColumn("_node", digest(words_text(F.col(text))))
+    # Each task sends one row of a text, however often it has it.
+    first = Window.partitionBy("_node").orderBy(F.col(id_column).asc_nulls_last(), digest(F.coalesce(F.col(text), F.lit(""))))
+    once = named.withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    return once.join(heads.withColumnRenamed("node", "_node").hint("merge"), "_node").select(*docs.columns)
+
+
+def _classes(docs: DataFrame, text: str, id_column: str, shingle: int, threshold: float, recall: float, trees: int,
+             depth: int) -> tuple[DataFrame, DataFrame]:
+    """(_id, node) and more of every row, and (node, root, _rep, _n, _links) of every text."""
+    id_type = docs.schema[id_column].dataType
     length = prefix_depth(threshold, recall, trees, depth)
     size = trees * depth
     seeds = mixed(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -203,34 +294,40 @@ def similarity_join(docs: DataFrame, *, text: str = "text", id_column: str = "do
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, compact = [], []
+            labels, rests, compact = [], [], []
             for words in batch.column("_words").to_pylist():
                 found = shingle_hashes(words, shingle)
                 minima = signature(found, seeds)
-                prefixes = minima.reshape(trees, depth)[:, :length].astype(np.uint64)
+                whole = minima.reshape(trees, depth)
+                prefixes = whole[:, :length].astype(np.uint64)
                 label = np.arange(trees, dtype=np.uint64)
                 for k in range(length):
                     label = mixed(label ^ prefixes[:, k])
                 labels.append(label.astype(np.int64) if len(found) else np.empty(0, np.int64))
+                rests.append([r.tobytes() for r in whole[:, length:].astype(">u4")] if len(found) else [])
                 compact.append((minima & 0xFF).astype(np.uint8).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("_id", "node", "_chars")), pa.array(labels, pa.list_(pa.int64())),
-                 pa.array(compact, pa.binary())], names=["_id", "node", "_chars", "_labels", "_sig"])
+                 pa.array(rests, pa.list_(pa.binary())), pa.array(compact, pa.binary())],
+                names=["_id", "node", "_chars", "_labels", "_rests", "_sig"])
 
-    found = nodes_of(docs, text, id_column).select(
-        F.col("_id").cast("long").alias("_id"), "node", F.length("_words").alias("_chars"), "_words")
-    signed = stored(found.mapInArrow(sign, "_id long, node binary, _chars int, _labels array<long>, _sig binary"))
+    found = nodes_of(docs, text, id_column).select("_id", "node", F.length("_words").alias("_chars"), "_words")
+    signed = stored(found.mapInArrow(sign, T.StructType([T.StructField("_id", id_type), *(T.StructField(n, t) for n, t in (
+        ("node", T.BinaryType()), ("_chars", T.IntegerType()), ("_labels", T.ArrayType(T.LongType())),
+        ("_rests", T.ArrayType(T.BinaryType())), ("_sig", T.BinaryType())))])))
     copies = signed.groupBy("node").agg(F.min("_id").alias("_rep"), F.count("*").alias("_n"), F.first("_chars").alias("_chars"))
-    unique = signed.where("_sig is not null").groupBy("node").agg(F.first("_labels").alias("_labels"), F.first("_sig").alias("_sig"))
+    unique = signed.where("_sig is not null").groupBy("node").agg(
+        F.first(F.arrays_zip("_labels", "_rests")).alias("_labels"), F.first("_sig").alias("_sig"))
 
-    # 2. Buckets of more than one node; a forest of the pairs that may be linked.
+    # 2. Prefixes of more than one node; a forest of the pairs that may be linked.
     need = threshold - slack
 
     def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         # One byte agrees by chance once in 256 times.
         return ((a == b).mean(1) - 1 / 256) / (1 - 1 / 256) >= need
 
-    forest = bucket_forest(unique.select("node", F.explode("_labels").alias("bucket")), unique.select("node", "_sig"), size, alike)
+    labels = unique.select("node", F.inline("_labels")).withColumnsRenamed({"_labels": "bucket", "_rests": "rest"})
+    forest = trie_forest(labels, unique.select("node", "_sig"), size, depth - length, alike)
     near = components(forest)
 
     # 3. Exact similarities inside the components.
@@ -240,8 +337,12 @@ def similarity_join(docs: DataFrame, *, text: str = "text", id_column: str = "do
         F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum(F.col("_chars").cast("long")) / BLOCK_CHARS)).cast("int").alias("_blocks"))
     sized = stored(sized.join(blocks, "root").select("node", "root", "_n", "_blocks", F.col("_rep").alias("_id")))
     # Sorted and merged at every size: the candidates grow with the documents.
-    texts = nodes_of(docs, text, id_column).withColumn("_id", F.col("_id").cast("long")).join(
-        sized.hint("merge"), ["_id", "node"])
+    # The row of the least id stands for a text, of texts without any id one row.
+    every = nodes_of(docs, text, id_column)
+    nameless = every.where("_id is null").withColumn("_nth", F.row_number().over(
+        Window.partitionBy("node").orderBy("_words"))).where("_nth = 1").drop("_nth", "_id")
+    texts = every.join(sized.where("_id is not null").hint("merge"), ["_id", "node"]).drop("_id").unionByName(
+        nameless.join(sized.where("_id is null").drop("_id").hint("merge"), "node"))
     keys3 = ["root", "_i", "_j"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,11 +375,7 @@ def similarity_join(docs: DataFrame, *, text: str = "text", id_column: str = "do
     # The class of a node: the component's root, or itself; its id: the least of all its documents.
     per_node = (copies.join(classes, "node", "left").join(links, "node", "left")
                 .select("node", F.coalesce("root", "node").alias("root"), "_rep", "_n", F.coalesce("_links", F.lit(0)).alias("_links")))
-    per_node = stored(per_node)
-    ids = per_node.groupBy("root").agg(F.min("_rep").alias("class_id"))
-    answer = per_node.join(ids, "root").select(
-        "node", "class_id", (F.col("_links") + F.col("_n") - 1).alias("n_links"), F.col("_n").alias("n_copies"))
-    return signed.select(F.col("_id").alias(id_column), "node").join(answer, "node").drop("node")
+    return signed, stored(per_node)
 
 
 def linked_pairs(sets: list[np.ndarray], threshold: float, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -78,6 +80,62 @@ def test_similarity_join_on_odd_rows(spark):
     assert minhash_forest.similarity_join(spark.createDataFrame([], EXTRA)).count() == 0
 
 
+def test_similarity_join_of_rows_without_ids(spark):
+    """Null ids have links, ids may be texts, and ids that repeat name different texts."""
+    base = [f"w{k}" for k in range(120)]
+    near = [" ".join(base[:60] + [f"v{k}"] + base[60:]) for k in range(4)]
+    docs = spark.createDataFrame([(None, near[0]), ("b", near[1]), (None, near[2]), (None, near[2]), ("a", "far away"), ("a", near[3]), (None, None)],
+                                 "doc_id string, text string")
+    got = sorted((r.doc_id or "-", r.class_id or "-", r.n_links, r.n_copies) for r in minhash_forest.similarity_join(docs).collect())
+    assert got == [("-", "-", 0, 1), ("-", "a", 4, 1), ("-", "a", 4, 2), ("-", "a", 4, 2), ("a", "a", 0, 1), ("a", "a", 4, 1), ("b", "a", 4, 1)]
+    kept = sorted((r.doc_id or "-", r.text) for r in minhash_forest.first_of_classes(docs).collect() if r.text)
+    assert kept == [("a", "far away"), ("a", near[3])]
+    nameless = docs.withColumn("doc_id", docs.doc_id.substr(9, 1)).withColumn("doc_id", F.nullif("doc_id", F.lit("")))
+    assert sorted(r.n_links for r in minhash_forest.similarity_join(nameless).collect()) == [0, 0, 4, 4, 4, 4, 4]
+    assert minhash_forest.first_of_classes(nameless).count() == 3
+
+
+def test_subtries_are_searched_from_the_full_depth_up():
+    """Against all pairs: the same components; pairs already connected are not compared."""
+    rng = np.random.default_rng(4)
+    n, below = 400, 3
+    rest = np.sort(rng.integers(0, 3, (n, below), dtype=np.uint32).view([("", np.uint32)] * below), axis=0).view(np.uint32).reshape(n, below)
+    group = np.zeros(n, np.int64)
+    sig = rng.integers(0, 4, (n, 8), dtype=np.uint8)
+    compared = []
+
+    def alike(a, b):
+        compared.append(len(a))
+        return (a == b).mean(1) >= 0.5
+
+    same = np.zeros(n, np.int64)
+    root = minhash_forest.searched(sig, rest, group, same, np.ones(n, bool), alike)
+    i, j = np.triu_indices(n, 1)
+    ok = (sig[i] == sig[j]).mean(1) >= 0.5
+    assert (root == minhash_forest.spanning(i[ok], j[ok], n)).all() and sum(compared) < len(i) / 2
+    copies = np.zeros((n, 8), np.uint8)
+    compared.clear()
+    assert not minhash_forest.searched(copies, rest, group, same, np.ones(n, bool), alike).any() and sum(compared) < 3 * n
+    # Across the sides of a pair of blocks alone.
+    side = np.arange(n) % 2
+    root = minhash_forest.searched(sig, rest, group, side, np.zeros(n, bool), alike)
+    ok &= side[i] != side[j]
+    assert (root == minhash_forest.spanning(i[ok], j[ok], n)).all()
+
+
+def test_recall_of_the_forest(spark):
+    """Pairs just above the threshold, each alone: nearly all are found."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(600):
+        words = [f"{rng.randrange(10 ** 6)}" for _ in range(104)]
+        # Five of a hundred runs of five words change with a word; two words make 10 of 110.
+        other = words[:30] + ["x"] + words[31:70] + ["y"] + words[71:]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    got = minhash_forest.similarity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.n_links == 1 for r in got) >= 0.995 * len(got)
+
+
 def test_leaks_equal_brute_force(spark):
     rows = entry.queries()["op6_simhash_windows"](spark, FOLDER).collect()
     items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()}
