@@ -6,12 +6,15 @@ drawn from HMAC-SHA256 of key, type, canonical form and attempt, so that one ent
 in the whole corpus (coreference), and it fits its type: digits stay digits, letters stay letters of
 their script, card numbers and IBANs keep valid check digits, addresses stay addresses, first names
 keep gender and script, and the spelling at hand (separators, case) is put on again. Names are
-replaced part by part, so that "Mrs. Ada Moor" and "Mrs. Moor" stay one person.
+replaced part by part, so that "Mrs. Ada Moor" and "Mrs. Moor" stay one person, and so are the words
+of the same text that repeat a part without a title. A first name has the gender that titles give it
+anywhere in the corpus; if they disagree or tell none, it may get any name.
 
-Collisions: over the table of distinct entities, a surrogate that two entities share, or that is an
-entity of the corpus itself, is drawn again for all but the first entity, until no collision is
-left. All of this is joins and aggregations over distinct entities. Texts without anything that
-could be an entity are never shuffled.
+Collisions: over the table of distinct entities, a surrogate that two entities of a family share (first
+names of a script, all numbers...), or that is an entity of that family in the corpus itself, is drawn
+again for all but the first entity, until no collision is left. Only what collides is drawn again, and
+later draws come from ever larger spaces, so rounds end. All of this is joins and aggregations over
+distinct entities. Texts without anything that could be an entity are never shuffled.
 
 Defined cases: null and empty texts stay. Equal texts are one key of the joins. Repeated rows are
 replaced alike. Other columns are kept; a column named like ``count`` is replaced.
@@ -52,22 +55,30 @@ LAST = {
     "greek": "Αθανασίου Βλάχος Γεωργίου Δούκας Ιωάννου Καραγιάννης Λάμπρου Μάρκου Νικολάου Οικονόμου Παππάς Ράλλης",
 }
 
+# Syllables of names that are coined when the lists have no name left, and endings by gender.
+SYLLABLES = {"latin": ("b d f g k l m n r s t v", "a e i o u"), "cyrillic": ("б в г д к л м н р с т", "а е и о у"), "greek": ("β γ δ κ λ μ ν π ρ σ τ", "α ε ι ο υ")}
+ENDINGS = {("m", "latin"): "n", ("f", "latin"): "na", ("m", "cyrillic"): "н", ("f", "cyrillic"): "на", ("m", "greek"): "νος", ("f", "greek"): "να",
+           ("last", "latin"): "rd", ("last", "cyrillic"): "нов", ("last", "greek"): "νης"}
+
 _TITLE = "|".join(sorted((re.escape(t) for names in TITLES.values() for t in names.split()), key=len, reverse=True))
 _NAME = r"[^\W\d_][^\W\d_'’-]+(?:[-'’][^\W\d_]+)*"
 PATTERN = re.compile(
-    r"(?P<email>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)"
+    r"(?P<email>(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+)"
     r"|(?P<aws>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)"
-    r"|\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9+/_-]{8,})"
+    r"|(?:(?<![A-Za-z0-9])|(?<=[a-z])(?=[A-Z]))(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)"
+    r"(?:[_-][A-Za-z0-9]{1,16}){0,2}[\"']?\s{0,8}[=:]\s{0,8}[\"']?(?P<secret>[A-Za-z0-9+/_-]{8,})"
     r"|(?P<hex>\b[0-9a-f]{32,}\b|\b[0-9A-F]{32,}\b)"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ip>(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<number>(?<![\w+])\d(?:[ -]?\d){12,18}(?![\w]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)"
+    r"|(?<![\w.-])\d{3}(?P<gap>[.-])\d{3}(?P=gap)\d{4}(?![\w-]|\.\d))"
     rf"|\b(?P<title>{_TITLE})\b\.?[  ](?P<person>{_NAME}(?:[  ]{_NAME}){{0,2}})"
 )
 #: Texts without any of this hold no entity.
-TRIGGER = rf"[0-9]|@|(?:token|secret|password|passwd|pwd|key)\b|[a-f]{{32}}|[A-F]{{32}}|(?:AKIA|ASIA)[A-Z]|\b(?:{_TITLE})\b"
+TRIGGER = rf"[0-9]|@|(?i:token|secret|password|passwd|pwd|key)|[a-f]{{32}}|[A-F]{{32}}|(?:AKIA|ASIA)[A-Z]|\b(?:{_TITLE})\b"
+WORD = re.compile(_NAME)
 ALPHABETS = [("a", "z"), ("а", "я"), ("α", "ω")]
 
 
@@ -85,8 +96,38 @@ def iban_rest(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
-def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(begin, end, type, canonical form) from left to right. Types of names carry gender and script."""
+def family_of(kind: str) -> str:
+    """What must stay distinct: names by script, whatever their gender, and all long numbers."""
+    parts = kind.split(":")
+    if parts[0] in ("first", "last"):
+        return f"{parts[0]}:{parts[2] if parts[0] == 'first' else parts[1]}"
+    return "number" if kind == "card" else kind
+
+
+def entities(text: str) -> list[tuple[int, int, str, str]]:
+    """(begin, end, type, canonical form) from left to right. Types of names carry gender and script.
+    Words that repeat a part of a titled name are names too."""
+    found = list(marked_entities(text))
+    parts: dict[str, tuple[str, str]] = {}
+    for begin, end, kind, core in found:
+        if kind.startswith(("first:", "last:")):
+            parts.setdefault(text[begin:end], (kind, core))
+            parts.setdefault(text[begin:end].upper(), (kind, core))
+    if not parts:
+        return found
+    taken = {begin for begin, _, _, _ in found}
+    again, k = [], 0
+    for m in WORD.finditer(text):
+        if m[0] in parts and m.start() not in taken:
+            while k < len(found) and found[k][1] <= m.start():
+                k += 1
+            if k == len(found) or m.end() <= found[k][0]:
+                again.append((m.start(), m.end(), *parts[m[0]]))
+    return sorted(found + again) if again else found
+
+
+def marked_entities(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """The entities that are told by their form or by a title."""
     for m in PATTERN.finditer(text):
         if m["person"]:
             gender = next(g for g, names in TITLES.items() if m["title"] in names.split())
@@ -100,7 +141,7 @@ def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
                 script = script_of(part[0])
                 kind = f"last:{script}" if k == keep - 1 else f"first:{gender}:{script}"
                 if script == "cyrillic" and k == keep - 1:
-                    kind += ":f" if gender == "f" else ":m"
+                    kind += ":f" if part[0].lower().endswith(("а", "я")) else ":m"
                 at = m.start("person")
                 yield at + part.start(), at + part.end(), kind, part[0].lower()
             continue
@@ -164,14 +205,22 @@ def surrogate(key: bytes, kind: str, core: str, attempt: int) -> str:
             pool = " ".join(FIRST[g, script] for g in (("m", "f") if gender == "x" else (gender,))).split()
         else:
             pool = LAST[kind.split(":")[1]].split()
-        # Further attempts join more names, so that no pool runs out.
-        out = "-".join(pool[draws.below(len(pool))] for _ in range(1 + attempt // 4))
+        out = pool[draws.below(len(pool))]
+        if attempt > 1:
+            # The list is used up: names of two syllables, then three...
+            gender, script = ("last", kind.split(":")[1]) if family == "last" else kind.split(":")[1:]
+            first, second = (letters.split() for letters in SYLLABLES[script])
+            gender = "mf"[draws.below(2)] if gender == "x" else gender
+            out = "".join(first[draws.below(len(first))] + second[draws.below(len(second))] for _ in range(1 + attempt // 2)) + ENDINGS[gender, script]
         if kind.endswith("cyrillic:f"):
             out = "-".join(p + "а" if re.search("(ов|ев|ёв|ин)$", p) else p for p in out.split("-"))
         return out.lower()
     extra = "".join(str(draws.below(10)) for _ in range(attempt // 16))
     if family == "ip":
-        return ".".join(str((1 + draws.below(9), 10 + draws.below(90), 100 + draws.below(155))[len(p) - 1]) for p in core.split("."))
+        # Parts as long as those at hand, until these addresses are used up.
+        if attempt < 3:
+            return ".".join(str((1 + draws.below(9), 10 + draws.below(90), 100 + draws.below(155))[len(p) - 1]) for p in core.split("."))
+        return ".".join(str(1 + draws.below(254)) for _ in range(4))
     if family == "card":
         body = core[0] + "".join(draws.alike(c) for c in core[1:-1])
         return body + str(-luhn(body + "0") % 10)
@@ -216,65 +265,86 @@ def spelled(value: str, core: str, new: str, kind: str) -> str:
 def replace_entities(docs: DataFrame, key: bytes, *, text: str = "text", count: str = "n_entities", most_rounds: int = 64) -> DataFrame:
     """``docs`` with surrogates in ``text``, and the number of replaced entities in ``count``."""
     kept = [c for c in docs.columns if c != count]
-    docs = docs.select(*kept)
-    likely = F.coalesce(F.col(text).rlike(TRIGGER), F.lit(False))
-    digested = docs.where(likely).withColumn("_digest", digest(F.col(text)))
+    # Names of our own, so that columns may be called anything.
+    own = [f"c{k}" for k in range(len(kept))]
+    docs = docs.select(*[docs[c].alias(name) for c, name in zip(kept, own)])
+    at_text = own[kept.index(text)]
+    likely = F.coalesce(F.col(at_text).rlike(TRIGGER), F.lit(False))
+    digested = docs.where(likely).withColumn("digest", digest(F.col(at_text)))
 
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, kind, core) for d, t in zip(batch.column("_digest").to_pylist(), batch.column("_text").to_pylist())
-                    for kind, core in dict.fromkeys(e[2:] for e in entities(t))]
-            columns = list(zip(*rows)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())],
-                names=["_digest", "_type", "_core"])
-
-    found = stored(digested.select("_digest", F.col(text).alias("_text"))
-                   .mapInArrow(detect, "_digest binary, _type string, _core string").distinct())
-    chosen = distinct_surrogates(found.select("_type", "_core").distinct(), key, most_rounds)
+            rows = [(d.as_py(), family_of(kind), core, kind) for d, t in zip(batch.column("digest"), batch.column("text"))
+                    for kind, core in dict.fromkeys(e[2:] for e in entities(t.as_py()))]
+            columns = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), *(pa.array(c, pa.string()) for c in columns[1:])],
+                                             names=["digest", "family", "core", "type"])
+
+    found = stored(digested.select("digest", F.col(at_text).alias("text"))
+                   .mapInArrow(detect, "digest binary, family string, core string, type string").distinct())
+    chosen = distinct_surrogates(one_type(found), key, most_rounds)
     # At most as many as one text holds.
-    per_text = found.join(chosen, ["_type", "_core"]).groupBy("_digest").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0000", "_type", "_core"), "_new"))).alias("_map"))
-    mapped = digested.join(per_text, "_digest", "left").drop("_digest")
+    per_text = found.select("digest", "family", "core").distinct().join(chosen, ["family", "core"]).groupBy("digest").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0000", "family", "core"), "new"))).alias("map"))
+    mapped = digested.join(per_text, "digest", "left").drop("digest")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
-            for t, pairs in zip(batch.column(text).to_pylist(), batch.column("_map").to_pylist()):
-                known, parts, at, n = dict(pairs or ()), [], 0, 0
+            for t, pairs in zip(batch.column(at_text), batch.column("map")):
+                t, known, parts, at, n = t.as_py(), dict(pairs.as_py() or ()), [], 0, 0
                 for begin, end, kind, core in entities(t) if known else ():
-                    parts += [t[at:begin], spelled(t[begin:end], core, known[f"{kind}\0{core}"], kind)]
+                    parts += [t[at:begin], spelled(t[begin:end], core, known[f"{family_of(kind)}\0{core}"], kind)]
                     at, n = end, n + 1
                 texts.append("".join(parts) + t[at:])
                 counts.append(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in kept] + [pa.array(counts, pa.int64())],
-                names=[*kept, count])
+                [pa.array(texts, pa.string()) if c == at_text else batch.column(c) for c in own] + [pa.array(counts, pa.int64())],
+                names=[*own, "count"])
+
+    schema = T.StructType([*(docs.schema[c] for c in own), T.StructField("count", T.LongType())])
+    changed = mapped.mapInArrow(rewrite, schema).unionByName(docs.where(~likely).withColumn("count", F.lit(0).cast("long")))
+    return changed.select(*[F.col(name).alias(c) for c, name in zip(kept, own)], F.col("count").alias(count))
+
 
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(count, T.LongType())])
-    return mapped.mapInArrow(rewrite, schema).unionByName(docs.where(~likely).withColumn(count, F.lit(0).cast("long")))
+def one_type(found: DataFrame) -> DataFrame:
+    """(family, core, type) of every entity once. First names have the gender their titles tell, if they
+    tell one."""
+    told = F.regexp_extract("type", "^first:([mf]):", 1)
+    genders = F.collect_set(F.nullif(told, F.lit("")))
+    return found.groupBy("family", "core").agg(genders.alias("genders"), F.min("type").alias("type")).select(
+        "family", "core", F.when(F.col("family").startswith("first:"), F.concat(
+            F.lit("first:"), F.when(F.size("genders") == 1, F.element_at("genders", 1)).otherwise("x"),
+            F.regexp_extract("family", "(:.*)", 1))).otherwise(F.col("type")).alias("type"))
 
 
 def distinct_surrogates(known: DataFrame, key: bytes, most_rounds: int = 64) -> DataFrame:
-    """(_type, _core, _new) for distinct (_type, _core): no two of a type share a surrogate, and none is
-    a canonical form of that type in the corpus."""
+    """(family, core, new) for distinct (family, core, type): no two of a family share a surrogate, and none
+    is a canonical form of that family in the corpus."""
+    known = stored(known.select("family", "core", "type"))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["family", "core", "type", "attempt"]
         for batch in batches:
-            new = [surrogate(key, k, c, a) for k, c, a in zip(*(batch.column(n).to_pylist() for n in ("_type", "_core", "_attempt")))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("_type", "_core", "_attempt")), pa.array(new, pa.string())],
-                                             names=["_type", "_core", "_attempt", "_new"])
+            new = [surrogate(key, k, c, a) for k, c, a in zip(*(batch.column(n).to_pylist() for n in ("type", "core", "attempt")))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(new, pa.string())], names=[*names, "new"])
 
-    table = known.select("_type", "_core", F.lit(0).alias("_attempt"))
+    real = known.select("family", F.col("core").alias("new"), F.lit(True).alias("real"))
+    settled = None
+    pending = known.withColumn("attempt", F.lit(0))
     for _ in range(most_rounds):
-        drawn = stored(table.select("_type", "_core", "_attempt").mapInArrow(draw, "_type string, _core string, _attempt int, _new string"))
-        # First of those that share a surrogate: the one that has been drawn fewest times.
-        first = drawn.groupBy("_type", "_new").agg(F.min(F.struct("_attempt", "_core")).alias("_first"), F.count("*").alias("_n"))
-        shared = first.where("_n > 1").select("_type", "_new", F.col("_first._core").alias("_owner"))
-        real = known.select("_type", F.col("_core").alias("_new"), F.lit(True).alias("_real"))
-        judged = (drawn.join(shared, ["_type", "_new"], "left").join(real, ["_type", "_new"], "left")
-                  .withColumn("_again", F.coalesce(F.col("_real"), F.lit(False)) | (F.coalesce(F.col("_owner"), F.col("_core")) != F.col("_core"))))
-        if judged.where("_again").isEmpty():
-            return drawn.select("_type", "_core", "_new")
-        table = judged.withColumn("_attempt", F.col("_attempt") + F.col("_again").cast("int"))
+        drawn = stored(pending.mapInArrow(draw, "family string, core string, type string, attempt int, new string"))
+        # Of those that drew the same, the first keeps it; whatever was kept in a round before stays.
+        first = drawn.groupBy("family", "new").agg(F.min("core").alias("owner"))
+        judged = drawn.join(first, ["family", "new"]).join(real, ["family", "new"], "left")
+        lost = F.coalesce(F.col("real"), F.lit(False)) | (F.col("owner") != F.col("core"))
+        if settled is not None:
+            judged = judged.join(settled.select("family", "new", F.lit(True).alias("taken")), ["family", "new"], "left")
+            lost = lost | F.coalesce(F.col("taken"), F.lit(False))
+        judged = stored(judged.withColumn("lost", lost).select(*drawn.columns, "lost"))
+        kept = judged.where("NOT lost").select("family", "core", "new")
+        settled = kept if settled is None else settled.unionByName(kept)
+        pending = judged.where("lost").select("family", "core", "type", (F.col("attempt") + 1).alias("attempt"))
+        if pending.isEmpty():
+            return settled
     raise ValueError(f"surrogates still collide after {most_rounds} rounds")
