@@ -12,8 +12,10 @@ the join back to it is one that adaptive execution may split, where a passage is
 documents. No group is ever collected but the repeated hashes of one document.
 
 Defined cases: null texts stay null, empty ones empty. Texts without a long enough run keep all. Rows
-that repeat the id of a first document keep their sentences as it does; null ids come last. Other
-columns are kept; ``n_sentences`` and ``n_removed`` replace columns of these names.
+that repeat the id of a first document keep their sentences as it does. Null ids come last; of rows
+without an id, those of equal text are one document, others are documents of their own, in the order of
+a hash. Ids may be of any type that has an order. Other columns are kept; ``n_sentences`` and
+``n_removed`` replace columns of these names.
 """
 
 from __future__ import annotations
@@ -31,8 +33,6 @@ from pyspark.sql import types as T
 from quillmend.llm.common import stored
 
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+[ \t]*|[^.!?\n]+")
-LAST = (1 << 63) - 1
-
 
 def runs(text: str, sentences: int, words: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """The sentences of a text, and of each run its first and last sentence and 128 bits of hash."""
@@ -53,34 +53,46 @@ def remove_repeated_spans(docs: DataFrame, *, text: str = "text", id_column: str
                           words: int = 10) -> DataFrame:
     """``docs`` with what is left of ``text``, ``n_sentences`` (before) and ``n_removed``."""
     kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    docs = docs.select(*kept)
-    order = F.coalesce(F.col(id_column).cast("long"), F.lit(LAST))
+    # Names of our own, so that columns may be called anything.
+    own_names = [f"c{k}" for k in range(len(kept))]
+    doc = docs[id_column]
+    # Rows without an id are told apart by their text.
+    nameless = F.when(doc.isNull(), F.xxhash64(docs[text]))
+    id_type = docs.schema[id_column].dataType
+    named = docs.select(*[docs[c].alias(name) for c, name in zip(kept, own_names)], doc.alias("doc"), nameless.alias("sub"))
+    at_text = own_names[kept.index(text)]
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes = [], []
-            for doc, content in zip(batch.column("_doc").to_pylist(), batch.column("_text").to_pylist()):
+            rows, hashes = [], []
+            for row, content in enumerate(batch.column("text")):
+                content = content.as_py()
                 own = runs(content, sentences, words)[3] if content else ()
                 if len(own):
                     own = np.unique(own, axis=0)
                     hashes.append(own)
-                    ids.append(np.full(len(own), doc, np.int64))
-            if ids:
-                both = np.concatenate(hashes)
+                    rows.append(np.full(len(own), row))
+            if rows:
+                both, at = np.concatenate(hashes), pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(ids)), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["_doc", "_h", "_g"])
-
-    found = stored(docs.select(order.alias("_doc"), F.col(text).alias("_text")).mapInArrow(spans, "_doc long, _h long, _g long"))
-    first = (found.groupBy("_h", "_g").agg(F.min("_doc").alias("_first"), F.count("*").alias("_n"), F.max("_doc").alias("_last"))
-             .where("_first < _last").drop("_n", "_last"))
-    again = found.join(first.hint("merge"), ["_h", "_g"]).where("_doc > _first").select("_doc", "_h")
-    per_doc = again.groupBy("_doc").agg(F.collect_set("_h").alias("_again"))
-    marked = docs.withColumn("_doc", order).join(per_doc.hint("merge"), "_doc", "left").drop("_doc")
+                    [batch.column("doc").take(at), batch.column("sub").take(at), pa.array(both[:, 0]), pa.array(both[:, 1])],
+                    names=["doc", "sub", "h", "g"])
+
+    shape = T.StructType([T.StructField("doc", id_type), *(T.StructField(n, T.LongType()) for n in ("sub", "h", "g"))])
+    found = stored(named.select("doc", "sub", F.col(at_text).alias("text")).mapInArrow(spans, shape))
+    first = (found.groupBy("h", "g").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("sub").alias("least"), F.max("sub").alias("most"))
+             .where("first < last OR (first IS NOT NULL AND most IS NOT NULL) OR (first IS NULL AND least < most)").select("h", "g", "first", "least"))
+    again = found.join(first.hint("merge"), ["h", "g"]).where(
+        "doc > first OR (doc IS NULL AND (first IS NOT NULL OR sub > least))").select("doc", "sub", "h")
+    per_doc = again.groupBy(F.col("doc").alias("at_doc"), F.col("sub").alias("at_sub")).agg(F.collect_set("h").alias("again"))
+    marked = named.join(per_doc.hint("merge"), named["doc"].eqNullSafe(per_doc["at_doc"]) & named["sub"].eqNullSafe(per_doc["at_sub"]), "left").select(
+        *own_names, "again")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, before, removed = [], [], []
-            for content, again in zip(batch.column(text).to_pylist(), batch.column("_again").to_pylist()):
+            for content, again in zip(batch.column(at_text), batch.column("again")):
+                content, again = content.as_py(), again.as_py()
                 pieces, first, last, hashed = runs(content or "", sentences, words)
                 own = hashed[:, 0]
                 gone = np.zeros(len(pieces) + 1, np.int64)
@@ -96,9 +108,10 @@ def remove_repeated_spans(docs: DataFrame, *, text: str = "text", id_column: str
                 before.append(len(pieces))
                 removed.append(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in kept]
-                + [pa.array(before, pa.int64()), pa.array(removed, pa.int64())], names=[*kept, "n_sentences", "n_removed"])
+                [pa.array(texts, pa.string()) if c == at_text else batch.column(c) for c in own_names]
+                + [pa.array(before, pa.int64()), pa.array(removed, pa.int64())], names=[*own_names, "n_sentences", "n_removed"])
 
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("n_sentences", T.LongType()),
-                           T.StructField("n_removed", T.LongType())])
-    return marked.mapInArrow(remove, schema)
+    schema = T.StructType([*(T.StructField(name, docs.schema[c].dataType) for c, name in zip(kept, own_names)),
+                           T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
+    return marked.mapInArrow(remove, schema).select(
+        *[F.col(name).alias(c) for c, name in zip(kept, own_names)], "n_sentences", "n_removed")
