@@ -2,12 +2,13 @@
 
 A record is a header and a payload; archives are written by Spark's text writer, one record per
 row, so that they are committed as every Spark output is, and lost tasks are done again. Archives
-are compressed and read as whole binary files (their number follows the partitions, and so their size
-is bounded) and cut at the lengths that the headers state.
+are compressed. They are read as binary files, unpacked and cut at the lengths that the headers state
+piece by piece, so that a task holds a compressed archive and one record, not what an archive unpacks to.
 
 Revisit resolution: headers (digest, length, id) are aggregated by the payload digest; the least id of
 a digest that several records have is the response, and the others become revisits of it. The records
-are joined to these answers by digest, which moves each payload once; revisits then drop theirs and
+are joined to these answers by digest, which moves each payload once (short ones, which cannot be revisits,
+stay where they are); revisits then drop theirs and
 every record gets a fresh header. Reading back, revisits are joined to the responses they name, without
 payloads. A digest that a third of the records share is reduced by partial aggregation, and the join to
 it is one that adaptive execution may split.
@@ -18,8 +19,8 @@ that repeat the id of their response are responses too. Null ids sort last and s
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +34,9 @@ VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "1970-01-01T00:00:00Z"
 ARCHIVE_RECORDS = 20_000
+# What is unpacked at a time, and blocks of records handed on together (or one larger).
+PIECE_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 END = "\r\n\r\n"
 
 
@@ -61,22 +65,26 @@ def resolve(records: DataFrame, *, least_bytes: int = 100) -> DataFrame:
     # Headers only: id, digest and length; digests that one record has need no join.
     first = (sized.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest")
              .agg(F.min("id").alias("first_id"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
-    joined = sized.join(first, "payload_digest", "left")
-    again = (F.col("payload_bytes") >= least_bytes) & F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
-    return joined.select(
+    joined = sized.where(F.col("payload_bytes") >= least_bytes).join(first, "payload_digest", "left")
+    again = F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
+    short = sized.where(F.col("payload_bytes") < least_bytes).select(
+        "id", "uri", "payload", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"),
+        F.lit(None).cast(records.schema["id"].dataType).alias("refers_to"))
+    return short.unionByName(joined.select(
         "id", "uri", "payload", "payload_bytes", "payload_digest",
         F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("first_id")).alias("refers_to"))
+        F.when(again, F.col("first_id")).alias("refers_to")))
 
 
-def write_archives(resolved: DataFrame, folder: str) -> None:
-    """Archives of fresh headers: responses with their payload, revisits without."""
+def write_archives(resolved: DataFrame, folder: str, date: str = EPOCH) -> None:
+    """Archives of fresh headers: responses with their payload, revisits without. ``date`` is the
+    ``WARC-Date`` of all records (one value, so that a repeated task writes the same bytes)."""
     revisit = F.col("record_type") == "revisit"
     block = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     head = header([
         ("WARC-Type", F.col("record_type")),
         ("WARC-Record-ID", record_id(F.col("id"), F.col("payload_digest"))),
-        ("WARC-Date", F.lit(EPOCH)),
+        ("WARC-Date", F.lit(date)),
         ("WARC-Target-URI", F.col("uri")),
         ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "payload_digest")),
         ("WARC-Refers-To", F.when(revisit, record_id(F.col("refers_to"), F.col("payload_digest")))),
@@ -88,19 +96,58 @@ def write_archives(resolved: DataFrame, folder: str) -> None:
      .option("lineSep", END).option("maxRecordsPerFile", ARCHIVE_RECORDS).option("compression", "gzip").text(folder))
 
 
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """The content of an archive, with or without compression (one member or many), piece by piece."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while data:
+        member = zlib.decompressobj(wbits=31)
+        while not member.eof and data:
+            piece = member.decompress(data, PIECE_BYTES)
+            data = member.unused_data if member.eof else member.unconsumed_tail
+            if piece:
+                yield piece
+        if not member.eof:
+            raise ValueError("a compressed archive is cut off")
+
+
 def records_in(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (names in lower case) and block of each record of an archive."""
-    at, end = 0, END.encode()
-    while at < len(data):
-        stop = data.index(end, at)
-        first, *lines = data[at:stop].decode().split("\r\n")
+    pieces, held, end = unpacked(data), bytearray(), END.encode()
+
+    def until(enough) -> bool:
+        while not enough():
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    searched = 0
+    while until(lambda: len(held) > 0):
+        def header_ends() -> bool:
+            nonlocal searched
+            found = held.find(end, searched)
+            # The end may lie across two pieces.
+            searched = found if found >= 0 else max(0, len(held) - len(end))
+            return found >= 0
+
+        searched = 0
+        if not until(header_ends):
+            raise ValueError(f"a record without an end: {bytes(held[:40])!r}")
+        stop = searched
+        first, *lines = held[:stop].decode().split("\r\n")
         if not first.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}: {first[:40]!r}")
+            raise ValueError(f"no record here: {first[:40]!r}")
         fields = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
         begin = stop + len(end)
         length = int(fields["content-length"])
-        yield fields, data[begin:begin + length]
-        at = begin + length + len(end)
+        if not until(lambda: len(held) >= begin + length):
+            raise ValueError("a record is cut off")
+        yield fields, bytes(held[begin:begin + length])
+        until(lambda: len(held) >= begin + length + len(end))
+        del held[:begin + length + len(end)]
 
 
 SCHEMA = ("record_type string, record_id string, uri string, record_key string, refers_to_record string, "
@@ -114,16 +161,17 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("content").to_pylist():
-                rows = []
-                for fields, block in records_in(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+            for data in batch.column("content"):
+                rows, size = [], 0
+                for fields, block in records_in(data.as_py()):
+                    size += len(block)
                     rows.append((fields["warc-type"], fields["warc-record-id"], fields.get("warc-target-uri"),
                                  fields.get("x-record-key"), fields.get("warc-refers-to"),
                                  fields.get("warc-payload-digest", "").removeprefix("sha256:") or None,
                                  block, hashlib.sha256(block).hexdigest(), len(block)))
-                    if len(rows) == 1000:
+                    if len(rows) == 1000 or size > BATCH_BYTES:
                         yield batch_of(rows)
-                        rows = []
+                        rows, size = [], 0
                 if rows:
                     yield batch_of(rows)
 
@@ -150,9 +198,9 @@ def resolved_records(records: DataFrame) -> DataFrame:
     return plain.unionByName(joined)
 
 
-def deduplicate(records: DataFrame, folder: str | None = None, *, least_bytes: int = 100) -> DataFrame:
+def deduplicate(records: DataFrame, folder: str | None = None, *, least_bytes: int = 100, date: str = EPOCH) -> DataFrame:
     """Write deduplicated archives of ``records`` (``id``, ``uri``, ``payload``) and read them back."""
     spark = records.sparkSession
     folder = folder or shared_folder(spark)
-    write_archives(resolve(records, least_bytes=least_bytes), folder)
+    write_archives(resolve(records, least_bytes=least_bytes), folder, date)
     return resolved_records(read_archives(spark, folder))

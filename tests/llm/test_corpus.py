@@ -187,6 +187,37 @@ def test_repeated_spans(spark):
     assert sentence_spans.remove_repeated_spans(docs.limit(0)).count() == 0
 
 
+def test_repeated_spans_among_rows_without_ids(spark):
+    passage = "This passage has a few words in it. It goes on for a while, as passages do! Does it end?"
+    rows = [(None, f"Own {k}. {passage}", "d") for k in range(40)] + [(None, f"Own 3. {passage}", "d")]
+    got = spark.createDataFrame(rows, "doc_id string, text string, doc string")
+    kept = sentence_spans.remove_repeated_spans(got).collect()
+    # One text keeps the passage; here it is in at most two rows, as one text is there twice.
+    assert sum(r.n_removed == 0 for r in kept) in (1, 2) and sum(r.n_removed in (3, 4) for r in kept) >= 39 and kept[0].doc == "d"
+    named = sentence_spans.remove_repeated_spans(spark.createDataFrame([*rows, ("x", passage, "d"), ("a", passage, "d")], got.schema)).collect()
+    assert [r.doc_id for r in named if r.n_removed == 0] == ["a"]
+    many = spark.range(10_000).selectExpr("CAST(NULL AS STRING) AS doc_id", f"concat('Own ', id, '. {passage}') AS text")
+    assert sentence_spans.remove_repeated_spans(many).where("n_removed = 0").count() == 1
+
+
+def test_archives_are_read_piece_by_piece(monkeypatch):
+    import gzip
+
+    def record(k, block):
+        return f"WARC/1.1\r\nWARC-Type: response\r\nX-Record-Key: {k}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    blocks = [b"", b"x" * 5000, b"WARC/1.1\r\n\r\n", bytes(range(256)) * 9, b"\r\n\r\n"]
+    for size in (1, 7, 1 << 20):
+        monkeypatch.setattr(warc, "PIECE_BYTES", size)
+        for data in (b"".join(map(record, range(5), blocks)), gzip.compress(b"".join(map(record, range(5), blocks))),
+                     b"".join(gzip.compress(record(k, b)) for k, b in enumerate(blocks))):
+            assert [(f["x-record-key"], b) for f, b in warc.records_in(data)] == [(str(k), b) for k, b in enumerate(blocks)]
+    assert list(warc.records_in(b"")) == []
+    for broken in (b"junk", record(1, b"abc")[:-6], gzip.compress(record(1, b"abc" * 99))[:-20]):
+        with pytest.raises(ValueError):
+            list(warc.records_in(broken))
+
+
 def test_archives(spark, tmp_path):
     body = "<p>same</p>" * 20
     rows = [(3, "http://c", body), (1, "http://a", body), (2, "http://b\r\nX: y", body + "WARC/1.1\r\n\r\n"), (4, None, None), (5, "u", "short"),
