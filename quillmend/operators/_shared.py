@@ -257,7 +257,7 @@ def grown(values: DataFrame, times: int | None = None, more: int = 0) -> int | N
 def content() -> Column:
     """A number that follows from what a value says: the order of rows that have neither position
     nor identifier, the same however the rows are partitioned."""
-    return F.xxhash64("type", "lang", "value", "uri", "value_resource_id", "is_public")
+    return F.xxhash64("type", "lang", "value", "uri", "value_resource_id", "is_public", "value_annotation_id")
 
 
 def row_order() -> list[Column]:

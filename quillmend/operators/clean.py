@@ -97,20 +97,22 @@ def deduplicate_values(values: DataFrame, *, annotation_values: DataFrame | None
                 F.col("is_public"), F.col("value_annotation_id")]
     if annotation_values is not None:
         compared += [F.col("_field"), F.col("_ordinal")]
-    named = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(compared)])
-    # Nulls are spelled out, so that a null and a neighbour's text cannot be confused.
-    print_ = F.unhex(F.sha2(F.to_json(named, {"ignoreNullFields": "false"}), 256))
-    copies = Window.partitionBy(*s.GROUP, "_print", "_hit").orderBy(
-        F.col("value_id").asc_nulls_last(), *s.row_order())
+    compared = {f"_key{i}": c for i, c in enumerate(compared)}
+    first = [F.col("value_id").asc_nulls_last(), *s.row_order()]
 
     def numbered(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_print", print_).withColumn("_copy", F.row_number().over(copies))
+        # Nulls are spelled out, so that a null and a neighbour's text cannot be confused.
+        named = F.struct(*[c.alias(name) for name, c in compared.items()])
+        whole = F.unhex(F.sha2(F.to_json(named, {"ignoreNullFields": "false"}), 256))
+        copies = Window.partitionBy(*s.GROUP, "_print").orderBy(*first)
+        return rows.withColumn("_print", whole).withColumn("_copy", F.row_number().over(copies))
 
     marked = marked.withColumn("_hit", F.coalesce(condition, F.lit(False)))
     if s.is_small(values):
-        # Numbered first, so that both windows share one shuffle.
-        placed = s.running_start(marked, s.GROUP, {}, s.row_order(), "_now", small=True)
-        kept = numbered(placed).where("_copy = 1 OR NOT _hit").select(*columns)
+        # Numbered first, so that both windows share one shuffle; then the texts themselves are compared.
+        placed = s.running_start(marked.withColumns(compared), s.GROUP, {}, s.row_order(), "_now", small=True)
+        copies = Window.partitionBy(*s.GROUP, *compared, "_hit").orderBy(first[0], "_now")
+        kept = placed.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1 OR NOT _hit").select(*columns)
     elif sel is None and s.MARK not in columns:
         kept = numbered(marked).where("_copy = 1").select(*columns)
     else:
