@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,14 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def one_row(rows: DataFrame, *keys: str, text: str) -> DataFrame:
+    """Of rows with equal keys the one of the least digest of ``text``, so that what is gathered from
+    rows of a bounded number of keys is bounded however often a key is repeated. Each task sends one
+    row of a key."""
+    first = Window.partitionBy(*keys).orderBy(digest(F.coalesce(F.col(text), F.lit(""))))
+    return rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+
+
 def words_text(text: Column) -> Column:
     """Words of a text, lower-cased and parted by one blank each: letters, marks, digits and
     underscores make words, everything else parts them. A null text is an empty one."""

@@ -15,8 +15,10 @@ length have a likeness of 0.
 Search: BANDS groups of BAND_SAMPLES samples, drawn from the first HEAD ones (which every text has at
 its own clock, and at the next one if a text of that clock can be near), are the keys of bands.
 Fingerprints of one band value are candidates, the whole fingerprints verify them, and a band returns
-a spanning forest of what it verified; large bands are cut into blocks. A pair of likeness 0.8 meets
-in some band with a probability over 0.999.
+a spanning forest of what it verified; large bands are cut into blocks. The bands look at the first 40 %
+of the clock: a pair of likeness 0.8 meets in some band with a probability over 0.999 if its edits are
+spread, and of about 0.99 if all of them lie where the bands look (the tests measure both). Texts of
+under eight characters have hardly a band that ends inside of them: they meet if they are equal.
 
 Defined cases: a null text is empty; the fingerprint of an empty text is that of a walk that sees
 nothing, and two empty texts have a likeness of 1. The bits repeat after PERIOD steps.
@@ -68,7 +70,8 @@ class Walks:
         self.steps: dict[int, np.ndarray] = {}
 
     def sampled(self, scale: int) -> np.ndarray:
-        """Sorted steps of the clock of 3 * 2**scale steps; the mean walk takes two a character."""
+        """Sorted steps of the clock of 2 * 2**scale steps; the mean walk takes two a character, and what
+        a slower one sees later is not sampled."""
         if scale not in self.steps:
             draws = mixed(np.arange(SAMPLES, dtype=np.uint64) + np.uint64(scale << 20) + np.uint64(77))
             span = max(1, 2 << scale)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmend.llm.common import word_hashes
+from quillmend.llm.common import one_row, word_hashes
 
 MAX_POSITIVE = 10_000
 MAX_UNLABELLED = 20_000
@@ -203,6 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str
     chosen = (_sample(good, max_positive).withColumn("_kind", F.lit(1))
               .unionByName(_sample(ids, max_unlabelled).distinct().withColumn("_kind", F.lit(0))))
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
+    # Of documents that share an id, one: what reaches the driver is bounded by the samples.
+    rows = one_row(rows, "_id", "_kind", text="_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

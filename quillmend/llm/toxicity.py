@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmend.llm.common import stored
+from quillmend.llm.common import one_row, stored
 
 ORDERS = (3, 4, 5, 6)
 CELLS = 1 << 20
@@ -71,9 +71,9 @@ def logistic(x: np.ndarray | float):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def chosen_cells(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
-    """Of (``cell``, ``toxic``, ``clean``) the FEATURES strongest: twice the gain is a chi-square
-    statistic; with as many tests as cells, only the strong ones tell."""
+def chosen_cells(counts: DataFrame, n_toxic: int, n_clean: int, most: int = FEATURES, strong: float = STRONG) -> DataFrame:
+    """Of (``cell``, ``toxic``, ``clean``) the ``most`` strongest: twice the gain is a chi-square
+    statistic; with as many tests as cells, only those above ``strong`` tell."""
     n = n_toxic + n_clean
     share = (F.col("toxic") + F.col("clean")) / n
     gain = F.lit(0.0)
@@ -82,8 +82,8 @@ def chosen_cells(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
         rate = (seen + 1e-9) / size
         gain = gain + seen * F.log(rate / F.greatest(share, F.lit(1e-9))) + (F.lit(size) - seen) * F.log(
             F.greatest(1 - rate, F.lit(1e-9)) / F.greatest(1 - share, F.lit(1e-9)))
-    return (counts.withColumn("_gain", gain).where(F.col("_gain") * 2 >= STRONG)
-            .orderBy(F.col("_gain").desc(), "cell").limit(FEATURES).drop("_gain"))
+    return (counts.withColumn("_gain", gain).where(F.col("_gain") * 2 >= strong)
+            .orderBy(F.col("_gain").desc(), "cell").limit(most).drop("_gain"))
 
 
 def fit(columns: np.ndarray, sizes: np.ndarray, ratio: np.ndarray, labels: np.ndarray, *, penalty: float = 1e-3,
@@ -132,12 +132,14 @@ def labelled(labels: DataFrame, label: str, id_column: str, bound: int) -> DataF
 
 
 def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "toxic",
-          id_column: str = "doc_id", max_labelled: int = MAX_LABELLED, smoothing: float = 1.0) -> Model:
-    """Fit to the documents that ``labels`` marks. Cells are counted and chosen on the executors; the
+          id_column: str = "doc_id", max_labelled: int = MAX_LABELLED, smoothing: float = 1.0,
+          most_features: int = FEATURES, strong: float = STRONG) -> Model:
+    """Fit to the documents that ``labels`` marks; of documents that share an id, to one. The model has the
+    ``most_features`` cells that tell most of those whose chi-square is at least ``strong``. Cells are counted and chosen on the executors; the
     driver gets the chosen ones, and of each text of the bounded sample which of them it has."""
     sample = labelled(labels, label, id_column, max_labelled)
-    rows = stored(docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id")
-                  .select(F.xxhash64("_id").alias("_id"), F.col("_label").cast("boolean").cast("int").alias("_label"), "_text"))
+    rows = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id")
+    rows = stored(one_row(rows, "_id", text="_text").select(F.xxhash64("_id").alias("_id"), F.col("_label").cast("boolean").cast("int").alias("_label"), "_text"))
     sizes = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
@@ -157,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str
 
     counts = rows.mapInArrow(count, "cell int, toxic long, clean long").groupBy("cell").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    chosen = chosen_cells(counts, n_toxic, n_clean).toArrow().sort_by("cell")  # FEATURES rows at most
+    chosen = chosen_cells(counts, n_toxic, n_clean, most_features, strong).toArrow().sort_by("cell")  # most_features rows at most
     features, p, q = (chosen.column(c).to_numpy().astype(np.int64) for c in ("cell", "toxic", "clean"))
     ratio = np.log((p + smoothing) / (n_toxic + 2 * smoothing)) - np.log((q + smoothing) / (n_clean + 2 * smoothing))
 

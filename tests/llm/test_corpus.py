@@ -276,6 +276,30 @@ def test_edited_texts_and_their_likeness(spark):
     assert edit_embedding.likeness(a, b) > 0.6
 
 
+@pytest.mark.parametrize("spread, least", [(True, 0.995), (False, 0.98)])
+def test_recall_of_the_bands(spread, least):
+    """Pairs of likeness just above 0.8, with edits all over and with edits in the first quarter alone."""
+    rng = random.Random(6)
+    met = tried = 0
+    texts = []
+    for _ in range(1500):
+        text = "".join(rng.choices("abcdefghij klmnop", k=600))
+        other = list(text)
+        for _ in range(rng.randrange(3, 20)):
+            at = rng.randrange(len(other) if spread else 150)
+            other[at] = rng.choice(["", "x", "yz"])
+        texts += [text, "".join(other)]
+    prints = edit_embedding.fingerprints([edit_embedding.code_points(t) for t in texts])
+    raw = [edit_embedding.parsed(edit_embedding.shown(p)) for p in prints]
+    for k in range(0, len(raw), 2):
+        a, b = raw[k:k + 1], raw[k + 1:k + 2]
+        if 0.8 <= edit_embedding.likeness(prints[k], prints[k + 1]) < 0.86:
+            tried += 1
+            (keys, told), (others, told_too) = (edit_embedding.bands(np.array(x)) for x in (a, b))
+            met += bool(set(keys[told].tolist()) & set(others[told_too].tolist()))
+    assert tried > 50 and met >= least * tried, (met, tried)
+
+
 def test_fingerprints_on_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "a", "b", "c"), (2, "", "a", "b", "c"), (5, "same text", "a", "b", "c"), (5, "same text", "a", "b", "c"),
                                   (None, "last", None, None, None)], EXTRA)
@@ -304,3 +328,42 @@ def test_pipeline(spark):
         out = stage(spark, odd, FOLDER)
         assert {r.doc_id for r in out.collect()} == {1, 2, None} or name == "near_duplicates"
     assert stages["near_duplicates"](spark, odd.limit(0), FOLDER).count() == 0
+
+
+def test_pipeline_end_to_end(spark):
+    """The rows of run() against what each stage must have done, judged by brute force."""
+    import public_tokenizers
+    import sentencepiece
+
+    rows = corpus_pipeline.run(spark, FOLDER).collect()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    assert len({r.doc_id for r in rows}) == len(rows) and all((r.lang, r.source) == (docs[r.doc_id].lang, docs[r.doc_id].source) for r in rows)
+    # Quality: of the labelled documents, hardly a bad one is left, and good ones are there if no near copy is.
+    kept = {r.doc_id for r in rows}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+    assert sum(labels.get(i) == 0 for i in kept) <= 0.03 * len(kept)
+    # Near duplicates: no two originals that are left are linked.
+    texts = {i: docs[i].text for i in kept}
+    links, _ = brute_links(texts)
+    assert not any(links[i] for i in kept)
+    # Decontamination: no whole benchmark item is in what is left.
+    items = [" ".join(words(r.text)) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    for text in texts.values():
+        flat = " ".join(words(text))
+        assert not any(item and f" {item} " in f" {flat} " for item in items)
+    # Personal data: addresses and long hexadecimal secrets of the originals are gone; clean texts are as they were.
+    changed = 0
+    for r in rows:
+        original = docs[r.doc_id].text
+        for found in re.findall(r"[\w.+-]+@[\w-]+\.[\w.-]*\w|\b[0-9a-f]{32,}\b", original):
+            assert found not in r.text
+        changed += r.text != original
+        if not re.search(r"[0-9@]|(?i:token|secret|password|passwd|pwd|key)|[a-fA-F]{32}|\\b[A-ZА-ЯΑ-Ω]\\w*[. ]+[A-ZА-ЯΑ-Ω]|[хо]сп|κύρι", original):
+            assert r.text == original
+        assert r.n_chars == len(r.text)
+    assert 0 < changed < len(rows)
+    # Encoding: as the library does.
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for r in rows[::7]:
+        ids = sp.encode(r.text, add_bos=True, add_eos=True)
+        assert list(r.ids) == ids and r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
