@@ -166,7 +166,8 @@ def matches(docs: DataFrame, items: DataFrame, *, text: str = "text", item_text:
     mine = blocks(prints.select("window", "low", "high"), 0)
     theirs = blocks(unique.select("item", "low", "high"), RADIUS // BLOCKS).withColumnsRenamed({"low": "item_low", "high": "item_high"})
     apart = F.bit_count(F.col("low").bitwiseXOR(F.col("item_low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("item_high")))
-    near = mine.join(theirs, ["block", "value"]).where(apart <= RADIUS).select("window", "item").distinct()
+    # Sorted and merged: the items' block values are hundreds for each item, which estimates do not see.
+    near = mine.join(theirs.hint("merge"), ["block", "value"]).where(apart <= RADIUS).select("window", "item").distinct()
     judged = (near.join(prints.select("window", "words"), "window").join(unique.select("item", F.col("words").alias("item_words")), "item")
               .select("window", "item", similarity(spelled_shingles(F.col("words")), spelled_shingles(F.col("item_words"))).alias("similarity"))
               .where(F.col("similarity") >= threshold))
