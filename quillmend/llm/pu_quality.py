@@ -216,13 +216,27 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str
     rows = rows.withColumn("_id", F.xxhash64("_id"))
     got = rows.mapInArrow(run, "_id long, _kind int, _x binary").toArrow()
     kinds, order = got.column("_kind").to_numpy(), np.argsort(got.column("_id").to_numpy(), kind="stable")
-    x = np.empty((got.num_rows, WIDTH), np.float16)
-    filled = 0
-    for part in got.column("_x").chunks:
-        x[filled:filled + len(part)] = np.frombuffer(b"".join(part.to_pylist()), np.float16).reshape(-1, WIDTH)
-        filled += len(part)
+    # Each row goes to its place of its sample at once, out of the buffers that came.
+    place = np.empty(len(order), np.int64)
+    for kind in (0, 1):
+        own = order[kinds[order] == kind]
+        place[own] = np.arange(len(own))
+    samples = [np.empty((int((kinds == kind).sum()), WIDTH), np.float16) for kind in (0, 1)]
+    chunks, filled = got.column("_x").chunks, 0
     del got
-    return fit(x[order[kinds[order] == 1]], x[order[kinds[order] == 0]], prior=prior)
+    while chunks:
+        part = chunks.pop(0)
+        held = np.frombuffer(part.buffers()[2], np.float16) if len(part) else np.empty(0, np.float16)
+        begin = np.frombuffer(part.buffers()[1], np.int32)[part.offset] // 2 if len(part) else 0
+        rows_here = held[begin:begin + len(part) * WIDTH].reshape(-1, WIDTH)
+        for kind in (0, 1):
+            mine = np.flatnonzero(kinds[filled:filled + len(part)] == kind)
+            samples[kind][place[filled + mine]] = rows_here[mine]
+        filled += len(part)
+        del part, held, rows_here
+    pa.default_memory_pool().release_unused()
+    # Handed over: nothing here keeps them.
+    return fit(samples.pop(), samples.pop(), prior=prior)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
