@@ -41,6 +41,9 @@ from pyspark.sql import types as T
 from quillmend.llm.common import digest, mixed, shingle_hashes, stored, words_text
 
 BLOCK_NODES = 1024
+# Sets are intersected in matrices: blocks of fewer nodes, so many columns at a time.
+VERIFIED_NODES = 512
+VERIFIED_COLUMNS = 4096
 BLOCK_CHARS = 4_000_000
 
 
@@ -334,7 +337,7 @@ def _classes(docs: DataFrame, text: str, id_column: str, shingle: int, threshold
     inside = near.union(near.select(F.col("root").alias("node"), "root").distinct())
     sized = inside.join(copies.where("_chars > 0"), "node")
     blocks = sized.groupBy("root").agg(F.greatest(
-        F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum(F.col("_chars").cast("long")) / BLOCK_CHARS)).cast("int").alias("_blocks"))
+        F.ceil(F.count("*") / VERIFIED_NODES), F.ceil(F.sum(F.col("_chars").cast("long")) / BLOCK_CHARS)).cast("int").alias("_blocks"))
     sized = stored(sized.join(blocks, "root").select("node", "root", "_n", "_blocks", F.col("_rep").alias("_id")))
     # Sorted and merged at every size: the candidates grow with the documents.
     # The row of the least id stands for a text, of texts without any id one row.
@@ -396,7 +399,7 @@ def linked_pairs(sets: list[np.ndarray], threshold: float, side: np.ndarray | No
     owner, column = owner[often], column[often]
     column = np.cumsum(np.append(True, column[1:] != column[:-1])) - 1 if len(column) else column
     common = np.zeros((n, n), np.float32)
-    width = 8192
+    width = VERIFIED_COLUMNS
     edges = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + width, width))
     for lo, hi in zip(edges[:-1], edges[1:]):
         if hi > lo:

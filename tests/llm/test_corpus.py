@@ -62,6 +62,8 @@ def test_similarity_join_finds_every_link(spark):
 def test_similarity_join_in_blocks(spark, monkeypatch):
     """A group larger than a block, with exact copies: all pairs are still judged."""
     monkeypatch.setattr(minhash_forest, "BLOCK_NODES", 8)
+    monkeypatch.setattr(minhash_forest, "VERIFIED_NODES", 8)
+    monkeypatch.setattr(minhash_forest, "VERIFIED_COLUMNS", 16)
     base = [f"w{k}" for k in range(200)]
     texts = {k: " ".join(base[:190] + [f"v{k % 30}"] + base[190:]) for k in range(60)} | {100: "other words here", 101: ""}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
