@@ -29,6 +29,9 @@ WAS = "_was"
 # many tasks where rows meet the selection.
 HOT_SHARE, HOT_SPREAD = 1000, 64
 
+# Up to this limit, the first rows of a property are chosen in each task before they are shuffled.
+TOP_ROWS = 128
+
 ALL = "all"
 
 GROUP = ["resource_id", "property"]
@@ -339,20 +342,37 @@ def close_up(values: DataFrame) -> DataFrame:
     return placed(numbered, values.columns, group_rows(values))
 
 
+def limit_order(limit: int) -> list[Column]:
+    """Order in which the first rows of a property are counted (the last ones when negative)."""
+    if limit > 0:
+        return row_order()
+    return [F.col("pos").desc_nulls_first(), F.col("value_id").desc_nulls_first(), content().desc()]
+
+
 def first_rows(df: DataFrame, limit: int) -> DataFrame:
     """Mark as ``_within`` the first `limit` of the ``_hit`` rows of each property (the last
     ones when negative)."""
-    if limit > 0:
-        ordered, block = row_order(), row_block()
-    else:
-        ordered = [F.col("pos").desc_nulls_first(), F.col("value_id").desc_nulls_first(), content().desc()]
-        block = -row_block()
     miss = ~F.col("_hit")
-    numbered = running_start(df, GROUP, {"_miss": miss, "_block": block}, ordered, "_rank",
+    block = row_block() if limit > 0 else -row_block()
+    numbered = running_start(df, GROUP, {"_miss": miss, "_block": block}, limit_order(limit), "_rank",
                              small=is_small(df), lead_order=[miss])
     return numbered.withColumn("_within", F.col("_hit") & (F.col("_rank") < abs(limit))).drop("_rank")
 
 
+def only_first(df: DataFrame, limit: int) -> DataFrame:
+    """The rows that `first_rows` marks when all are hit, without the others.
+
+    Each task drops what is beyond the limit of its own rows before the shuffle, so a hot group sends
+    no more than the limit from each task. Limits above TOP_ROWS, or above Spark's own threshold for
+    that, are numbered in blocks.
+    """
+    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if abs(limit) > min(TOP_ROWS, threshold):
+        return first_rows(df, limit).where("_within").drop("_within")
+    rank = F.row_number().over(Window.partitionBy(*GROUP).orderBy(*limit_order(limit)))
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= abs(limit)).drop("_rank")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint in the folder the cluster names."""
     context = df.sparkSession.sparkContext

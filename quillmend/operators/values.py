@@ -423,11 +423,15 @@ def remove_values(values: DataFrame, properties, *, keep_max_values: int | None
     hit = condition & s.matches(payload=s.main_payload(types),
                                 main=types.main_column(F.col("type")), **flt)
     limit = keep_max_values or max_values
-    if limit:
+    whole = renumber and s.is_small(values)
+    if keep_max_values and not whole and not s.in_chain():
+        # Only matching rows arrive, and those beyond the limit go.
+        kept = s.divert(marked, hit, lambda rows: s.only_first(rows, limit), values.columns)
+    elif limit:
         spared = F.col("_within") if keep_max_values else ~F.col("_within")
         kept = s.divert(
             marked, hit, lambda rows: s.first_rows(rows, limit).where(~F.col("_hit") | spared),
-            values.columns, whole=renumber and s.is_small(values))
+            values.columns, whole=whole)
     else:
         kept = marked.where(~F.coalesce(hit, F.lit(False))).select(*values.columns)
     return s.close_up(kept) if renumber else kept

@@ -360,6 +360,30 @@ def test_duplicates_shrink_before_the_shuffle(spark, tmp_path):
         assert sorted(r.resource_id for r in q.deduplicate_values(given, sel=[2]).collect()) == [1, 1, 1, 1, 2]
 
 
+@pytest.mark.parametrize("limit", [1, 3, -3, 200])
+def test_kept_rows_are_chosen_before_the_shuffle(spark, tmp_path, limit):
+    """A hot property sends no more than the limit from a task; equal rows each count."""
+    data = [dict(value=f"v{i % 7}", value_id=None if i % 3 == 0 else i, pos=None if i % 2 else i // 2,
+                 property="p" if i % 5 else "q") for i in range(400)]
+    data += [dict(value="same", value_id=None, pos=None, resource_id=2) for _ in range(9)]
+    table(spark, data).repartition(5).write.parquet(str(tmp_path / "v"))
+    values = spark.read.parquet(str(tmp_path / "v"))
+    kept = q.remove_values(values, ["p"], keep_max_values=limit, renumber=False)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert ("WindowGroupLimit" in plan) == (abs(limit) <= _shared.TOP_ROWS), plan
+    measured = q.remove_values(q.measure_groups(values), ["p"], keep_max_values=limit)
+    assert rows(q.remove_values(values, ["p"], keep_max_values=limit)) == rows(measured)
+
+    def order(row):
+        return (row.pos is None, row.pos or 0, row.value_id is None, row.value_id or 0)
+
+    for record in (1, 2):
+        have = sorted((order(r) for r in values.collect() if r.resource_id == record and r.property == "p"), reverse=limit < 0)
+        got = sorted((order(r) for r in kept.collect() if r.resource_id == record and r.property == "p"), reverse=limit < 0)
+        assert got == have[:abs(limit)]
+    assert kept.where("property = 'q'").count() == 80
+
+
 def test_no_exchange_in_row_local_edits(spark, tmp_path):
     table(spark, [dict(value="a")]).write.parquet(str(tmp_path / "v"))
     values = spark.read.parquet(str(tmp_path / "v"))
