@@ -1086,8 +1086,8 @@ def _saved_records(documents: DataFrame) -> DataFrame:
 
 def _stream_clean(t: Tables) -> DataFrame:
     folder = f"{shared_folder(t.spark)}/on-write-{_unique()}"
-    stream = (t.spark.readStream.schema(t.documents.schema)
-              .option("pathGlobFilter", "documents.parquet").parquet(t.folder))
+    # A pattern that matches one name: a plain path may be no single file, a filter of names sees no folder.
+    stream = t.spark.readStream.schema(t.documents.schema).parquet(f"{t.folder}/[d]ocuments.parquet")
     q.start_cleaning(_saved_records(stream), t.resources, q.parquet_sink(f"{folder}/out"),
                      f"{folder}/state", deduplicate=True).awaitTermination()
     return t.spark.read.parquet(f"{folder}/out").select(
