@@ -124,7 +124,7 @@ def deduplicate_values(values: DataFrame, *, annotation_values: DataFrame | None
 
 def _with_annotation_part(values: DataFrame, annotation_values: DataFrame) -> DataFrame:
     parts = annotation_values.select(
-        F.col("id").alias("value_id"), F.lit(0).alias("_spread"),
+        F.col("id").alias("value_id"), s.zero("id").alias("_spread"),
         F.lower("field").alias("_field"), F.col("ordinal").alias("_ordinal"))
     # Unsaved rows have no id: a second key spreads them over the tasks of the join.
     spread = F.when(F.col("value_id").isNull(), F.hash("resource_id", "property", "pos"))

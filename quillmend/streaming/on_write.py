@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillmend import schema
 from quillmend.functions import text
+from quillmend.operators._shared import zero
 
 
 def _trimmed(c: Column) -> Column:
@@ -64,7 +65,7 @@ def clean_values_on_write(values: DataFrame, resources: DataFrame) -> DataFrame:
     # Values that are no links have no key; they are spread over the tasks of the join.
     spread = F.when(link.isNull(), F.hash("resource_id", "property", "value")).otherwise(F.lit(0))
     joined = trimmed.withColumns({"_to": link, "_spread": spread}).join(
-        kinds.withColumn("_none", F.lit(0)),
+        kinds.withColumn("_none", zero("_link")),
         (F.col("_to") == F.col("_link")) & (F.col("_spread") == F.col("_none")), "left")
     return joined.withColumn("type", F.coalesce("_kind", "type")).select(*values.columns)
 
