@@ -56,10 +56,13 @@ def text_or_none(parameter: str | None) -> str | None:
     return parameter or None
 
 
-def specify_datatypes(values: DataFrame, resources: DataFrame, *, sel=None) -> DataFrame:
+def specify_datatypes(values: DataFrame, resources: DataFrame, *, sel=None,
+                      linked: DataFrame | None = None) -> DataFrame:
     """Give generic links the precise type of the record they point to.
 
-    Only generic links are shuffled to the records; a link without a record keeps its type.
+    Only generic links are shuffled to the records; a link without a record keeps its type. `linked`
+    is a values table that holds all links of `values`, as the one a chain starts from does while no
+    edit makes new links: where they point to few records, no row is shuffled.
     """
     marked, condition = s.selected(values, sel)
     generic = condition & (F.col("type") == "resource") & F.col("value_resource_id").isNotNull()
@@ -68,6 +71,8 @@ def specify_datatypes(values: DataFrame, resources: DataFrame, *, sel=None) -> D
         kinds = resources.select(
             F.col("id").alias("_record"),
             schema.mapped(F.col("resource_name"), schema.LINK_TYPES).alias("_kind"))
+        if linked is not None:
+            kinds = s.few_asked(kinds, "_record", linked.select("value_resource_id"))
         joined = s.lookup(links, F.col("value_resource_id"), kinds, "_record")
         return joined.withColumn("type", F.coalesce(F.col("_kind"), F.col("type")))
 
@@ -82,10 +87,12 @@ def deduplicate_values(values: DataFrame, *, annotation_values: DataFrame | None
 
     Equal values have equal prints of 256 bits, so rows shuffle by a print and carry their texts
     once. Each task keeps the first row of a print before the shuffle, so a value repeated a
-    billion times sends one row per task. A measured table without hot groups is partitioned as
-    numbering wants it instead. Rows outside the selection all stay.
+    billion times sends one row per task. A table without hot groups is partitioned as numbering
+    wants it instead; one that is renumbered is measured for that. Rows outside the selection all stay.
     """
-    columns = values.columns
+    columns, bound = values.columns, s.group_rows(values)
+    if renumber:
+        values = s.measured(values)
     marked, condition = s.selected(values, sel)
     if annotation_values is not None:
         marked = _with_annotation_part(marked, annotation_values)
@@ -100,18 +107,19 @@ def deduplicate_values(values: DataFrame, *, annotation_values: DataFrame | None
     compared = {f"_key{i}": c for i, c in enumerate(compared)}
     first = [F.col("value_id").asc_nulls_last(), *s.row_order()]
 
+    # Nulls are spelled out, so that a null and a neighbour's text cannot be confused.
+    named = F.struct(*[c.alias(name) for name, c in compared.items()])
+    whole = F.unhex(F.sha2(F.to_json(named, {"ignoreNullFields": "false"}), 256))
+
     def numbered(rows: DataFrame) -> DataFrame:
-        # Nulls are spelled out, so that a null and a neighbour's text cannot be confused.
-        named = F.struct(*[c.alias(name) for name, c in compared.items()])
-        whole = F.unhex(F.sha2(F.to_json(named, {"ignoreNullFields": "false"}), 256))
         copies = Window.partitionBy(*s.GROUP, "_print").orderBy(*first)
         return rows.withColumn("_print", whole).withColumn("_copy", F.row_number().over(copies))
 
     marked = marked.withColumn("_hit", F.coalesce(condition, F.lit(False)))
     if s.is_small(values):
-        # Numbered first, so that both windows share one shuffle; then the texts themselves are compared.
-        placed = s.running_start(marked.withColumns(compared), s.GROUP, {}, s.row_order(), "_now", small=True)
-        copies = Window.partitionBy(*s.GROUP, *compared, "_hit").orderBy(first[0], "_now")
+        # Numbered first, so that both windows share one shuffle.
+        placed = s.running_start(marked.withColumn("_print", whole), s.GROUP, {}, s.row_order(), "_now", small=True)
+        copies = Window.partitionBy(*s.GROUP, "_print", "_hit").orderBy(first[0], "_now")
         kept = placed.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1 OR NOT _hit").select(*columns)
     elif sel is None and s.MARK not in columns:
         kept = numbered(marked).where("_copy = 1").select(*columns)
@@ -119,7 +127,7 @@ def deduplicate_values(values: DataFrame, *, annotation_values: DataFrame | None
         kept = numbered(marked.where("_hit")).where("_copy = 1").select(*columns).unionByName(
             marked.where("NOT _hit").select(*columns))
     kept = s.stamp(kept, s.group_rows(values))
-    return s.close_up(kept) if renumber else kept
+    return s.stamp(s.close_up(kept), bound) if renumber else kept
 
 
 def _with_annotation_part(values: DataFrame, annotation_values: DataFrame) -> DataFrame:

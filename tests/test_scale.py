@@ -53,3 +53,92 @@ def test_rows_without_a_key_are_spread_in_a_lookup(spark):
         assert [line for line in shuffles(found) if "_wanted" in line and "_spread" in line], shuffles(found)
         assert sorted((r["value"], r["name"]) for r in found.collect()) == [
             ("0", None), ("1", "one"), ("2", None), ("3", None), ("4", None)]
+
+
+def test_unmeasured_values_are_deduplicated_in_one_shuffle(spark):
+    data = [dict(resource_id=i % 3, value=f"v{i % 4}", pos=None) for i in range(24)]
+    with no_broadcast(spark):
+        done = q.deduplicate_values(table(spark, data))
+        assert len(shuffles(done)) == 1, shuffles(done)
+        assert s.group_rows(done) is None
+        assert [(r["resource_id"], r["pos"]) for r in done.orderBy("resource_id", "pos").collect()] == [
+            (i, k) for i in range(3) for k in range(4)]
+
+
+def test_unmeasured_values_get_positions_without_a_join(spark):
+    from quillmend.sources.tables import with_positions
+
+    values = table(spark, [dict(resource_id=i % 3, pos=None) for i in range(9)])
+    with no_broadcast(spark):
+        done = with_positions(values)
+        assert len(shuffles(done)) == 1 and "Join" not in done._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["pos"] for r in done.collect()) == [0, 0, 0, 1, 1, 1, 2, 2, 2]
+
+
+CHAIN = {"explode": {"properties": ["p"], "separator": ";"},
+         "cleaning": {"trim_values": True, "specify_datatypes": True, "deduplicate_values": True}}
+
+
+def linked_tables(spark, tmp_path):
+    data = [dict(resource_id=i % 4, value="a; b;a") for i in range(8)] + [
+        dict(resource_id=i, property="link", type="resource", value_resource_id=100 + i) for i in range(4)]
+    table(spark, data).write.parquet(str(tmp_path / "v"))
+    resources = spark.createDataFrame([(100, "items"), (101, "media"), (7, "items")], "id LONG, resource_name STRING")
+    resources.write.parquet(str(tmp_path / "r"))
+    return {"values": spark.read.parquet(str(tmp_path / "v")), "resources": spark.read.parquet(str(tmp_path / "r"))}
+
+
+def test_chain_with_a_lookup_shuffles_rows_once(spark, tmp_path, monkeypatch):
+    t = linked_tables(spark, tmp_path)
+    with no_broadcast(spark):
+        done = q.run_pipeline(t, CHAIN)["values"]
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        wide = [line for line in shuffles(done) if "resource_id" in line]
+        assert len(wide) == 1 and "SortMergeJoin" not in plan, plan
+        few = rows(done)
+        assert sorted(r["type"] for r in done.where("property = 'link'").collect()) == [
+            "resource", "resource", "resource:item", "resource:media"]
+        # Many links: the rows meet the records in a shuffle.
+        monkeypatch.setattr(s, "FEW_KEYS", 1)
+        many = q.run_pipeline(t, CHAIN)["values"]
+        assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+        assert rows(many) == few
+        # Records with many rows: the chain is not dealt by records.
+        monkeypatch.setattr(s, "BLOCK_ROWS", 2)
+        assert rows(q.run_pipeline(t, CHAIN)["values"]) == few
+
+
+def test_links_made_by_an_edit_are_looked_up(spark, tmp_path):
+    t = linked_tables(spark, tmp_path)
+    made = {"create_values": {"properties": "new", "datatype": "resource", "value_resource_id": 7},
+            "cleaning": {"specify_datatypes": True}}
+    done = q.run_pipeline(t, made)["values"].where("property = 'new'")
+    assert {(r["value_resource_id"], r["type"]) for r in done.collect()} == {(7, "resource:item")}
+
+
+def test_documents_of_small_records_take_one_shuffle(spark, monkeypatch):
+    data = [dict(resource_id=i % 5, property="pq"[i % 2], value=f"v{i}") for i in range(40)]
+    values = table(spark, data)
+    with no_broadcast(spark):
+        documents = q.to_jsonld(values, part_rows=2)
+        assert len(shuffles(documents)) == 1, shuffles(documents)
+        assert rows(q.from_jsonld(documents)) == rows(values)
+        small = rows(documents)
+        monkeypatch.setattr(s, "BLOCK_ROWS", 4)
+        assert rows(q.to_jsonld(values, part_rows=2)) == small
+
+
+def test_values_to_write_back_are_computed_once(spark, tmp_path):
+    folder = str(tmp_path / "b")
+    values = table(spark, [dict(resource_id=i, value=f"v{i}") for i in range(20)])
+    q.write_buckets(values, folder, 4)
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(value):
+        seen.add(1)
+        return value + "x"
+
+    edited = q.read_buckets(spark, folder).withColumn("value", F.udf(told)("value"))
+    q.write_changed(edited, folder)
+    assert seen.value == 20
+    assert sorted(r["value"] for r in q.read_buckets(spark, folder).collect()) == sorted(f"v{i}x" for i in range(20))
