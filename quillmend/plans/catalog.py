@@ -1299,7 +1299,7 @@ def curation_report(t: Tables) -> DataFrame:
     with q.chain(stored):
         values = q.trim_values(stored, renumber=False)
         values = q.explode_values(values, ["dcterms:subject"], ";")
-        values = q.specify_datatypes(values, t.resources)
+        values = q.specify_datatypes(values, t.resources, linked=stored)
         values = q.deduplicate_values(values, renumber=False)
     return values.groupBy("property", "type", "lang").agg(
         F.count(F.lit(1)).alias("n_values"), F.count_if(F.col("is_public")).alias("n_public"),

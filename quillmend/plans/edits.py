@@ -31,6 +31,7 @@ CLEANING = ("trim_values", "specify_datatypes", "clean_empty_values", "clean_lan
 ITEM_EDITS = ("media_remove", "media_order", "explode_item", "page_manifest")
 MEDIA_EDITS = ("media_html", "media_source", "media_type", "media_visibility")
 NUMBERING_EDITS = ("copy", "displace", "explode", "merge", "order_values", "explode_item")
+GAP_EDITS = ("replace", "remove", "trim_values", "deduplicate_values")
 KINDS = ("items", "media", "item_sets", "annotations")
 
 
@@ -381,9 +382,14 @@ def run_pipeline(tables: Mapping[str, DataFrame], spec: Mapping, *, sel=None,
         s.choice("kind", kind, KINDS)
     t = dict(tables)
     before = t["values"]
-    if s.group_rows(before) is None:
-        before = t["values"] = s.measure_groups(before)
     edits = [e for e in normalise(spec) if _in_reach(e.name, kind)]
+    if s.group_rows(before) is None:
+        group, record = s.largest_record(before)
+        before = t["values"] = s.stamp(before, group)
+        names = {e.name for e in edits}
+        if record <= s.BLOCK_ROWS and names & {*NUMBERING_EDITS, *GAP_EDITS} and "explode_item" not in names:
+            # Every record fits in one task: dealt by records once, no edit shuffles the rows again.
+            t["values"] = s.stamp(before.repartition("resource_id"), group)
     sel = _selection(t["resources"], sel, kind)
     by = "id" if kind == "media" else "item_id"
     if isinstance(sel, DataFrame):
@@ -394,16 +400,17 @@ def run_pipeline(tables: Mapping[str, DataFrame], spec: Mapping, *, sel=None,
     counts = EditCounts(before.sparkSession) if count_edits else None
     if counts is not None:
         counts.start(t)
+    links_stay = not any(_makes_links(e, types) for e in edits)
     gaps, read_twice = False, False
     with s.chain(before):
         for number, step in enumerate(edits, 1):
             if gated and step.name in BATCH_EDITS:
                 t["values"], gated = t["values"].drop(s.GATE), False
-            gaps |= step.name in ("replace", "remove", "trim_values", "deduplicate_values")
+            gaps |= step.name in GAP_EDITS
             if _reads_twice(step, t["values"]):
                 t["values"] = _single_read(t["values"], read_twice)
                 read_twice = True
-            _apply(step, t, sel, by, types)
+            _apply(step, t, sel, by, types, before if links_stay else None)
             if counts is not None:
                 counts.step(number, step.name, t)
         t["values"] = t["values"].drop(s.GATE, s.MARK, s.WAS)
@@ -440,6 +447,12 @@ def _reads_twice(step: Edit, values: DataFrame) -> bool:
     return step.name == "explode_item" or bool(numbers and not s.is_small(values))
 
 
+def _makes_links(step: Edit, types: schema.DataTypes) -> bool:
+    """The edit may add links to records that no value pointed to."""
+    kind = {"create_values": "datatype", "convert": "to"}.get(step.name)
+    return kind is not None and types.main(step.params[kind]) == "resource"
+
+
 def _single_read(values: DataFrame, read_twice: bool) -> DataFrame:
     """Values that an edit may read twice although an edit before it did so too. The stored
     table is measured again: it may hold no hot group after all."""
@@ -460,7 +473,7 @@ def _selection(resources: DataFrame, sel, kind: str | None):
         F.col("id").alias("resource_id"))
 
 
-def _apply(step: Edit, t: dict, sel, by: str, types: schema.DataTypes) -> None:
+def _apply(step: Edit, t: dict, sel, by: str, types: schema.DataTypes, linked: DataFrame | None) -> None:
     p, v, r, m = step.params, t["values"], t["resources"], t.get("media")
     name = step.name
     if name == "create_values":
@@ -509,7 +522,7 @@ def _apply(step: Edit, t: dict, sel, by: str, types: schema.DataTypes) -> None:
     elif name == "trim_values":
         t["values"] = clean.trim_values(v, sel=sel, renumber=False)
     elif name == "specify_datatypes":
-        t["values"] = clean.specify_datatypes(v, r, sel=sel)
+        t["values"] = clean.specify_datatypes(v, r, sel=sel, linked=linked)
     elif name == "clean_empty_values":
         t["values"] = clean.clean_empty_values(v, sel=sel)
     elif name == "clean_languages":
