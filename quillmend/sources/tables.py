@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillmend import schema
@@ -83,7 +84,7 @@ def _write(values: DataFrame, folder: str, buckets: int, mode: str) -> None:
     # By ranges: the bucket of a record larger than a partition is written by several tasks.
     order = ["bucket", "resource_id", "property", "pos"]
     (placed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode)
-     .option("partitionOverwriteMode", "dynamic").partitionBy("buckets", "bucket").parquet(folder))
+     .option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("buckets", "bucket").parquet(folder))
 
 
 def _prints(values: DataFrame, name: str) -> DataFrame:
@@ -110,7 +111,16 @@ def write_changed(values: DataFrame, folder: str) -> DataFrame:
     if known is None:
         raise ValueError(f"no table of buckets in {folder}")
     buckets = known[0]
-    values = conform(values, "values")
+    # Compared, sampled and written, but computed once.
+    values = conform(values, "values").persist(StorageLevel.DISK_ONLY)
+    try:
+        return _write_changed(values, before, folder, buckets)
+    finally:
+        values.unpersist()
+
+
+def _write_changed(values: DataFrame, before: DataFrame, folder: str, buckets: int) -> DataFrame:
+    spark = values.sparkSession
     prints = _prints(before, "old").join(_prints(values.withColumn("bucket", _bucket(buckets)), "new"), "bucket", "full")
     changed = prints.where(~F.col("old").eqNullSafe(F.col("new"))).select(
         "bucket", F.coalesce("old.rows", F.lit(0)).alias("rows_before"), F.coalesce("new.rows", F.lit(0)).alias("rows_after")).collect()
