@@ -200,7 +200,7 @@ class Level:
         context = keys >> (8 * (DEPTH + 1 - depth))
         nxt = keys & 0xFF
         nodes = np.stack([(context << 8) | (1 << b) | (nxt >> (8 - b)) for b in range(8)])
-        self.bit = np.stack([(nxt >> (7 - b)) & 1 for b in range(8)])
+        self.bit = np.stack([((nxt >> (7 - b)) & 1).astype(np.int8) for b in range(8)])
         self.nodes, at = np.unique(nodes, return_inverse=True)
         self.at = at.reshape(nodes.shape)
         weight = np.broadcast_to(n, nodes.shape)
@@ -236,7 +236,7 @@ def lower_levels(keys: np.ndarray, n: np.ndarray) -> list[Level]:
     return levels
 
 
-def whole_contexts(batches: Iterator[pa.RecordBatch], least: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def whole_contexts(batches: Iterator[pa.RecordBatch], least: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Keys and counts of a partition sorted by key, cut between two-byte contexts."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
