@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +109,7 @@ class PieceEncoder:
         self.cuts_lines = not crosses
         self.after_line = sp.encode("\n") if not crosses else []
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def segments(self, text: str) -> list[str]:
@@ -115,17 +117,22 @@ class PieceEncoder:
 
     def learn(self, segments: set[str]) -> None:
         """Encode the segments that are not in the cache, and check them with the library."""
-        new = [s for s in segments if s not in self.cache]
-        if self.held > CACHE_BYTES:
-            self.cache.clear()
-            self.held, new = 0, list(segments)
+        if self.held > CACHE_BYTES // 2:
+            # The older half is forgotten; what is asked for again moves to the newer one.
+            self.older, self.cache, self.held = self.cache, {}, 0
+        asked = segments - self.cache.keys()
+        again = asked & self.older.keys()
+        new = list(asked - again)
+        # A text, some ids as bytes and a place in the table.
+        self.held += sum(map(len, asked)) * 3 + 220 * len(asked)
+        self.cache.update((s, self.older[s]) for s in again)
         if not new:
             return
-        # A text, some ids as bytes and a place in the table.
-        self.held += sum(map(len, new)) * 3 + 220 * len(new)
         coded = self.encode_segments(new)
         self.check(new, coded)
-        self.cache.update(zip(new, (np.array(x, "<u4").tobytes() for x in coded)))
+        flat = np.fromiter(chain.from_iterable(coded), "<u4").tobytes()
+        ends = [4 * n for n in accumulate(map(len, coded))]
+        self.cache.update((s, flat[a:b]) for s, a, b in zip(new, [0, *ends], ends))
 
     def check(self, segments: list[str], coded: list[list[int]]) -> None:
         """The library adds a blank in front of a text; a segment without one is shown to it

@@ -15,3 +15,26 @@ def test_trees_are_built_from_few_runs_at_a_time():
     assert max(len(k) for k, _ in pieces) <= 60_000
     two = [set((k >> 8 * (ct.DEPTH - 1)).tolist()) for k, _ in pieces]
     assert all(not a & b for a, b in zip(two, two[1:]))
+
+
+def test_frequent_segments_outlast_rare_ones(monkeypatch):
+    import public_tokenizers
+
+    from quillmend.llm import piece_bpe
+    from quillmend.llm.queries import PIECES
+
+    monkeypatch.setattr(piece_bpe, "CACHE_BYTES", 60_000)
+    enc = piece_bpe.PieceEncoder(public_tokenizers.path(PIECES))
+    coded, encode = [], enc.encode_segments
+
+    def told(segments):
+        coded.extend(segments)
+        return encode(segments)
+
+    monkeypatch.setattr(enc, "encode_segments", told)
+    texts = [f"the frequent words {' '.join(f'rare{k}x{i}' for i in range(60))}" for k in range(12)]
+    for text in texts:
+        (ids,) = enc.encode([text])
+        assert np.frombuffer(ids, "<u4").tolist() == enc.library.encode(text, add_bos=True, add_eos=True)
+    assert coded.count("▁the") == 1 and coded.count("▁rare0x0") == 1
+    assert len(enc.cache) + len(enc.older) < 600
