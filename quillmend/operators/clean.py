@@ -127,7 +127,7 @@ def deduplicate_values(values: DataFrame, *, annotation_values: DataFrame | None
         kept = numbered(marked.where("_hit")).where("_copy = 1").select(*columns).unionByName(
             marked.where("NOT _hit").select(*columns))
     kept = s.stamp(kept, s.group_rows(values))
-    return s.stamp(s.close_up(kept), bound) if renumber else kept
+    return s.stamp(s.close_up(kept, noted=bound is not None or s.in_chain()), bound) if renumber else kept
 
 
 def _with_annotation_part(values: DataFrame, annotation_values: DataFrame) -> DataFrame:

@@ -35,12 +35,12 @@ def to_jsonld(values: DataFrame, *, types: schema.DataTypes = schema.DEFAULT_TYP
     stands under an empty term.
     """
     is_uri = types.main_column(F.col("type")) == "uri"
+    noted = s.group_rows(values) is not None
     group, record = s.largest_record(values)
     if record <= s.BLOCK_ROWS:
         # Every record fits in one task: numbering, lists and documents share one shuffle of the rows.
         values = s.stamp(values.repartition("resource_id"), group)
-    placed = s.running_start(values, s.GROUP, {"_block": s.row_block()}, s.row_order(), "_at",
-                             small=s.is_small(values))
+    placed = s.in_order(values, noted)
     entry = F.struct(
         F.col("_at"), F.col("type"), F.col("is_public"), F.col("value_resource_id"),
         F.col("uri").alias("@id"), F.when(is_uri, F.col("value")).alias("o:label"),

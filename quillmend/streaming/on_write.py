@@ -39,7 +39,8 @@ def clean_on_write(records: DataFrame, resources: DataFrame, *, key: str = "reco
         generic, lambda v: v["value_resource_id"]))).alias("_link"))
     kinds = resources.select(F.col("id").alias("_link"), schema.mapped(
         F.col("resource_name"), schema.LINK_TYPES).alias("_type")).where("_type IS NOT NULL")
-    found = links.join(kinds, "_link").groupBy(key).agg(
+    # Records may share a key, and rows of the resources an id: one type for each link.
+    found = links.join(kinds, "_link").groupBy(key, "_link").agg(F.min("_type").alias("_type")).groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("_link", "_type"))).alias("_types"))
 
     def specify(v: Column) -> Column:

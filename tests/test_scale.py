@@ -142,3 +142,14 @@ def test_values_to_write_back_are_computed_once(spark, tmp_path):
     q.write_changed(edited, folder)
     assert seen.value == 20
     assert sorted(r["value"] for r in q.read_buckets(spark, folder).collect()) == sorted(f"v{i}x" for i in range(20))
+
+
+def test_records_with_one_key_are_cleaned(spark):
+    entry = "struct('link' AS property, 'resource' AS type, CAST(NULL AS STRING) AS lang, CAST(NULL AS STRING) AS value," \
+            " CAST(NULL AS STRING) AS uri, {}L AS value_resource_id, true AS is_public)"
+    records = spark.sql(f"SELECT 1L AS record_id, array({entry.format(7)}, {entry.format(8)}) AS values UNION ALL "
+                        f"SELECT 1L, array({entry.format(7)}) UNION ALL SELECT 2L, array({entry.format(9)})")
+    resources = spark.createDataFrame([(7, "items"), (7, "items"), (8, "media")], "id LONG, resource_name STRING")
+    done = q.clean_on_write(records, resources)
+    assert sorted((r["record_id"], [v["type"] for v in r["values"]]) for r in done.collect()) == [
+        (1, ["resource:item"]), (1, ["resource:item", "resource:media"]), (2, ["resource"])]
